@@ -124,3 +124,31 @@ class Store:
             for v, c in zip(values, cols):
                 v[a:b][hit] = c[at[hit]]
         return found, values
+
+
+def id_store(ids, folder: str, bits: int) -> Store:
+    """A table's integer column of ids (no nulls), as sorted arrays of mixed ids; see holds()."""
+    from .textops import mix
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield blobs(np.unique(mix(batch.column(0).cast(pa.int64()).to_numpy().astype(np.uint64))), [], bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, got in gathered(batches).items():
+            write_shard(folder, bucket, [np.unique(np.concatenate([g[0] for g in got]))])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32())], ["bucket"])
+
+    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = ids.mapInArrow(spread, BLOBS).repartition(n, "bucket").mapInArrow(keep, "bucket int").collect()
+    return Store(folder, bits, ["u8"], {r[0] for r in full})
+
+
+def holds(store: Store, ids: pa.Array) -> np.ndarray:
+    """Which ids an id_store() has; null is never one."""
+    from .textops import mix
+
+    own = ids.cast(pa.int64())
+    keys, back = np.unique(mix(own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)), return_inverse=True)
+    return store.lookup(keys)[0][back] & own.is_valid().to_numpy(zero_copy_only=False)

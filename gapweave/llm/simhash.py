@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textops
-from .shared import drop, prepare, scratch, written
+from . import packed, textops
+from .shared import buckets, drop, local_path, prepare, scratch, written
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 #: For each byte value, its bits from the lowest.
@@ -207,3 +207,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, with all their columns, without those of which a class holds a smaller id.
+
+    The ids that go are memory-mapped, so texts are not shuffled.  Rows with a null id stay.
+    """
+    spark = prepare(docs.sparkSession)
+    gone = classes(docs, id_col, text_col, width, max_bits).where(F.col("component_id") < F.col(id_col)).select(id_col)
+    store = packed.id_store(gone, local_path(scratch(spark, "later")), buckets(spark))
+    at = docs.columns.index(id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~packed.holds(store, batch.column(at))))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -91,14 +91,49 @@ def _shards(parts: DataFrame, spark, folder: str, bits: int) -> packed.Store:
     return packed.Store(folder, bits, ["u8", "i8"], {r[0] for r in full})
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """Per row: id, n_words, n_removed and kept_text (kept words joined by one space).
+class Search:
+    """Where repeated windows of a table are stored."""
+
+    def __init__(self, copies: packed.Store, live: packed.Store, shared: packed.Store, width: int):
+        self.copies, self.live, self.shared, self.width = copies, live, shared, width
+
+    def removed(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of a batch of _id and _text: each text's words and how many of them go, and the words left, text by text."""
+        width, h, starts, flat = self.width, *_hashes(batch.column("_text"))
+        counts = np.diff(starts)
+        gone = np.zeros(len(h), bool)
+        at = _candidates(h, starts, width, self.live)
+        if len(at):
+            keys, back = np.unique(textops.windows(h, width)[at], return_inverse=True)
+            found, (least,) = self.shared.lookup(keys)
+            at = at[found[back] & (least[back] < _docs_of(batch, starts)[at])]
+            mark = np.zeros(len(h) + 1, np.int64)
+            np.add.at(mark, at, 1)
+            np.add.at(mark, at + width, -1)
+            gone = np.cumsum(mark[:-1]) > 0
+        gone |= np.repeat(_is_copy(batch, self.copies) & (counts >= width), counts)
+        ends = np.concatenate([[0], np.cumsum(~gone)])[starts]
+        kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(~gone)))
+        return counts, counts - np.diff(ends), pc.binary_join(kept, " ").cast(pa.string())
+
+
+def _text_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each text, and the ids."""
+    ids = pc.fill_null(batch.column("_id").cast(pa.int64()), _INF).to_numpy(zero_copy_only=False)
+    raw = b"".join(xxhash.xxh3_128_digest(t or "") for t in batch.column("_text").to_pylist())
+    pairs = np.frombuffer(raw, "<u8").reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1], ids
+
+
+def _is_copy(batch: pa.RecordBatch, copies: packed.Store) -> np.ndarray:
+    a, _, ids = _text_keys(batch)
+    keys, back = np.unique(textops.pair(a, ids.astype(np.uint64)), return_inverse=True)
+    return copies.lookup(keys)[0][back]
+
+
+def search(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> Search:
+    """Find the windows of ``width`` words that documents share; the rules are those of dedup().
 
-    A word goes if a window of ``width`` words that covers it also starts in a document
-    with a smaller id; windows are those of the input.  Null and empty texts have no
-    words.  A row with a null id loses what any document with an id has, and is never the
-    earlier one.  Rows that share an id are one document for this.  Other columns are not
-    read, so clashing names do no harm.
     """
     spark = prepare(docs.sparkSession)
     folder, bits = local_path(scratch(spark, "substring")), buckets(spark)
@@ -108,15 +143,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     # Whole copies: rows whose text an earlier document has, by a 128-bit hash, as sorted hashes of text and id.
     copies_dir = f"{folder}/copies"
 
-    def text_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = pc.fill_null(batch.column("_id").cast(pa.int64()), _INF).to_numpy(zero_copy_only=False)
-        raw = b"".join(xxhash.xxh3_128_digest(t or "") for t in batch.column("_text").to_pylist())
-        pairs = np.frombuffer(raw, "<u8").reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1], ids
-
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.chunks(batches, "_text"):
-            a, b, ids = text_keys(batch)
+            a, b, ids = _text_keys(batch)
             order = np.argsort(a, kind="stable")
             yield packed.blobs(a[order], [b[order], ids[order]], bits)
 
@@ -139,15 +168,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     full = found.repartition(n, "bucket").mapInArrow(keep, "bucket int").collect()
     copies = packed.Store(copies_dir, bits, ["u8"], {r[0] for r in full})
 
-    def is_copy(batch: pa.RecordBatch) -> np.ndarray:
-        a, _, ids = text_keys(batch)
-        keys, back = np.unique(textops.pair(a, ids.astype(np.uint64)), return_inverse=True)
-        return copies.lookup(keys)[0][back]
-
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Without whole copies, whose windows an earlier document holds too."""
         for batch in textops.chunks(batches, "_text"):
-            yield batch.filter(pa.array(~is_copy(batch)))
+            yield batch.filter(pa.array(~_is_copy(batch, copies)))
 
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in searched(batches):
@@ -168,28 +192,40 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
                 yield packed.blobs(keys, [least, most], bits)
 
     shared = _shards(rows.mapInArrow(count_windows, packed.BLOBS), spark, f"{folder}/windows", bits)
+    return Search(copies, live, shared, width)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """Per row: id, n_words, n_removed and kept_text (kept words joined by one space).
+
+    A word goes if a window of ``width`` words that covers it also starts in a document
+    with a smaller id; windows are those of the input.  Null and empty texts have no
+    words.  A row with a null id loses what any document with an id has, and is never the
+    earlier one.  Rows that share an id are one document for this.  Other columns are not
+    read, so clashing names do no harm.
+    """
+    found = search(docs, id_col, text_col, width)
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textops.chunks(batches, "_text"):
-            h, starts, flat = _hashes(batch.column("_text"))
-            counts = np.diff(starts)
-            gone = np.zeros(len(h), bool)
-            at = _candidates(h, starts, width, live)
-            if len(at):
-                keys, back = np.unique(textops.windows(h, width)[at], return_inverse=True)
-                found, (least,) = shared.lookup(keys)
-                at = at[found[back] & (least[back] < _docs_of(batch, starts)[at])]
-                mark = np.zeros(len(h) + 1, np.int64)
-                np.add.at(mark, at, 1)
-                np.add.at(mark, at + width, -1)
-                gone = np.cumsum(mark[:-1]) > 0
-            gone |= np.repeat(is_copy(batch) & (counts >= width), counts)
-            ends = np.concatenate([[0], np.cumsum(~gone)])[starts]
-            kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(~gone)))
-            texts = pc.binary_join(kept, " ").cast(pa.string())
-            removed = counts - np.diff(ends)
+            counts, removed, texts = found.removed(batch)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), texts], ["_id", "n_words", "n_removed", "kept_text"])
 
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return rows.mapInArrow(remove, schema).withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+
+
+def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """The rows of docs, with all their columns; a text that loses words becomes what is left of it, others stay byte for byte."""
+    found = search(docs, id_col, text_col, width)
+    at, ident = docs.columns.index(text_col), docs.columns.index(id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textops.chunks(batches, text_col):
+            _, removed, texts = found.removed(pa.RecordBatch.from_arrays([batch.column(ident), batch.column(at)], ["_id", "_text"]))
+            own = pc.if_else(pa.array(removed > 0), texts, batch.column(at))
+            yield batch.set_column(at, batch.schema.field(at), own)
+
+    return docs.mapInArrow(run, docs.schema)
