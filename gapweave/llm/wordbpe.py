@@ -17,8 +17,8 @@ import pyarrow as pa
 from . import textops
 
 VOCABULARY, END = "word_bpe_49k.json", 2
-#: Letters of Latin-1 and below, then ASCII punctuation without the apostrophe and the marks that special tokens hold.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
+#: A line with a word: letters of Latin-1 or below, then ASCII punctuation without the apostrophe and the marks that special tokens hold; or any other word.
+_LINE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)|(.+))$", re.M)
 #: Entries that a worker keeps between batches.
 _MOST = 300_000
 _cache: dict = {}
@@ -39,33 +39,40 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids (32 bits each) of pieces that are not known yet; all that are known now."""
-        made = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        fresh = {p: array("I", e.ids).tobytes() for p, e in zip(pieces, made)}
-        before, room = self.known, len(self.known) + len(fresh) <= _MOST
-        self.known = before | fresh if not room else self.known
-        if room:
-            before.update(fresh)
-            return before
-        both, self.known = self.known, {"": b""}
-        return both
+        # Each piece that the splitter makes ends with such a token.
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
+
+    def _runs(self, pieces: list[str]) -> list[bytes]:
+        """Ids (32 bits each) of pieces that the splitter leaves whole, encoded as one text."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(pieces):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, whole: list[str], others: list[str]) -> dict[str, bytes]:
+        """All pieces that are known now, with new ones."""
+        fresh = dict(zip(whole, self._runs(whole))) if whole else {}
+        fresh |= {p: array("I", e.ids).tobytes() for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False))}
+        if len(self.known) + len(fresh) > _MOST:
+            both, self.known = self.known | fresh, {"": b""}
+            return both
+        self.known.update(fresh)
+        return self.known
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word."""
-        match, cores, marks = _PLAIN.fullmatch, [], []
-        for w in words:
-            if m := match(w):
-                core, mark = m.groups()
-                cores.append(core.lower())
-                marks.append(mark)
-            else:
-                cores.append(w)
-                marks.append("")
+        parts = _LINE.findall("\n".join(words)) if words else []
+        cores, marks = [c.lower() if c else other for c, _, other in parts], [m for _, m, _ in parts]
         known = self.known
-        if fresh := [p for p in {*cores, *marks} if p not in known]:
-            known = self._learn(fresh)
+        other = {o for _, _, o in parts if o not in known}
+        if whole := [p for p in {*cores, *marks} if p not in known and p not in other]:
+            known = self._learn(whole, [*other])
+        elif other:
+            known = self._learn([], [*other])
         return [known[a] + known[b] if b else known[a] for a, b in zip(cores, marks)]
 
     def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
