@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapweave.llm import decontam, packing, quality, shared, simhash, substring
+from gapweave.llm import decontam, near, packing, quality, shared, substring
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash class the row with the smallest doc_id stays; rows without a doc_id stay, as nothing tells which is first."""
-    return simhash.keep_first(docs)
+    """Of each class of near duplicates (SimHash candidates, Jaccard similarity of five-word shingles from 0.8) the row with the smallest doc_id stays; rows without a doc_id stay."""
+    return near.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from compare import duck, rows
 
-from gapweave.llm import decontam, html_layout, ngram_lm, ogg, packed, packing, quality, queries, simhash, substring, textops, urlfilter, wavelet, wordbpe
+from gapweave.llm import decontam, html_layout, near, ngram_lm, ogg, packed, packing, quality, queries, simhash, substring, textops, urlfilter, wavelet, wordbpe
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -225,6 +225,32 @@ def test_simhash_links_are_those_of_brute_force(spark):
     assert groups(find) == groups(lambda x: got.get(x, x))
 
 
+def test_near_duplicates(spark, odd, empty):
+    rng = random.Random(9)
+    texts, planted = {}, []
+    for k in range(200):
+        words = [f"v{rng.randrange(3000)}" for _ in range(rng.randrange(80, 600))]
+        texts[k] = " ".join(words)
+        if k % 2:
+            for _ in range(max(1, len(words) // 100)):
+                words[rng.randrange(len(words))] = "changed"
+            texts[1000 + k] = " ".join(words)
+            planted.append((k, 1000 + k))
+    hub = [f"h{rng.randrange(3000)}" for _ in range(400)]
+    for k in range(300):
+        own = list(hub)
+        own[rng.randrange(400)] = f"only{k}"
+        texts[5000 + k] = " ".join(own)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    got = {r["doc_id"]: r["root"] for r in near.duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    alike = [(a, b) for a, b in planted if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > 60 and sum(got.get(b) == a for a, b in alike) >= 0.95 * len(alike)
+    assert not {i for i in got if i < 1000} and all(got.get(i) == 5000 for i in range(5001, 5300))
+    found = {r["doc_id"]: r["root"] for r in near.duplicates(odd).collect()}
+    assert found == {4: 3, 5: 3, 7: 6, 11: 10}
+    assert near.duplicates(empty).count() == 0 and near.keep_first(odd).columns == odd.columns
+
+
 # 7
 def test_html(spark):
     page = """<table><caption>C</caption><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td>banana split<td>12</table><p>a<p>b<br>c<ul><li>one<li>two<ol><li>n1<li>n2</ol><li>three</ul>

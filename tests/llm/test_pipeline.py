@@ -1,7 +1,7 @@
 """The pipeline stage by stage, and on odd rows."""
 
 import corpus_pipeline
-from gapweave.llm import decontam, simhash
+from gapweave.llm import decontam, near
 
 
 def test_stages(spark, odd, tmp_path):
@@ -17,7 +17,7 @@ def test_stages(spark, odd, tmp_path):
     judged = kept["quality_classifier"].join(labels, "doc_id")
     assert judged.where("quality = 0").count() <= 0.03 * labels.where("quality = 0").count()
     assert judged.where("quality = 1").count() >= 0.97 * labels.where("quality = 1").count()
-    assert simhash.classes(kept["near_duplicates"]).where("component_id <> doc_id").count() == 0
+    assert near.duplicates(kept["near_duplicates"]).count() == 0
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     assert decontam.find(kept["decontamination"], items).count() == 0
     assert kept["packing"].select("doc_id").distinct().count() == kept["decontamination"].count()
