@@ -85,7 +85,11 @@ def _word_vectors(distinct: list[str], place: dict[str, int], vectors: np.ndarra
     for k, w in enumerate(distinct):
         core, ending, shape, marks = _units(w)
         at[k] = place.get(core) or place.get(ending, 0), place.get(shape, 0), place.get(marks, 0)
-    return vectors[at[:, 0]] + vectors[at[:, 1]] + vectors[at[:, 2]]
+    out = vectors[at[:, 0]]
+    for k in (1, 2):
+        for lo in range(0, len(at), 20_000):
+            out[lo : lo + 20_000] += vectors[at[lo : lo + 20_000, k]]
+    return out
 
 
 def _again(code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

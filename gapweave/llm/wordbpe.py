@@ -20,7 +20,7 @@ VOCABULARY, END = "word_bpe_49k.json", 2
 #: A line with a word: letters of Latin-1 or below, then ASCII punctuation without the apostrophe and the marks that special tokens hold; or any other word.
 _LINE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)|(.+))$", re.M)
 #: Entries that a worker keeps between batches.
-_MOST = 300_000
+_MOST = 200_000
 _cache: dict = {}
 
 
@@ -45,13 +45,17 @@ class Encoder:
         self.last[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
 
     def _runs(self, pieces: list[str]) -> list[bytes]:
-        """Ids (32 bits each) of pieces that the splitter leaves whole, encoded as one text."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
-        if len(ends) != len(pieces):
-            raise ValueError("the vocabulary does not mark the ends of words")
-        raw, ends = ids.tobytes(), ends.tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+        """Ids (32 bits each) of pieces that the splitter leaves whole, encoded as texts of many pieces."""
+        out = []
+        for k in range(0, len(pieces), 10_000):
+            part = pieces[k : k + 10_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = 4 * (np.flatnonzero(self.last[ids]) + 1)
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            raw, ends = ids.tobytes(), ends.tolist()
+            out += [raw[a:b] for a, b in zip([0, *ends], ends)]
+        return out
 
     def _learn(self, whole: list[str], others: list[str]) -> dict[str, bytes]:
         """All pieces that are known now, with new ones."""
