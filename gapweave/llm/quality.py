@@ -79,12 +79,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -50, 50)))
 
 
-def _word_vectors(distinct: list[str], place: dict[str, int], vectors: np.ndarray) -> np.ndarray:
-    """Row 0 of vectors is that of unknown units."""
-    at = np.zeros((len(distinct), 3), np.int64)
-    for k, w in enumerate(distinct):
-        core, ending, shape, marks = _units(w)
+def _places(units: list[tuple[str, str, str, str]], place: dict[str, int]) -> np.ndarray:
+    """The three rows of vectors that make up each word; row 0 is that of unknown units."""
+    at = np.zeros((len(units), 3), np.int32)
+    for k, (core, ending, shape, marks) in enumerate(units):
         at[k] = place.get(core) or place.get(ending, 0), place.get(shape, 0), place.get(marks, 0)
+    return at
+
+
+def _word_vectors(at: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     out = vectors[at[:, 0]]
     for k in (1, 2):
         for lo in range(0, len(at), 20_000):
@@ -115,7 +118,7 @@ def pooled(texts: pa.Array, place: dict[str, int], vectors: np.ndarray) -> np.nd
     if not len(flat):
         return out
     code, distinct = textops.coded(flat)
-    own = _word_vectors(distinct, place, vectors)
+    own = _word_vectors(_places([_units(w) for w in distinct], place), vectors)
     same, near = _again(code, starts)
     step = 100_000
     text_of = np.repeat(np.arange(len(n)), n)
@@ -142,23 +145,22 @@ def _random_indexing(texts: list[str]) -> tuple[dict[str, int], np.ndarray]:
     index = np.zeros((len(place) + 1, DIM), np.float32)
     for u, k in place.items():
         index[k] = _index_vector(u)
-    own = _word_vectors(distinct, place, index)
-    around = np.zeros((len(distinct), DIM), np.float32)
+    at = _places(units, place)
+    gathered = np.zeros_like(index)
     text_of = np.repeat(np.arange(len(texts)), np.diff(starts))
     for d in range(1, REACH + 1):
         for lo in range(0, len(code) - d, 50_000):
             a, b = code[lo : min(lo + 50_000, len(code) - d)], code[lo + d : lo + d + 50_000]
             inside = text_of[lo : lo + len(a)] == text_of[lo + d : lo + d + len(a)]
             for x, y in ((a[inside], b[inside]), (b[inside], a[inside])):
-                order = np.argsort(x, kind="stable")
-                at = np.flatnonzero(np.diff(x[order], prepend=-1))
-                if len(at):
-                    around[x[order][at]] += np.add.reduceat(own[y[order]], at, axis=0)
-    gathered = np.zeros_like(index)
-    for k, (core, ending, shape, marks) in enumerate(units):
-        for u in {core if core in place else ending, shape, marks}:
-            if u in place:
-                gathered[place[u]] += around[k]
+                seen = _word_vectors(at[y], index)
+                for k in range(3):
+                    own = at[x, k]
+                    order = np.argsort(own, kind="stable")
+                    first = np.flatnonzero(np.diff(own[order], prepend=-1))
+                    if len(first):
+                        gathered[own[order][first]] += np.add.reduceat(seen[order], first, axis=0)
+    gathered[0] = 0
     unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     return place, (unit(index) + unit(gathered)).astype(np.float32)
 
@@ -210,6 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample).collect() for y in (0, 1)]
     small = spark.createDataFrame([tuple(r) for p in picked for r in p], known.schema)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= longest)
+    del picked
     got = sorted({(r["_id"], r["text"], r["y"]) for r in rows.join(F.broadcast(small), "_id").collect()})
     y = np.array([r[2] for r in got], float)
     if len(set(y.tolist())) < 2:
