@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,12 @@ from ..functions import expr
 LEVELS = (("aoi",), ("crop_type",), ())
 
 
+def _middle(v: Column) -> Column:
+    """The median of an ascending array."""
+    n = F.size(v)
+    return (F.element_at(v, ((n + 1) / 2).cast("int")) + F.element_at(v, (n / 2).cast("int") + 1)) / 2
+
+
 def _level(keys: DataFrame, history: DataFrame, level: tuple[str, ...], window: int, least: int, floor: float) -> DataFrame:
     """Median and scaled MAD of earlier years' values near the same day of year, for keys with enough of them.
 
@@ -19,21 +26,29 @@ def _level(keys: DataFrame, history: DataFrame, level: tuple[str, ...], window:
     by = [*level, "yr", "doy"]
     own = keys.select(*by).distinct()
     near = own.withColumn("hdoy", F.explode(F.sequence(F.lit(-window), F.lit(window)))).withColumn("hdoy", F.pmod(F.col("doy") - 1 + F.col("hdoy"), F.lit(366)) + 1)
-    # Equal values of a day come once with their number.
-    hist = history.groupBy(*level, F.col("yr").alias("hyr"), F.col("doy").alias("hdoy"), "y").agg(F.count("*").alias("k"))
-    pairs = near.join(hist, [*level, "hdoy"]).where("hyr < yr")
-    mid = pairs.groupBy(*by).agg(F.expr("percentile(y, 0.5, k)").alias("clim_mean"), F.sum("k").alias("clim_n"), F.count_distinct("hyr").alias("clim_years")).where(F.col("clim_n") >= least)
-    mad = pairs.join(mid, by).groupBy(*by).agg(F.expr("percentile(abs(y - clim_mean), 0.5, k)").alias("mad"))
+    hist = history.select(*level, F.col("yr").alias("hyr"), F.col("doy").alias("hdoy"), "y")
+    if "aoi" in level:
+        # One AOI's window is bounded by the calendar: its values fit an array, and one pass gives both medians.
+        g = near.join(hist, [*level, "hdoy"]).where("hyr < yr").groupBy(*by).agg(F.sort_array(F.collect_list("y")).alias("v"), F.size(F.collect_set("hyr")).cast("long").alias("clim_years"))
+        g = g.withColumn("clim_n", F.size("v").cast("long")).where(F.col("clim_n") >= least).withColumn("clim_mean", _middle(F.col("v")))
+        both = g.withColumn("mad", _middle(F.array_sort(F.transform("v", lambda x: F.abs(x - F.col("clim_mean")))))).drop("v")
+    else:
+        # Equal values of a day come once with their number.
+        hist = hist.groupBy(*level, "hyr", "hdoy", "y").agg(F.count("*").alias("k"))
+        pairs = near.join(hist, [*level, "hdoy"]).where("hyr < yr")
+        mid = pairs.groupBy(*by).agg(F.expr("percentile(y, 0.5, k)").alias("clim_mean"), F.sum("k").alias("clim_n"), F.count_distinct("hyr").alias("clim_years")).where(F.col("clim_n") >= least)
+        both = mid.join(pairs.join(mid, by).groupBy(*by).agg(F.expr("percentile(abs(y - clim_mean), 0.5, k)").alias("mad")), by)
     scale = F.greatest(1.4826 * F.col("mad"), F.lit(floor))
-    return mid.join(mad, by).withColumn("clim_std", scale).withColumn("clim_se", scale / F.sqrt("clim_n")).drop("mad")
+    return both.withColumn("clim_std", scale).withColumn("clim_se", scale / F.sqrt("clim_n")).drop("mad")
 
 
 def climatology(panel: DataFrame, window: int = 15, min_samples: int = 3, floor: float = 0.03, levels: tuple = LEVELS) -> DataFrame:
     """The panel with clim_mean, clim_std, clim_n, clim_years, clim_se and clim_source.
 
     History are observed values (y) of strictly earlier years.  Levels go from AOI over
-    crop to all; the first with min_samples values wins.  Wider levels have few distinct
-    keys, so each is one small table and the cascade is a coalesce over left joins.
+    crop to all; the first with min_samples values wins.  A wider level is computed only for
+    the keys that narrower ones leave open, so each level's table, one row a key, is kept
+    (memory, then disk) for that and for the result.
     """
     history = panel.where("y IS NOT NULL").select("aoi", "crop_type", "yr", "doy", "y")
     keys = panel.select("aoi", "crop_type", "yr", "doy").distinct()
@@ -41,7 +56,9 @@ def climatology(panel: DataFrame, window: int = 15, min_samples: int = 3, floor:
     names = {("aoi",): "aoi_historical", ("crop_type",): "crop_historical", (): "global_historical"}
     out = panel
     for k, level in enumerate(levels):
-        got = _level(keys, history, level, window, min_samples, floor).select(*level, "yr", "doy", F.struct(*cols, F.lit(names[level]).alias("clim_source")).alias(f"_{k}"))
+        got = _level(keys, history, level, window, min_samples, floor).persist(StorageLevel.MEMORY_AND_DISK)
+        keys = keys.join(got, [*level, "yr", "doy"], "left_anti")
+        got = got.select(*level, "yr", "doy", F.struct(*cols, F.lit(names[level]).alias("clim_source")).alias(f"_{k}"))
         out = out.join(got, [*level, "yr", "doy"], "left")
     best = F.coalesce(*(F.col(f"_{k}") for k in range(len(levels))))
     return out.select(*panel.columns, *(best[c].alias(c) for c in cols), F.coalesce(best["clim_source"], F.lit("unavailable")).alias("clim_source"))
