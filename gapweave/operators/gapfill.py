@@ -125,3 +125,27 @@ def fill(panel: DataFrame, k: int = 8, width: int = 30) -> DataFrame:
     middle = known.agg(F.median("y").alias("middle"))
     out = both.join(line.select("aoi", "date", closer.alias("closer")), ["aoi", "date"]).join(F.broadcast(middle), how="left")
     return out.select("aoi", "date", expr.clip(F.coalesce(mixed, "closer", "middle", F.lit(0.3)), -0.5, 1.2).alias("pred"))
+
+
+def weighted_posterior(queries: DataFrame, panel: DataFrame, width: int = 8) -> DataFrame:
+    """Shares of the sensors at four grains, each weighted by its factor and the root of its count: date 8, AOI and day 3, day 1, AOI and bin 1.
+
+    Without any count the prior (.4, .4, .2) stands.  The grains are small tables by key, joined on from coarse data.
+    """
+    by_bin = lambda df: df.withColumn("bin", expr.calibration_bin(F.col("doy"), width))
+    seen, out = by_bin(panel.where("y IS NOT NULL AND source <> 'none'")), by_bin(queries)
+    grains = [(["yr", "doy"], 8.0), (["aoi", "doy"], 3.0), (["doy"], 1.0), (["aoi", "bin"], 1.0)]
+    for k, (by, _) in enumerate(grains):
+        counts = seen.groupBy(*by).agg(F.struct(F.count("*").alias("n"), *(F.count_if(F.col("source") == s).alias(s) for s in SENSORS)).alias(f"_{k}"))
+        out = out.join(counts, by, "left")
+    weight = [F.coalesce(f * F.sqrt(F.col(f"_{k}")["n"]), F.lit(0.0)) for k, (_, f) in enumerate(grains)]
+    total = reduce(lambda a, b: a + b, weight)
+    share = lambda s: reduce(lambda a, b: a + b, [w * F.coalesce(F.col(f"_{k}")[s] / F.col(f"_{k}")["n"], F.lit(0.0)) for k, w in enumerate(weight)])
+    return out.select(*queries.columns, *(F.when(total > 0, share(s) / total).otherwise(p).alias(f"p_{s}") for s, p in zip(SENSORS, (0.4, 0.4, 0.2))))
+
+
+def expected_correction(queries: DataFrame, residuals: DataFrame) -> DataFrame:
+    """The sum over sensors of their posterior (p_s2, ...) times the mean residual of their rows (source, resid)."""
+    means = residuals.agg(*(F.coalesce(F.avg(F.when(F.col("source") == s, F.col("resid"))), F.lit(0.0)).alias(f"_c_{s}") for s in SENSORS))
+    total = reduce(lambda a, b: a + b, [F.col(f"p_{s}") * F.col(f"_c_{s}") for s in SENSORS])
+    return queries.join(F.broadcast(means), how="left").withColumn("correction", total).drop(*(f"_c_{s}" for s in SENSORS))

@@ -313,3 +313,28 @@ def m16_distance_kernel(spark, sf):
     w = 9 - F.abs(F.col("num") - F.col("k_num"))
     pairs = p.where("gap").select("aoi", "num", "date", "crop_type").join(k, ["date", "crop_type"]).where((w <= 8) & (w >= 1))
     return gridded(pairs.groupBy("aoi", "date").agg((F.sum(w * F.col("k_y")) / F.sum(w)).alias("kernel")))
+
+
+_WP = """,
+sn AS (SELECT *, CAST(floor(doy / 8) AS BIGINT) AS b8 FROM panel WHERE y IS NOT NULL AND source <> 'none'),
+""" + ",\n".join(f"w{k} AS (SELECT {by}, count(*) AS n, count_if(source = 's2') AS a, count_if(source = 'landsat') AS b, count_if(source = 'modis') AS c FROM sn GROUP BY ALL)" for k, by in enumerate(("yr, doy", "aoi, doy", "doy", "aoi, b8"))) + """,
+wj AS (SELECT q.aoi, q.date, q.ord, """ + ", ".join(f"coalesce({f} * sqrt(w{k}.n), 0) AS f{k}, coalesce(w{k}.a / w{k}.n, 0) AS a{k}, coalesce(w{k}.b / w{k}.n, 0) AS b{k}, coalesce(w{k}.c / w{k}.n, 0) AS c{k}" for k, f in enumerate((8, 3, 1, 1))) + """
+  FROM panel q LEFT JOIN w0 ON w0.yr = q.yr AND w0.doy = q.doy LEFT JOIN w1 ON w1.aoi = q.aoi AND w1.doy = q.doy LEFT JOIN w2 ON w2.doy = q.doy LEFT JOIN w3 ON w3.aoi = q.aoi AND w3.b8 = CAST(floor(q.doy / 8) AS BIGINT) WHERE q.gap),
+wp AS (SELECT aoi, date, """ + ", ".join(f"CASE WHEN f0 + f1 + f2 + f3 > 0 THEN (f0 * {x}0 + f1 * {x}1 + f2 * {x}2 + f3 * {x}3) / (f0 + f1 + f2 + f3) ELSE {d} END AS p_{s}" for x, s, d in (("a", "s2", 0.4), ("b", "landsat", 0.4), ("c", "modis", 0.2))) + " FROM wj)"
+
+
+def _weighted_posterior(spark, sf):
+    p = panel(spark, sf)
+    return gapfill.weighted_posterior(p.where("gap").select("aoi", "date", "yr", "doy"), p)
+
+
+@query(_WP + """SELECT aoi, date, round(p_s2 * 1048573) / 1048573 AS p_s2, round(p_landsat * 1048573) / 1048573 AS p_landsat, round(p_modis * 1048573) / 1048573 AS p_modis FROM wp""")
+def a27_weighted_posterior(spark, sf):
+    return gridded(_weighted_posterior(spark, sf).select("aoi", "date", "p_s2", "p_landsat", "p_modis"))
+
+
+@query(_WP + _SHOCK + """,
+cs AS (SELECT coalesce(avg(CASE WHEN source = 's2' THEN resid END), 0) AS c1, coalesce(avg(CASE WHEN source = 'landsat' THEN resid END), 0) AS c2, coalesce(avg(CASE WHEN source = 'modis' THEN resid END), 0) AS c3 FROM rs)
+SELECT aoi, date, round((p_s2 * c1 + p_landsat * c2 + p_modis * c3) * 1048573) / 1048573 AS correction FROM wp, cs""")
+def a32_expected_correction(spark, sf):
+    return gridded(gapfill.expected_correction(_weighted_posterior(spark, sf), _residuals(spark, sf)).select("aoi", "date", "correction"))
