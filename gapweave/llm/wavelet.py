@@ -239,6 +239,7 @@ def write_tokens(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: st
     keep each of their rows.  An empty table writes no file.
     """
     spark = prepare(docs.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     path, folder = vocabulary or wordbpe.vocabulary_path(), local_path(uri)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +259,8 @@ def write_tokens(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: st
             held.clear()
             return row
 
-        for batch in textops.chunks(batches, "_text"):
+        # More texts at once repeat more words, each of which is encoded once a chunk.
+        for batch in textops.chunks(batches, "_text", 16 << 20):
             held.append((batch.column("_id"), *encoder.encode(batch.column("_text"))))
             if sum(len(x[1]) for x in held) >= SHARD:
                 yield close()

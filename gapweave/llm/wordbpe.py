@@ -20,7 +20,7 @@ VOCABULARY, END = "word_bpe_49k.json", 2
 #: A line with a word: letters of Latin-1 or below, then ASCII punctuation without the apostrophe and the marks that special tokens hold; or any other word.
 _LINE = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)|(.+))$", re.M)
 #: Entries that a worker keeps between batches.
-_MOST = 200_000
+_MOST = 300_000
 _cache: dict = {}
 
 
