@@ -54,14 +54,71 @@ def channel_stats(df: DataFrame, by: list[str], channels: list[str]) -> DataFram
     return df.groupBy(*by).agg(*(f(c).alias(f"{c}_{n}") for c in channels for n, f in (("median", F.median), ("mean", F.avg), ("std", F.stddev_samp), ("n", F.count))))
 
 
-def error_summary(df: DataFrame, dims: list[str], error: Column) -> DataFrame:
-    """N, RMSE and MAE over all and by each dimension, in one pass of GROUPING SETS; NULL groups stay."""
+def error_summary(df: DataFrame, dims: list[str], error: Column, bins: dict[str, list[str]] | None = None) -> DataFrame:
+    """N, RMSE and MAE over all and by each dimension, in one pass of GROUPING SETS; NULL groups stay, and so do empty ones of the named bins."""
     own = df.select(*dims, error.alias("e"))
-    own.createOrReplaceTempView("_errors")
-    sets = ", ".join(["()", *(f"({d})" for d in dims)])
-    name = "CASE " + " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dims) + " ELSE 'all' END"
-    level = "CASE " + " ".join(f"WHEN grouping({d}) = 0 THEN cast({d} AS string)" for d in dims) + " END"
-    return df.sparkSession.sql(f"SELECT {name} AS dimension, {level} AS level, count(*) AS n, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM _errors GROUP BY GROUPING SETS ({sets})")
+    name = F.lit("all")
+    level = F.lit(None).cast("string")
+    for d in dims:
+        name = F.when(F.grouping(d) == 0, d).otherwise(name)
+        level = F.when(F.grouping(d) == 0, F.col(d).cast("string")).otherwise(level)
+    e = F.col("e")
+    out = own.groupingSets([[], *([F.col(d)] for d in dims)], *map(F.col, dims)).agg(name.alias("dimension"), level.alias("level"), F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")).select("dimension", "level", "n", "rmse", "mae")
+    if bins:
+        all_bins = df.sparkSession.createDataFrame([(d, b) for d, labels in bins.items() for b in labels], "dimension string, level string")
+        empty = all_bins.join(out, ["dimension", "level"], "left_anti")
+        out = out.unionByName(empty.select("*", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("rmse"), F.lit(None).cast("double").alias("mae")))
+    return out
+
+
+def corrections(df: DataFrame, by: list[str], lo: float = 0.01, trim: float = 0.1) -> DataFrame:
+    """Per group n, the clipped affine map of pred onto truth (plain, and on truth winsorised at 1 and 99 %), the median bias and the mean of residuals within the inner 80 %; the identity under twenty rows."""
+    q = lambda c, t: F.expr(f"percentile({c}, array({t}D, {1 - t}D))")
+    fine = df.where("pred IS NOT NULL AND truth IS NOT NULL").withColumn("r", F.col("truth") - F.col("pred"))
+    edges = fine.groupBy(*by).agg(q("truth", lo).alias("_t"), q("r", trim).alias("_q"))
+    both = fine.join(edges, by)
+    clipped = F.greatest(F.col("_t")[0], F.least(F.col("_t")[1], F.col("truth")))
+    g = both.withColumn("w", clipped).groupBy(*by).agg(
+        F.count("*").alias("n"), F.regr_intercept("truth", "pred").alias("a"), F.regr_slope("truth", "pred").alias("b"), F.regr_intercept("w", "pred").alias("wa"), F.regr_slope("w", "pred").alias("wb"),
+        F.median("r").alias("m"), F.avg(F.when(F.col("r").between(F.col("_q")[0], F.col("_q")[1]), F.col("r"))).alias("t"),
+    )
+    few = F.col("n") < 20
+    fit = lambda c, low, high, none: F.when(few | F.col("b").isNull(), none).otherwise(expr.clip(F.col(c), low, high))
+    return g.select(
+        *by, "n", fit("a", -0.08, 0.08, 0.0).alias("a"), fit("b", 0.85, 1.15, 1.0).alias("b"), fit("wa", -0.08, 0.08, 0.0).alias("robust_a"), fit("wb", 0.85, 1.15, 1.0).alias("robust_b"),
+        expr.clip(F.col("m"), -0.04, 0.04).alias("bias_median"), F.col("t").alias("trimmed_mean"),
+    )
+
+
+def nested_rules(df: DataFrame, fold: str, truth: str, bases: list[str], peer: str, weights: tuple[float, ...] = (0.05, 0.10, 0.15), ridge: float = 1e-4, least: int = 30) -> DataFrame:
+    """For each fold the rule (base, peer weight, mode) with the smallest error on the other folds, its coefficients, and its error on the fold.
+
+    Modes use no feature, shock, state or both; a missing feature counts 0 and a missing peer leaves
+    the base.  Coefficients on shock and state are ridge solutions within [0, 0.4] and
+    [-0.4, 0.1], (0.15, -0.05) under thirty rows.  All errors follow from one pass of sums by
+    fold and rule, those of the other folds as the whole less the fold; ties go to the rule first in order.
+    """
+    rules = F.array(*(F.struct(F.lit(b).alias("base"), F.lit(w).alias("weight"), F.when(F.col(peer).isNull(), F.col(b)).otherwise((1 - w) * F.col(b) + w * F.col(peer)).alias("p")) for b in bases for w in weights))
+    s, t, r = F.coalesce("shock", F.lit(0.0)), F.coalesce("state", F.lit(0.0)), F.col(truth) - F.col("p")
+    long = df.where(F.col(truth).isNotNull()).select(fold, truth, s.alias("s"), t.alias("t"), F.explode(rules).alias("_")).select("*", "_.*").withColumn("r", r).where("r IS NOT NULL")
+    pairs = {"ss": ("s", "s"), "st": ("s", "t"), "tt": ("t", "t"), "rs": ("r", "s"), "rt": ("r", "t"), "rr": ("r", "r")}
+    sums = long.groupBy(fold, "base", "weight").agg(F.count("*").cast("double").alias("n"), *(F.sum(F.col(a) * F.col(b)).alias(k) for k, (a, b) in pairs.items()))
+    whole = Window.partitionBy("base", "weight")
+    other = sums.withColumns({f"o_{k}": F.sum(k).over(whole) - F.col(k) for k in ("n", *pairs)})
+    modes = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(i).alias("us"), F.lit(j).alias("ut")) for m, i, j in (("none", 0.0, 0.0), ("shock", 1.0, 0.0), ("state", 0.0, 1.0), ("joint", 1.0, 1.0))))
+    m = other.select("*", F.explode(modes).alias("_")).select("*", "_.*").where("o_n > 0")
+    ss, tt, st = F.col("us") * F.col("o_ss") + ridge, F.col("ut") * F.col("o_tt") + ridge, F.col("us") * F.col("ut") * F.col("o_st")
+    rs, rt, det = F.col("us") * F.col("o_rs"), F.col("ut") * F.col("o_rt"), ss * tt - st * st
+    few = F.col("o_n") < least
+    m = m.withColumns({
+        "a": F.col("us") * F.when(few, 0.15).otherwise(expr.clip((tt * rs - st * rt) / det, 0.0, 0.4)),
+        "b": F.col("ut") * F.when(few, F.when(F.col("us") > 0, -0.05).otherwise(0.0)).otherwise(expr.clip((ss * rt - st * rs) / det, -0.4, 0.1)),
+    })
+    a, b = F.col("a"), F.col("b")
+    mse = lambda o: (F.col(f"{o}rr") - 2 * a * F.col(f"{o}rs") - 2 * b * F.col(f"{o}rt") + a * a * F.col(f"{o}ss") + 2 * a * b * F.col(f"{o}st") + b * b * F.col(f"{o}tt")) / F.col(f"{o}n")
+    m = m.withColumns({"train_mse": mse("o_"), "test_mse": mse("")})
+    first = Window.partitionBy(fold).orderBy(F.round("train_mse", 12), "base", "weight", "mode")
+    return m.withColumn("_k", F.row_number().over(first)).where("_k = 1").select(fold, "base", "weight", "mode", "a", "b", "train_mse", "test_mse", F.col("n").cast("long").alias("n"))
 
 
 def group_bias(df: DataFrame, by: str, least: int, most: float = 0.04, prior: float = 8) -> DataFrame:
@@ -93,8 +150,8 @@ def leave_own_out(df: DataFrame, by: str = "date", own: str = "aoi") -> DataFram
     return df.withColumns({"others_n": n, "others_mean": F.when(n > 0, s / n)})
 
 
-def ridge(df: DataFrame, features: list[str], target: str, alpha: float, most: float | None = None, penalize_intercept: bool = False) -> np.ndarray:
-    """Intercept and coefficients from the Gram matrix, which is summed in Spark and solved on the driver."""
+def ridge(df: DataFrame, features: list[str], target: str, alpha: float, most: float | None = None, intercept_alpha: float = 0.0, most_intercept: float | None = None) -> np.ndarray:
+    """Intercept and coefficients from the Gram matrix, which is summed in Spark and solved on the driver; the intercept has a penalty and a bound of its own."""
     cols = [F.lit(1.0), *map(F.col, features)]
     fine = df.dropna(subset=[*features, target])
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
@@ -103,13 +160,21 @@ def ridge(df: DataFrame, features: list[str], target: str, alpha: float, most: f
     gram, right = np.zeros((k, k)), np.array([x or 0.0 for x in row[len(pairs) :]], float)
     for (i, j), v in zip(pairs, row):
         gram[i, j] = gram[j, i] = v or 0.0
-    gram += alpha * np.diag([float(penalize_intercept), *[1.0] * (k - 1)])
+    gram += np.diag([intercept_alpha, *[alpha] * (k - 1)])
     coef = np.linalg.lstsq(gram, right, rcond=None)[0]
     if most is not None:
         coef[1:] = np.clip(coef[1:], -most, most)
+    if most_intercept is not None:
+        coef[0] = np.clip(coef[0], -most_intercept, most_intercept)
     return coef
 
 
+def corrected(base: Column, coef: np.ndarray, features: list[str], lo: float = -0.2, hi: float = 1.1) -> Column:
+    """Base plus the ridge correction; rows that miss a feature get the intercept alone."""
+    whole = sum((float(c) * F.col(f) for c, f in zip(coef[1:], features)), F.lit(0.0))
+    return expr.clip(base + float(coef[0]) + F.coalesce(whole, F.lit(0.0)), lo, hi)
+
+
 def simplex_weights(df: DataFrame, candidates: list[str], target: str, anchor: float = 0.0, steps: int = 2000) -> np.ndarray:
     """Weights of blends, none negative, of sum 1, by projected gradient on the Gram matrix; anchor pulls to equal shares."""
     k = len(candidates)
@@ -163,3 +228,34 @@ def weighted_sample(df: DataFrame, by: list[str], weight: Column, key: Column, n
     u = (F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") + 1) / (2**48 + 1)
     w = Window.partitionBy(*by).orderBy(-F.log(u) / weight)
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+
+
+def exact_mask(df: DataFrame, key: Column, fraction: float, seed: int) -> DataFrame:
+    """V3: exactly floor(fraction n) rows of all are masked, those with the smallest MD5 of seed and key.
+
+    4,096 counts by the first digits give the bucket where the quota ends; only its rows are ranked.
+    """
+    rows = df.withColumn("_t", F.md5(F.concat_ws(":", F.lit(str(seed)), key))).withColumn("_b", F.substring("_t", 1, 3))
+    counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
+    # At most 4,096 rows, so one partition of them is no bottleneck.
+    before = counts.withColumns({"_before": F.sum("_n").over(Window.orderBy("_b")) - F.col("_n"), "_quota": F.floor(fraction * F.sum("_n").over(Window.partitionBy()))})
+    both = rows.join(F.broadcast(before), "_b")
+    open_bucket = (F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") > F.col("_quota"))
+    settled = both.where(~open_bucket).withColumn("masked", F.col("_before") < F.col("_quota"))
+    ranked = both.where(open_bucket).withColumn("masked", F.row_number().over(Window.partitionBy("_b").orderBy("_t")) + F.col("_before") <= F.col("_quota"))
+    return settled.unionByName(ranked).drop("_t", "_b", "_n", "_before", "_quota")
+
+
+def leave_part_out(rows: DataFrame, part: str, key: list[str], alpha: float = 1.0) -> DataFrame:
+    """V5: per part the slope of resid on x through the origin over the other parts, and its error on the part.
+
+    Rows whose key the part holds too are no training rows.  Sums over all, less those of the part's keys, give each fit in one pass.
+    """
+    slim = rows.select(part, *key, "x", "resid")
+    keys = slim.groupBy(*key).agg(F.collect_set(part).alias("_parts"), F.count("*").alias("_n"), F.sum(F.col("x") * F.col("resid")).alias("_xr"), F.sum(F.col("x") * F.col("x")).alias("_xx"))
+    mine = keys.select(F.explode("_parts").alias(part), "_n", "_xr", "_xx").groupBy(part).agg(*(F.sum(c).alias(f"_o{c}") for c in ("_n", "_xr", "_xx")))
+    whole = keys.agg(*(F.sum(c).alias(f"_w{c}") for c in ("_n", "_xr", "_xx")))
+    fit = mine.join(F.broadcast(whole), how="left").select(part, (F.col("_w_n") - F.col("_o_n")).alias("n_train"), ((F.col("_w_xr") - F.col("_o_xr")) / (F.col("_w_xx") - F.col("_o_xx") + alpha)).alias("slope"))
+    test = slim.groupBy(part).agg(F.count("*").alias("n_test"), *(F.sum(a * b).alias(n) for n, a, b in (("_rr", F.col("resid"), F.col("resid")), ("_xr", F.col("x"), F.col("resid")), ("_xx", F.col("x"), F.col("x")))))
+    mse = (F.col("_rr") - 2 * F.col("slope") * F.col("_xr") + F.col("slope") * F.col("slope") * F.col("_xx")) / F.col("n_test")
+    return test.join(fit, part).select(part, "n_test", "n_train", "slope", F.sqrt(F.greatest(F.lit(0.0), mse)).alias("rmse"))

@@ -7,10 +7,11 @@ the calendar and tasks by AQE's partition sizes.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
@@ -130,51 +131,222 @@ def lagged_cubic(panel: DataFrame, maps: DataFrame, target: str = "s2") -> DataF
 
 
 def huber_affine(x: np.ndarray, y: np.ndarray, rounds: int = 6) -> tuple[float, float]:
-    """M8: y = a + b x by reweighted least squares, a within 0.4 of zero and b from 0 to 2.5."""
-    w, a, b = np.ones(len(x)), 0.0, 1.0
-    for _ in range(rounds):
+    """M8: y = a + b x by reweighted least squares, a within 0.4 of zero and b from 0 to 2.5.
+
+    Residuals further than 1.5 scaled MADs from their median lose weight.  Under four points,
+    or without spread in x, the line is flat at the median.
+    """
+    if len(x) < 4 or np.std(x) < 1e-8:
+        return (float(np.median(y)) if len(y) else 0.35), 0.0
+    w = np.ones(len(x))
+    for k in range(rounds + 1):
         mx, my = np.average(x, weights=w), np.average(y, weights=w)
-        v = float((w * (x - mx) ** 2).sum())
-        b = float((w * (x - mx) * (y - my)).sum() / v) if v > 1e-12 else 1.0
-        a = my - b * mx
-        r = np.abs(y - a - b * x)
-        w = np.minimum(1, 1.5 * max(float(np.median(r)), 1e-4) / np.maximum(r, 1e-9))
+        b = float((w * (x - mx) * (y - my)).sum() / (w * (x - mx) ** 2).sum())
+        a = float(my - b * mx)
+        if k < rounds:
+            far = np.abs((y - a - b * x) - np.median(y - a - b * x))
+            w = 1 / np.maximum(1, far / (1.5 * (1.4826 * np.median(far) + 1e-5)))
     return float(np.clip(a, -0.4, 0.4)), float(np.clip(b, 0, 2.5))
 
 
-def low_rank(matrix: np.ndarray, rank: int = 4, rounds: int = 20) -> np.ndarray:
-    """Missing cells of a small matrix by an iterated truncated SVD, from column medians."""
+def cross_validated(x: np.ndarray, y: np.ndarray, least: int = 6) -> tuple[float, float, float, float] | None:
+    """M8: (a, b, RMSE, MAE) of the Huber line, errors from two to five interleaved folds; None where it can't be judged."""
+    n = len(x)
+    if n < least or np.std(x) < 1e-7 or np.std(y) < 1e-7:
+        return None
+    fold = np.arange(n) % min(5, max(2, n // 5))
+    out = np.full(n, np.nan)
+    for f in range(fold.max() + 1):
+        rest = fold != f
+        if rest.sum() >= 4:
+            a, b = huber_affine(x[rest], y[rest])
+            out[~rest] = a + b * x[~rest]
+    e = (out - y)[np.isfinite(out)]
+    if len(e) < max(4, n // 2):
+        return None
+    return *huber_affine(x, y), float(np.sqrt(np.mean(e * e))), float(np.mean(np.abs(e)))
+
+
+def pair_models(panel: DataFrame, reach: int = 4, least: int = 6) -> DataFrame:
+    """M8: (aoi, peer, n, a, b, cv_rmse, cv_mae) of AOIs at most ``reach`` apart in id over their common dates.
+
+    A group is one pair's dates, so the calendar bounds it; the reach bounds the pairs of an AOI.
+    """
+    own = panel.where("y IS NOT NULL").select("date", "ord", "aoi", "num", "y")
+    peers = own.select("date", F.explode(F.array(*(F.col("num") + k for k in range(-reach, reach + 1) if k))).alias("num"), F.col("aoi").alias("peer"), F.col("y").alias("x"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("ord")
+        got = cross_validated(g.x.to_numpy(), g.y.to_numpy(), least)
+        rows = [] if got is None else [(g.aoi.iloc[0], g.peer.iloc[0], len(g), *got)]
+        return pd.DataFrame(rows, columns=["aoi", "peer", "n", "a", "b", "cv_rmse", "cv_mae"])
+
+    return own.join(peers, ["date", "num"]).select("aoi", "peer", "ord", "x", "y").groupBy("aoi", "peer").applyInPandas(run, "aoi string, peer string, n long, a double, b double, cv_rmse double, cv_mae double")
+
+
+def low_rank(matrix: np.ndarray, rank: int = 4, rounds: int = 20, limit: float | None = None) -> np.ndarray:
+    """Missing cells of a small matrix by an iterated truncated SVD, from column medians; ``limit`` bounds what is filled in."""
     seen = np.isfinite(matrix)
-    start = np.where(seen.any(axis=0), np.nanmedian(np.where(seen, matrix, np.nan), axis=0, keepdims=False) if seen.any() else 0.0, 0.0)
+    start = np.array([np.median(v[np.isfinite(v)]) if np.isfinite(v).any() else 0.0 for v in matrix.T])
     x = np.where(seen, matrix, start)
     for _ in range(rounds):
         u, s, v = np.linalg.svd(x, full_matrices=False)
-        x = np.where(seen, matrix, (u[:, :rank] * s[:rank]) @ v[:rank])
+        z = (u[:, :rank] * s[:rank]) @ v[:rank]
+        x = np.where(seen, matrix, z if limit is None else np.clip(z, -limit, limit))
     return x
 
 
-def route(counts: dict[str, F.Column], posterior: dict[str, F.Column], purity: float = 0.67) -> F.Column:
-    """M7: the sensor most neighbours have, where they agree enough; else the posterior's mode."""
-    total = sum(list(counts.values())[1:], list(counts.values())[0])
-    most = F.greatest(*counts.values())
+def completed(panel: DataFrame, width: int = 64, rank: int = 4) -> DataFrame:
+    """Gap rows from the low-rank completion of date x AOI residuals around each AOI's monthly median.
+
+    A matrix holds one year and at most ``width`` AOIs, so its size does not grow with the input.
+    """
+    p = panel.withColumn("bin", expr.profile_bin(F.col("doy")))
+    base = p.where("y IS NOT NULL").groupBy("aoi", "bin").agg(F.median("y").alias("m"))
+    rows = p.join(base, ["aoi", "bin"]).select("aoi", "yr", "ord", "gap", "m", (F.col("y") - F.col("m")).alias("r"), F.floor(F.col("num") / width).alias("block"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        asked = g[g.gap]
+        known = g[g.r.notna()]
+        if not len(asked) or not len(known):
+            return asked[["aoi", "yr", "ord"]].iloc[:0].assign(pred=np.zeros(0))
+        ids, days = np.unique(g.aoi.astype(str)), np.unique(g.ord)
+        m = np.full((len(days), len(ids)), np.nan)
+        m[np.searchsorted(days, known.ord), np.searchsorted(ids, known.aoi.astype(str))] = known.r
+        limit = float(np.clip(np.quantile(np.abs(known.r), 0.995), 0.12, 0.8))
+        x = low_rank(m, rank, limit=limit)
+        return asked[["aoi", "yr", "ord"]].assign(pred=np.clip(asked.m.to_numpy() + x[np.searchsorted(days, asked.ord), np.searchsorted(ids, asked.aoi.astype(str))], -0.2, 1.1))
+
+    return rows.groupBy("yr", "block").applyInPandas(run, OUT)
+
+
+def seasonal_curve(doy: np.ndarray, y: np.ndarray, q: float, radius: float = 18.0, k: int = 24) -> float:
+    """A weighted parabola at day q through the k nearest days within the radius (the k nearest at all where under four lie in it)."""
+    far = np.abs(doy - q)
+    pick = np.argsort(far, kind="stable")
+    near = pick[far[pick] <= radius]
+    pick = (near if len(near) >= 4 else pick)[:k]
+    w = 1 / (1 + far[pick] / radius)
+    b = np.vander((doy[pick] - q) / radius, min(2, len(pick) - 1) + 1, increasing=True)
+    return float(np.linalg.lstsq(b * w[:, None], y[pick] * w, rcond=None)[0][0])
+
+
+def cross_year(panel: DataFrame, local: DataFrame | None = None, anchors: int = 40) -> DataFrame:
+    """(aoi, yr, ord, pred) of gap rows from the AOI's curve over other years.
+
+    The curve is fitted to the year's own values by a Huber line, trusted the more the more
+    anchors there are (all from twelve on).  ``local`` (aoi, yr, ord, pred) is blended in with 0.2 to 0.75,
+    as the year's values number up to 90.  AOIs seen in no other year have no row.  A group is one AOI.
+    """
+    rows = panel.select("aoi", "yr", "ord", "doy", "y", "gap")
+    rows = rows.withColumn("local", F.lit(None).cast("double")) if local is None else rows.join(local.select("aoi", "yr", "ord", F.col("pred").alias("local")), ["aoi", "yr", "ord"], "left")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        known = g[g.y.notna() & ~g.gap].sort_values(["yr", "doy"])
+        for yr, asked in g[g.gap].groupby("yr"):
+            old, cur = known[known.yr != yr], known[known.yr == yr]
+            if not len(old):
+                continue
+            hx, hy, cx, cy = old.doy.to_numpy(float), old.y.to_numpy(), cur.doy.to_numpy(float), cur.y.to_numpy()
+            at = {d: seasonal_curve(hx, hy, d) for d in np.unique(np.concatenate([cx, asked.doy.to_numpy(float)]))}
+            pred = np.array([at[d] for d in asked.doy.astype(float)])
+            if len(cx) >= 4:
+                share = min(1.0, min(len(cx), anchors) / 12)
+                for j, d in enumerate(asked.doy.astype(float)):
+                    pick = np.argsort(np.abs(cx - d), kind="stable")[:anchors]
+                    a, b = huber_affine(np.array([at[c] for c in cx[pick]]), cy[pick])
+                    pred[j] = (1 - share) * pred[j] + share * (a + b * pred[j])
+            own = asked.local.to_numpy(float)
+            w = np.where(np.isfinite(own), min(0.75, max(0.2, len(cx) / 90)), 0.0)
+            parts.append(asked[["aoi", "yr", "ord"]].assign(pred=np.clip(w * np.nan_to_num(own) + (1 - w) * pred, -0.2, 1.1)))
+        return pd.concat(parts) if parts else g[["aoi", "yr", "ord"]].iloc[:0].assign(pred=np.zeros(0))
+
+    return rows.groupBy("aoi").applyInPandas(run, OUT)
+
+
+def z_space(panel: DataFrame, floor: float = 0.02) -> DataFrame:
+    """Gap rows by the line between neighbours in units of the AOI's monthly mean and deviation."""
+    from .windows import neighbours
+
+    p = panel.withColumn("bin", expr.profile_bin(F.col("doy")))
+    norm = p.where("y IS NOT NULL").groupBy("aoi", "bin").agg(F.avg("y").alias("m"), F.greatest(F.lit(floor), F.coalesce(F.stddev_pop("y"), F.lit(0.0))).alias("s"))
+    z = neighbours(p.join(norm, ["aoi", "bin"], "left").withColumn("z", (F.col("y") - F.col("m")) / F.col("s")), "z")
+    return z.where("gap").select("aoi", "date", expr.clip(F.col("m") + F.col("s") * F.col("lerp"), -0.2, 1.1).alias("pred"))
+
+
+def peer_ridge(panel: DataFrame, reach: int = 4, k: int = 8, alpha: float = 10.0, least: int = 30) -> DataFrame:
+    """The residual of gap rows from same-date residuals of the AOIs at most ``reach`` apart in id.
+
+    Each pair's slope comes from deviations from medians over common dates, shrunk by alpha and
+    within two; the k best correlated peers count by their correlation, 0.05 at least.
+    """
+    p = panel.withColumn("bin", expr.profile_bin(F.col("doy")))
+    base = p.where("y IS NOT NULL").groupBy("aoi", "bin").agg(F.median("y").alias("m"))
+    rows = p.join(base, ["aoi", "bin"]).withColumn("r", F.col("y") - F.col("m"))
+    seen = rows.where("r IS NOT NULL").select("date", "num", "aoi", F.col("r").alias("z"))
+    peers = seen.select("date", "aoi", "z", F.explode(F.array(*(F.col("num") + d for d in range(-reach, reach + 1) if d))).alias("num")).select("date", "num", F.col("aoi").alias("peer"), F.col("z").alias("x"))
+    pairs = seen.join(peers, ["date", "num"])
+    mid = pairs.groupBy("aoi", "peer").agg(F.count("*").alias("n"), F.median("x").alias("xm"), F.median("z").alias("zm"), F.corr("x", "z").alias("c")).where((F.col("n") >= least) & F.col("c").isNotNull())
+    dx, dz = F.col("x") - F.col("xm"), F.col("z") - F.col("zm")
+    fit = pairs.join(mid, ["aoi", "peer"]).groupBy("aoi", "peer", "xm", "zm", "c").agg(expr.clip(F.sum(dx * dz) / (F.sum(dx * dx) + alpha), -2, 2).alias("b"))
+    best = fit.withColumn("_r", F.row_number().over(Window.partitionBy("aoi").orderBy(F.round("c", 12).desc(), "peer"))).where(F.col("_r") <= k)
+    asked = rows.where("gap").select("aoi", "num", "date", "m").join(peers, ["date", "num"]).join(best, ["aoi", "peer"])
+    w = F.greatest(F.col("c"), F.lit(0.05))
+    return asked.groupBy("aoi", "date").agg((F.first("m") + F.sum(w * (F.col("zm") + F.col("b") * dx)) / F.sum(w)).alias("pred"), F.count("*").alias("n_peers"))
+
+
+def route(counts: list[dict[str, Column]], posterior: dict[str, Column], least: int = 1, purity: float = 0.67) -> Column:
+    """M7: the sensor most neighbours have at the first radius where enough of them agree; else the posterior's mode.  Ties go to the first sensor."""
     mode = lambda d: F.coalesce(*(F.when(c == F.greatest(*d.values()), s) for s, c in d.items()))
-    return F.when((total >= 1) & (most / total >= purity), mode(counts)).otherwise(mode(posterior))
+    out = F.lit(None).cast("string")
+    for c in reversed(counts):
+        total = reduce(lambda a, b: a + b, c.values())
+        out = F.when((total >= least) & (F.greatest(*c.values()) >= purity * F.greatest(F.lit(1), total)), mode(c)).otherwise(out)
+    return F.coalesce(out, mode(posterior))
+
+
+def soft_route(counts: dict[str, Column], posterior: dict[str, Column], prior: float = 0.25, power: float = 2.0) -> dict[str, Column]:
+    """M7: shares of the sensors from counts and a share of the posterior, sharpened by a power."""
+    q = {s: c + prior * posterior[s] for s, c in counts.items()}
+    total = reduce(lambda a, b: a + b, q.values())
+    w = {s: F.pow(expr.clip(F.when(total > 0, c / total).otherwise(posterior[s]), 1e-9, 1.0), power) for s, c in q.items()}
+    whole = reduce(lambda a, b: a + b, w.values())
+    return {s: c / whole for s, c in w.items()}
+
+
+def trust(days: Column, far: float = 0.30) -> Column:
+    """M7: the weight of a neighbour by its distance: 0.5 up to 2, 0.4 up to 8, else the far one."""
+    return F.when(days <= 2, 0.50).when(days <= 8, 0.40).otherwise(far)
+
+
+def source_counts(panel: DataFrame, radii: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+    """M7: for gap rows, the sensors of same-crop AOIs that day within each id distance, and the nearest one's distance."""
+    reach = max(radii)
+    seen = panel.where("y IS NOT NULL AND source <> 'none'").select("date", "crop_type", "source", F.col("num").alias("p_num"))
+    near = seen.select("date", "crop_type", "source", "p_num", F.explode(F.array(*(F.col("p_num") + d for d in range(-reach, reach + 1) if d))).alias("num"))
+    far = F.abs(F.col("num") - F.col("p_num"))
+    asked = panel.where("gap").select("aoi", "num", "date", "crop_type").join(near, ["date", "crop_type", "num"], "left")
+    return asked.groupBy("aoi", "date").agg(F.min(far).alias("nearest"), *(F.count_if((far <= r) & (F.col("source") == s)).alias(f"{s}_{r}") for r in radii for s in expr.SENSORS))
 
 
-def blend(weights: dict[str, float], lo: float = -0.2, hi: float = 1.1) -> F.Column:
+def blend(weights: dict[str, float], lo: float = -0.2, hi: float = 1.1) -> Column:
     """M9: a weighted sum of prediction columns, clipped."""
     first, *rest = [w * F.col(c) for c, w in weights.items()]
     return expr.clip(sum(rest, first), lo, hi)
 
 
 def trees(train: DataFrame, features: list[str], target: str, kind: str = "gbt", seed: int = 7):
-    """Medians for missing values, then boosted trees, a forest, a linear model or a forest classifier; a fitted PipelineModel."""
+    """Medians for missing values, then boosted trees, a forest, a linear model on scaled features (ridge, plain or Huber) or a forest classifier; a fitted PipelineModel."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
     stages = [Imputer(strategy="median", inputCols=features, outputCols=[f"{f}_i" for f in features]), VectorAssembler(inputCols=[f"{f}_i" for f in features], outputCol="features")]
+    if kind in ("ridge", "ols", "huber"):
+        stages[-1].setOutputCol("raw")
+        stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True))
     if kind == "source":
         stages += [StringIndexer(inputCol=target, outputCol="label"), RandomForestClassifier(numTrees=30, maxDepth=8, seed=seed)]
     else:
@@ -182,5 +354,12 @@ def trees(train: DataFrame, features: list[str], target: str, kind: str = "gbt",
             "gbt": lambda: GBTRegressor(labelCol=target, maxIter=40, maxDepth=4, stepSize=0.1, seed=seed),
             "forest": lambda: RandomForestRegressor(labelCol=target, numTrees=60, maxDepth=9, minInstancesPerNode=5, seed=seed),
             "ridge": lambda: LinearRegression(labelCol=target, regParam=0.1),
+            "ols": lambda: LinearRegression(labelCol=target, solver="normal"),
+            "huber": lambda: LinearRegression(labelCol=target, loss="huber", regParam=0.01),
         }[kind]())
-    return Pipeline(stages=stages).fit(train)
+    # Each stage and each round of a solver reads the rows again.
+    own = train.select(*features, target).persist()
+    try:
+        return Pipeline(stages=stages).fit(own)
+    finally:
+        own.unpersist()

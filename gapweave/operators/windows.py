@@ -107,10 +107,32 @@ def autocorrelation(df: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 4, 5, 7, 8,
     return own.join(later, ["aoi", "ord"]).groupBy("lag").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r")).where(F.col("n") >= least)
 
 
-def loo_residual(df: DataFrame, least: int = 3) -> DataFrame:
-    """Residual of each known row from the line between its neighbours, and the date's median over at least three AOIs."""
-    r = neighbours(df).where("y IS NOT NULL AND NOT edge").withColumn("resid", F.col("y") - F.col("lerp"))
-    return r.groupBy("date").agg(F.median("resid").alias("shock"), F.count_distinct("aoi").alias("n_aoi")).where(F.col("n_aoi") >= least)
+def loo_residual(df: DataFrame) -> DataFrame:
+    """Known rows between two neighbours with resid, their distance from the line that leaves them out."""
+    return neighbours(df).where("y IS NOT NULL AND NOT edge").withColumn("resid", F.col("y") - F.col("lerp"))
+
+
+def shock(resid: DataFrame, by: list[str], least: int = 3) -> DataFrame:
+    """Median by group (date, with crop or source) of each AOI's own median, and the number of AOIs, at least three."""
+    own = resid.groupBy(*by, "aoi").agg(F.median("resid").alias("r"))
+    return own.groupBy(*by).agg(F.median("r").alias("shock"), F.count("*").alias("n_aoi")).where(F.col("n_aoi") >= least)
+
+
+def near_shock(queries: DataFrame, resid: DataFrame, reach: int = 8, sigma: float = 3.5, least: int = 3, tail: float = 0.1) -> DataFrame:
+    """Per query row (aoi, ord) the Gaussian mean of other AOIs' residuals within some days, winsorised at their weighted 10 and 90 %.
+
+    The band is an equi-join on shifted days.  It pairs AOIs of near dates, as the reference
+    does; on very wide panels give both sides of one region at a time.
+    """
+    other = resid.select(F.col("aoi").alias("p_aoi"), F.col("resid").alias("r"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("s"), F.col("ord").alias("o"))
+    other = other.select("p_aoi", "r", (F.col("o") + F.col("s")).alias("ord"), F.exp(-0.5 * F.pow(F.col("s") / sigma, 2)).alias("w"))
+    pairs = queries.select("aoi", "ord").join(other, "ord").where("aoi <> p_aoi")
+    by = Window.partitionBy("aoi", "ord")
+    up = pairs.withColumns({"c": F.sum("w").over(by.orderBy("r", "p_aoi", "w").rowsBetween(Window.unboundedPreceding, 0)), "whole": F.sum("w").over(by)})
+    edge = lambda q: F.min(F.when(F.col("c") >= q * F.col("whole"), F.col("r"))).over(by)
+    cut = up.withColumns({"lo": edge(tail), "hi": edge(1 - tail)})
+    value = F.greatest("lo", F.least("hi", "r"))
+    return cut.groupBy("aoi", "ord").agg((F.sum(F.col("w") * value) / F.sum("w")).alias("shock_near"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def state(pairs: DataFrame, by: list[str], days: Column, resid: Column, tau: float = 45.0, reach: int = 120, k: int = 8) -> DataFrame:

@@ -91,7 +91,7 @@ def w12_a21_autocorrelation(spark, sf):
 
 @query(_NB + """SELECT date, round((median(y - lerp)) * 1048573) / 1048573 AS shock, count(DISTINCT aoi) AS n_aoi FROM nb WHERE y IS NOT NULL AND NOT edge GROUP BY date HAVING count(DISTINCT aoi) >= 3""")
 def w13_loo_shock(spark, sf):
-    return gridded(win.loo_residual(panel(spark, sf)))
+    return gridded(win.shock(win.loo_residual(panel(spark, sf)), ["date"]))
 
 
 @query(""",

@@ -130,3 +130,35 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got = {(r["day"], r["event_type"]): r["n"] for r in spark.table("daily_out").collect()}
     want = {(r["day"], r["event_type"]): r["n"] for r in events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_pair_models_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    days = [dt.date(2024, 5, 1) + dt.timedelta(days=k) for k in range(20)]
+    a, b = rng.uniform(0.2, 0.6, 20), rng.normal(0, 0.02, 20)
+    rows = [("A", 1, d, float(x)) for d, x in zip(days, a)] + [("B", 3, d, float(0.1 + 0.8 * x + e)) for d, x, e in zip(days, a, b)] + [("C", 30, d, 0.5) for d in days]
+    p = spark.createDataFrame(rows, "aoi string, num long, date date, y double").withColumn("ord", expr.ordinal(F.col("date")))
+    got = {(r["aoi"], r["peer"]): r for r in estimators.pair_models(p).collect()}
+    assert set(got) == {("A", "B"), ("B", "A")}
+    x, y = a, 0.1 + 0.8 * a + b
+    want = estimators.huber_affine(x, y)
+    assert (got["B", "A"]["a"], got["B", "A"]["b"]) == pytest.approx(want)
+    err = [estimators.huber_affine(x[np.arange(20) % 4 != k % 4], y[np.arange(20) % 4 != k % 4]) for k in range(20)]
+    e = np.array([i + s * v for (i, s), v in zip(err, x)]) - y
+    assert got["B", "A"]["cv_rmse"] == pytest.approx(float(np.sqrt(np.mean(e**2))))
+
+
+def test_other_years_give_their_curve(spark):
+    curve = lambda d: 0.3 + 0.2 * ((d - 150) / 60) ** 2
+    rows = [("A", yr, yr * 366 + d, d, curve(d), False) for yr in (1, 2) for d in range(100, 200, 5)] + [("A", 3, 3 * 366 + 150, 150, None, True), ("B", 3, 3 * 366 + 150, 150, None, True)]
+    p = spark.createDataFrame(rows, "aoi string, yr long, ord long, doy long, y double, gap boolean")
+    got = estimators.cross_year(p).collect()
+    assert [(r["aoi"], r["yr"]) for r in got] == [("A", 3)] and got[0]["pred"] == pytest.approx(0.3, abs=1e-6)
+
+
+def test_ridge_bounds_and_missing_features(spark):
+    df = spark.createDataFrame([(1.0, 3.0, 0.2), (2.0, 5.0, 0.2), (None, 4.0, 0.2), (3.0, 7.0, 0.2)], "a double, t double, base double")
+    coef = aggregates.ridge(df, ["a"], "t", 0.5, 0.75, intercept_alpha=0.05, most_intercept=0.03)
+    assert coef == pytest.approx([0.03, 0.75])
+    got = [r[0] for r in df.select(aggregates.corrected(F.col("base"), coef, ["a"], 0, 9)).collect()]
+    assert got == pytest.approx([0.98, 1.73, 0.23, 2.48])
