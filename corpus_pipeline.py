@@ -21,7 +21,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (SimHash candidates, Jaccard similarity of five-word shingles from 0.8) the row with the smallest doc_id stays; rows without a doc_id stay."""
+    """Of each class of near duplicates (Jaccard similarity of five-word shingles from 0.8, an exact join) the row with the smallest doc_id stays; rows without a doc_id stay."""
     return near.keep_first(docs)
 
 

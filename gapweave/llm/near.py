@@ -1,59 +1,35 @@
-"""Near-duplicates by similarity: SimHash candidates over a byte-position index, verified on word shingles.
-
-Texts whose shingle sets agree by 0.8 or more differ in more SimHash bits than a guaranteed
-number of equal bytes allows for, so this works with probabilities.  Fingerprints of 128 bits
-over word pairs are indexed by pairs of positional bytes, 40 of the 120 pairs; documents that
-meet there have their shared positional bytes tallied and their Hamming distance checked, and
-pairs that pass are compared by the Jaccard similarity of their five-word shingles.  Equal
-texts are one node throughout.
+"""Near-duplicates by similarity: an exact join on the Jaccard similarity of word shingles.
+
+Two sets of n and more hashes that agree by 0.8 or more have 0.8 n of them in common, so they
+share one of the first n - ceil(0.8 n) + 1 hashes of each in any fixed order (prefix filter).
+The order puts shingles that few texts hold first; counts of hashed slots make it, which steer
+the cost but never the result.  Texts that share such a hash form a list, and links are
+verified inside the lists on whole sets, before anything is left out: what remains unvisited
+after a search from verified neighbour to neighbour has been compared with every text it could
+be linked to.  Equal texts are one node throughout.
 """
 
 from __future__ import annotations
 
+import math
+import os
+import uuid
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed, simhash, textops
-from .shared import buckets, local_path, prepare, scratch, written
+from .shared import buckets, drop, local_path, prepare, scratch, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Fingerprints: words of a shingle; index: byte pairs; filter: equal positional bytes and differing bits of 128.
-PAIR, KEYS, LEAST_BYTES, MOST_BITS = 2, 40, 2, 24
-#: Shingle hashes (of 32 bits) that stand for a text: sets up to this size compare exactly, larger ones by their smallest hashes.
-SKETCH = 1024
-#: Posting lists up to this size compare all pairs; in longer ones a text meets that many neighbours in order of the fingerprint.
-WHOLE, BESIDE = 2048, 64
-_MANY = 16
-
-
-def byte_pairs() -> list[tuple[int, int]]:
-    """The indexed pairs of byte positions: spread so that each position takes part equally often."""
-    every = list(combinations(range(16), 2))
-    order = np.random.default_rng(11).permutation(len(every))
-    used, out = np.zeros(16, int), []
-    while len(out) < KEYS:
-        k = min((k for k in order if every[k] not in out), key=lambda k: used[list(every[k])].sum())
-        out.append(every[k])
-        used[list(every[k])] += 1
-    return out
-
-
-def _majority(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint for each run of hashes that starts at ``at``."""
-    planes = h.view(np.uint8).reshape(-1, 8)
-    sizes = np.diff(np.append(at, len(h)))
-    out = np.zeros((len(at), 8), np.uint8)
-    for k in range(8):
-        bits = np.unpackbits(planes[:, k, None], axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        out[:, k] = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little")[:, 0]
-    return out.reshape(-1).view("<u8")
+#: Slots of the counts that order shingles and of the bitmap that bounds overlaps; hashes that are compared at a time.
+SLOTS, AT_ONCE = 1 << 20, 4 << 20
+_SLOT, _PLACE = np.uint64(SLOTS - 1), 40
 
 
 def _shingles(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,63 +52,97 @@ def _shingles(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray
     return out, begin
 
 
-def _spanning(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of least Hamming distance that connect all of a list that pass the filter connects (Boruvka)."""
-    x = f[:, None, :] ^ f[None, :, :]
-    d = np.bitwise_count(x).sum(axis=2, dtype=np.int16)
-    d[~_enough(x.reshape(-1, 2), d.reshape(-1)).reshape(d.shape)] = 999
-    np.fill_diagonal(d, 999)
-    label, left, right = np.arange(len(f)), [], []
-    while True:
-        open_d = np.where(label[:, None] == label[None, :], 999, d)
-        to = open_d.argmin(axis=1)
-        far = open_d[np.arange(len(f)), to]
-        order = np.lexsort((np.arange(len(f)), far, label))
-        first = order[np.concatenate([[True], label[order][1:] != label[order][:-1]])]
-        joined = False
-        for i in first[far[first] < 999]:
-            a, b = label[i], label[to[i]]
-            if a != b:
-                left.append(i)
-                right.append(to[i])
-                label[label == max(a, b)] = min(a, b)
-                joined = True
-        if not joined:
-            return np.array(left, np.int64), np.array(right, np.int64)
-
-
-def _enough(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Count filter and distance of XORed fingerprints."""
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 16) == 0).sum(axis=1)
-    return (shared >= LEAST_BYTES) & (bits <= MOST_BITS)
-
-
-def _candidates(key: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one posting list each that pass the filter; rows come in order of key and fingerprint."""
-    starts = packed.runs(key)
-    sizes = np.diff(np.append(starts, len(key)))
-    size = np.repeat(sizes, sizes)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for step in range(1, min(BESIDE, int(sizes.max(initial=1)) - 1) + 1):
-        at = np.flatnonzero((key[step:] == key[:-step]) & ((size[step:] <= _MANY) | (size[step:] > WHOLE)))
-        x = f[at] ^ f[at + step]
-        at = at[_enough(x, np.bitwise_count(x).sum(axis=1))]
-        left.append(at)
-        right.append(at + step)
-    for k in np.flatnonzero((sizes > _MANY) & (sizes <= WHOLE)):
-        a, b = _spanning(f[starts[k] : starts[k] + sizes[k]])
-        left.append(a + starts[k])
-        right.append(b + starts[k])
-    return np.concatenate(left), np.concatenate(right)
+def prefix(n: int, similarity: float) -> int:
+    """How many of the first of n hashes a set has to be found by."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def _order(folder: str, to: str) -> None:
+    """Ranks of slots by the counts that tasks have left in a folder, scaled to 16 bits."""
+    total = np.zeros(SLOTS, np.int64)
+    for name in os.listdir(folder):
+        if not name.startswith("."):
+            total += np.load(f"{folder}/{name}")
+    np.save(to, np.minimum(total * (1000 / max(total.mean(), 1)), 65535).astype(np.uint16))
+
+
+class _Sets:
+    """Sorted sets of hashes in the files that tasks wrote, by node: the file's number and the place in it."""
+
+    def __init__(self, folder: str):
+        self.folder, self.files = folder, {}
+
+    def _at(self, node: int) -> tuple[np.ndarray, int]:
+        number = node >> _PLACE
+        if number not in self.files:
+            self.files[number] = np.asarray(np.memmap(f"{self.folder}/{number}", np.uint64, "r"))
+        return self.files[number], node & ((1 << _PLACE) - 1)
+
+    def ident(self, node: int) -> int:
+        f, at = self._at(node)
+        return int(f[at : at + 1].view(np.int64)[0])
+
+    def of(self, node: int) -> np.ndarray:
+        f, at = self._at(node)
+        return f[at + 2 : at + 2 + int(f[at + 1])]
 
 
 def _similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two ascending sketches; of the smallest hashes of the union where one is cut."""
-    both = np.union1d(a, b)
-    if max(len(a), len(b)) >= SKETCH:
-        both = both[:SKETCH]
-    same = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(both, same, assume_unique=True).mean()) if len(both) else 1.0
+    """Jaccard similarity of two ascending sets."""
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same / (len(a) + len(b) - same) if len(a) + len(b) else 1.0
+
+
+def _alike(x: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, similarity: float, bits: np.ndarray) -> Iterator[int]:
+    """Which of the sets are similar to x.  Hashes whose slot x has bound the overlap from above; what passes is compared exactly."""
+    bits[x & _SLOT] = True
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sets):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE, side="right")))
+        hit = bits[np.concatenate(sets[a:b]) & _SLOT]
+        most = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[a : b - 1])]), dtype=np.int64)
+        most = np.minimum(most, np.minimum(sizes[a:b], len(x)))
+        for k in np.flatnonzero(most / (sizes[a:b] + len(x) - most) >= similarity):
+            if _similarity(x, sets[a + k]) >= similarity:
+                yield a + int(k)
+        a = b
+    bits[x & _SLOT] = False
+
+
+def _links(nodes: list[int], store: _Sets, similarity: float, root: dict[int, int], bits: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Verified pairs of a list's nodes that connect all that similar pairs connect.  root (union-find) knows the links of other lists and learns these."""
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = v = root.get(up, up)
+        return v
+
+    group = np.array([find(v) for v in nodes])
+    if (group == group[0]).all():
+        return
+    sets = [store.of(v) for v in nodes]
+    sizes = np.array([len(x) for x in sets])
+    unseen = np.ones(len(nodes), bool)
+    for first in range(len(nodes)):
+        if not unseen[first]:
+            continue
+        front = np.flatnonzero(unseen & (group == group[first])).tolist()
+        unseen[front] = False
+        while front and unseen.any():
+            k = front.pop()
+            n = sizes[k]
+            rest = np.flatnonzero(unseen & (np.minimum(sizes, n) >= similarity * np.maximum(sizes, n) - 1e-9))
+            if not len(rest):
+                continue
+            for j in [*_alike(sets[k], [sets[r] for r in rest], sizes[rest], similarity, bits)]:
+                z = int(rest[j])
+                if unseen[z]:
+                    root[find(nodes[z])] = find(nodes[k])
+                    yield nodes[k], nodes[z]
+                    more = np.flatnonzero(unseen & (group == group[z]))
+                    unseen[more] = False
+                    front += more.tolist()
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
@@ -143,65 +153,86 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = prepare(docs.sparkSession)
     home = scratch(spark, "near")
+    path = local_path(home)
+    for name in ("counts", "sets"):
+        os.makedirs(f"{path}/{name}", exist_ok=True)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
         for batch in textops.chunks(batches, "_text", 4 << 20):
-            h, begin = _shingles(batch, PAIR)
-            f = np.zeros((batch.num_rows, 2), np.uint64)
-            full = np.flatnonzero(np.diff(begin))
-            for k in range(2):
-                if len(full):
-                    f[full, k] = _majority(textops.mix(h ^ np.uint64(0x9E3779B97F4A7C15 * k & (2**64 - 1))), begin[full])
-            raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t or "") for t in batch.column("_text").to_pylist()), "<i8").reshape(-1, 2)
-            cols = [pa.array(np.ascontiguousarray(c)) for c in (raw[:, 0], raw[:, 1], f.view(np.int64)[:, 0], f.view(np.int64)[:, 1])]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *cols], ["_id", "t1", "t2", "f1", "f2"])
-
-    own = written(rows.mapInArrow(run, "_id long, t1 long, t2 long, f1 long, f2 long"), f"{home}/own")
-    texts = written(own.groupBy("t1", "t2").agg(F.min("_id").alias("least"), F.first("f1").alias("f1"), F.first("f2").alias("f2")), f"{home}/texts")
-
-    byte = lambda p: F.shiftrightunsigned(F.col("f1" if p < 8 else "f2"), 8 * (p % 8)).bitwiseAND(F.lit(255))
-    keys = F.explode(F.array(*((byte(p) * 256 + byte(q) + (k << 16)).cast("long") for k, (p, q) in enumerate(byte_pairs()))))
-    posted = texts.select(keys.alias("key"), "least", "f1", "f2").repartition(n, "key")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            h, begin = _shingles(batch, width)
+            seen += np.bincount((h & _SLOT).astype(np.int64), minlength=SLOTS)
+            texts = batch.column("_text").to_pylist()
+            raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t if k else "") for t, k in zip(texts, np.diff(begin))), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(np.ascontiguousarray(raw[:, k])) for k in (0, 1))], ["_id", "t1", "t2"])
+        if seen.any():
+            made = uuid.uuid4().hex
+            np.save(f"{path}/counts/.{made}.npy", np.minimum(seen, 65535).astype(np.uint16))
+            os.replace(f"{path}/counts/.{made}.npy", f"{path}/counts/{made}.npy")
+
+    own = written(rows.mapInArrow(run, "_id long, t1 long, t2 long"), f"{home}/own")
+    _order(f"{path}/counts", f"{path}/order.npy")
+    drop(spark, f"{home}/counts")
+    texts = written(own.groupBy("t1", "t2").agg(F.min("_id").alias("least")), f"{home}/texts")
+    asked = packed.id_store(texts.select("least"), f"{path}/least", buckets(spark))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, at = np.load(f"{path}/order.npy"), 0
+        number = TaskContext.get().taskAttemptId() % (1 << 23)
+        with open(f"{path}/sets/{number}", "wb") as f:
+            for batch in textops.chunks(batches, "_text", 4 << 20):
+                batch = batch.filter(pa.array(packed.holds(asked, batch.column("_id"))))
+                h, begin = _shingles(batch, width)
+                keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for i, x, y in zip(batch.column("_id").to_pylist(), begin[:-1], begin[1:]):
+                    if y > x:
+                        u = np.unique(h[x:y])
+                        f.write(np.array([i, len(u)], np.int64).data)
+                        f.write(u.data)
+                        first = np.argsort(order[u & _SLOT], kind="stable")[: prefix(len(u), similarity)]
+                        keys.append(u[first])
+                        nodes.append(np.full(len(first), number << _PLACE | at))
+                        at += 2 + len(u)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+    # Written, so that nodes name the files of the attempts that count.
+    posted = written(rows.mapInArrow(post, "key long, node long"), f"{home}/posted").repartition(n, "key")
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not got:
             return
-        key, ids, f1, f2 = (np.concatenate(c) for c in zip(*got))
+        key, node = (np.concatenate(c) for c in zip(*got))
         got.clear()
-        order = np.lexsort((ids, f2, f1, key))
-        f = np.stack([f1[order], f2[order]], axis=1).view(np.uint64)
-        a, b = _candidates(key[order], f)
-        pairs = np.sort(np.stack([ids[order][a], ids[order][b]], axis=1), axis=1)
-        pairs = np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
-
-    edges = written(posted.mapInArrow(link, "a long, b long").distinct(), f"{home}/edges")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    asked = packed.id_store(ends, local_path(f"{home}/ends"), buckets(spark))
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.chunks(batches, "_text", 4 << 20):
-            batch = batch.filter(pa.array(packed.holds(asked, batch.column("_id"))))
-            if batch.num_rows:
-                h, begin = _shingles(batch, width)
-                small = (h >> np.uint64(32)).astype(np.uint32)
-                made = [np.unique(small[x:y])[:SKETCH].tobytes() for x, y in zip(begin[:-1], begin[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(made, pa.binary())], ["_id", "s"])
-
-    # An id that several rows share stands for its first sketch.
-    sketches = written(rows.mapInArrow(sketch, "_id long, s binary"), f"{home}/sketches").groupBy("_id").agg(F.min("s").alias("s"))
-    both = edges.join(sketches.select(F.col("_id").alias("a"), F.col("s").alias("sa")), "a").join(sketches.select(F.col("_id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        at = packed.runs(key)
+        ends = np.append(at[1:], len(key))
+        made, size = set(), 0
+        for k in np.flatnonzero(ends - at > 1):
+            made.add(node[at[k] : ends[k]].tobytes())
+            size += 8 * int(ends[k] - at[k])
+            if size > 32 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array([*made], pa.binary())], ["nodes"])
+                made, size = set(), 0
+        yield pa.RecordBatch.from_arrays([pa.array([*made], pa.binary())], ["nodes"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root, bits, done = _Sets(f"{path}/sets"), {}, np.zeros(SLOTS, bool), set()
         for batch in batches:
-            ok = [_similarity(np.frombuffer(x.as_buffer() or b"", np.uint32), np.frombuffer(y.as_buffer() or b"", np.uint32)) >= similarity for x, y in zip(batch.column("sa"), batch.column("sb"))]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    linked = both.mapInArrow(verify, "a long, b long")
+            pairs = []
+            for x in batch.column(0):
+                raw = x.as_buffer().to_pybytes()
+                if (name := xxhash.xxh3_128_digest(raw)) not in done:
+                    done.add(name)
+                    pairs += _links(np.frombuffer(raw, np.int64).tolist(), store, similarity, root, bits)
+            ends = [pa.array([store.ident(p[k]) for p in pairs], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    # Equal lists, as near copies share many, meet in one partition and are looked at once.
+    linked = posted.mapInArrow(lists, "nodes binary").repartition(n, "nodes").mapInArrow(verify, "a long, b long")
     roots = simhash.components(linked).withColumnRenamed("node", "least")
     named = texts.join(roots, "least", "left").select("t1", "t2", F.coalesce("root", "least").alias("root"))
     return own.join(named, ["t1", "t2"]).where("root < _id").select(F.col("_id").alias(id_col), "root")

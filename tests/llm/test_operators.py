@@ -251,6 +251,46 @@ def test_near_duplicates(spark, odd, empty):
     assert near.duplicates(empty).count() == 0 and near.keep_first(odd).columns == odd.columns
 
 
+def near_classes(spark, texts):
+    """Roots that the operator and brute force give, and the sets."""
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = {}
+    for i in sorted(sets):
+        for j, same in Counter(j for x in sets[i] for j in holders.get(x, ())).items():
+            if same >= 0.8 * (len(sets[i]) + len(sets[j]) - same):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    want = {i: find(i) for i in texts if find(i) != i}
+    return {r["doc_id"]: r["root"] for r in near.duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}, want
+
+
+def changed(words, spots, rng):
+    out = list(words)
+    for k in rng.sample(range(len(out)), spots):
+        out[k] = f"x{rng.randrange(10**9)}"
+    return out
+
+
+def test_near_duplicates_of_families(spark):
+    rng = random.Random(21)
+    texts = {}
+    for family in range(3):
+        words = [f"f{rng.randrange(3000)}" for _ in range(300)]
+        for k in range(300):
+            texts[1000 * family + k] = " ".join(changed(words, rng.randrange(1, 11), rng))
+    got, want = near_classes(spark, texts)
+    assert len(want) > 400 and got == want
+
+
 # 7
 def test_html(spark):
     page = """<table><caption>C</caption><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td>banana split<td>12</table><p>a<p>b<br>c<ul><li>one<li>two<ol><li>n1<li>n2</ol><li>three</ul>
