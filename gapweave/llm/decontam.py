@@ -1,16 +1,14 @@
 """Benchmark passages in documents, also slightly edited ones.
 
-The words of a document are compared in windows of each item's length.  A CGK random
-walk embeds item and window into sequences of which the Hamming distance follows the
-edit distance; keys of a few sampled positions, drawn again and again from several
-walks, bring pairs together (bit-sampling LSH), and the edit distance of each pair is
-then computed exactly.  A window within the bound holds all but that many words of the
-item's vocabulary, so windows short of that count never reach the walk; this loses none.
+An item of m words is found wherever any run of words is within its bound of e edits
+(insertions, deletions and substitutions of words).  Cut into e + 1 pieces, one piece of it
+is then there unchanged: the pieces are looked up by hash at every word of a document, and
+around each piece found the edit distance to the best run of words is computed exactly.
+This loses no pair within the bound.
 """
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,10 +24,8 @@ from .shared import prepare
 
 #: Edits allowed, as a share of an item's words; shorter items are told apart from ordinary text by nothing.
 EDITS, LEAST_WORDS = 0.2, 8
-#: Positions of a key, walks, and the recall of a pair whose embeddings differ in DIFFER of the sampled positions.
-SAMPLED, WALKS, RECALL, DIFFER = 4, 6, 0.99, 0.5
-#: Items that a pass over the documents holds; more take further passes.
-BLOCK = 20_000
+#: Items that a pass over the documents holds; more take further passes.  Pairs of piece and place that are held at a time.
+BLOCK, AT_ONCE = 20_000, 1_000_000
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…"
 
 
@@ -38,55 +34,32 @@ def normal(word: str) -> str:
     return word.lower().strip(_MARKS)
 
 
-def repeats(recall: float = RECALL, differ: float = DIFFER, sampled: int = SAMPLED) -> int:
-    """Keys that bring a pair together with the given probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** sampled))
-
-
-def walk(words: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embeddings of rows of equal length m: 3 m symbols, 0 after the end.  Words are their codes, from 0."""
-    n, m = words.shape
-    padded = np.concatenate([words.astype(np.uint64) + np.uint64(1), np.zeros((n, 1), np.uint64)], axis=1)
-    at, row = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((n, 3 * m), np.uint64)
-    for j in range(3 * m):
-        symbol = padded[row, at]
-        out[:, j] = symbol
-        step = textops.pair(symbol, np.uint64((seed << 32) + j) + np.zeros_like(symbol)) >> np.uint64(63)
-        at = np.minimum(at + step.astype(np.int64), m)
-    return out
-
-
-def _keys(words: np.ndarray, count: int) -> Iterator[np.ndarray]:
-    """The LSH keys of all rows, one array for each repetition; positions come from the part of the walk inside the text."""
-    m = words.shape[1]
-    for w in range(WALKS):
-        embedded = walk(words, w)
-        for k in range(w, count, WALKS):
-            picked = np.random.default_rng([m, k]).choice(2 * m, min(SAMPLED, 2 * m), replace=False)
-            key = np.full(len(words), k, np.uint64)
-            for p in picked:
-                key = textops.pair(key, embedded[:, p])
-            yield key
-
-
-def edit_distance(a: list[int], b: list[int]) -> int:
-    """Levenshtein distance of two word lists, by Myers' bit vectors."""
-    if not a:
-        return len(b)
+def _scores(a: list[int], b: list[int], free: bool) -> Iterator[int]:
+    """Levenshtein distances of a and each prefix of b but the empty one, by Myers' bit vectors; free: of a and the best run that ends there."""
     where: dict[int, int] = defaultdict(int)
     for i, x in enumerate(a):
         where[x] |= 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    full, top, first = (1 << len(a)) - 1, 1 << (len(a) - 1), 0 if free else 1
     up, down, score = full, 0, len(a)
     for y in b:
         eq = where.get(y, 0)
         d0 = (((eq & up) + up) ^ up) | eq | down
         hp, hn = (down | ~(d0 | up)) & full, up & d0
         score += bool(hp & top) - bool(hn & top)
-        hp, hn = (hp << 1 | 1) & full, hn << 1 & full
+        hp, hn = (hp << 1 | first) & full, hn << 1 & full
         up, down = (hn | ~(d0 | hp)) & full, hp & d0
-    return score
+        yield score
+
+
+def best_run(a: list[int], b: list[int], most: int) -> tuple[int, int, int] | None:
+    """(edits, start, length) of the run of b with the fewest edits from a, at most that many; ties go to the first end, then to the length nearest to a's."""
+    scores = [*_scores(a, b, True)]
+    if not scores or (d := min(scores)) > most:
+        return None
+    end = scores.index(d) + 1
+    back = _scores(a[::-1], b[max(0, end - len(a) - d) : end][::-1], False)
+    n = min((k for k, own in enumerate(back, 1) if own == d), key=lambda k: (abs(k - len(a)), k))
+    return d, end - n, n
 
 
 def _row_hashes(codes: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
@@ -102,15 +75,12 @@ def _row_hashes(codes: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
 
 @dataclass
 class Size:
-    """The items of one length: their ids, words, the allowed edits, which words are theirs, and their sorted keys."""
+    """The items of one length: their ids, words and the allowed edits."""
 
     length: int
     edits: int
     ids: list = field(default_factory=list)
     words: list[list[int]] = field(default_factory=list)
-    known: np.ndarray | None = None
-    vocabulary: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
 
 class Items:
@@ -126,64 +96,65 @@ class Items:
                 size.ids.append(ident)
                 size.words.append([self.codes.setdefault(w, len(self.codes) + 1) for w in words])
         self.sizes = [by_size[k] for k in sorted(by_size)]
-        for s in self.sizes:
-            s.known = np.zeros(len(self.codes) + 1, bool)
-            s.known[np.unique(np.array(s.words))] = True
-            s.vocabulary = [np.unique(np.array(w), return_counts=True) for w in s.words]
-            for key in _keys(np.array(s.words), repeats()):
-                order = np.argsort(key, kind="stable")
-                s.keys.append((key[order], order))
+        self.every = [(ident, w, s.edits) for s in self.sizes for ident, w in zip(s.ids, s.words)]
+        cut: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, (_, w, most) in enumerate(self.every):
+            edges = [len(w) * j // (most + 1) for j in range(most + 2)]
+            for x, y in zip(edges, edges[1:]):
+                if y > x:
+                    cut[y - x].append((i, x))
+        #: By length of the pieces: their hashes in order, and of which items and from which places they are.
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, own in cut.items():
+            words = np.array([self.every[i][1][x : x + n] for i, x in own], np.int64)
+            h = _row_hashes(words.reshape(-1), np.arange(len(own)) * n, n)
+            order = np.argsort(h, kind="stable")
+            of = np.array(own, np.int64)[order]
+            self.pieces[n] = h[order], of[:, 0], of[:, 1]
+        self.length = np.array([len(w) for _, w, _ in self.every], np.int64)
+        self.edits = np.array([most for *_, most in self.every], np.int64)
 
     def find(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, object, int, int, int]]:
-        """(text, item id, position, words, edits) of each matching pair of text and item, its best window (fewest edits, then first)."""
+        """(text, item id, position, words, edits) of each matching pair of text and item, its best run of words."""
         text_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        for s in self.sizes:
-            m = s.length
-            upto = np.concatenate([[0], np.cumsum(s.known[codes], dtype=np.int32)])
-            if len(codes) < m:
-                continue
-            held = upto[m:] - upto[:-m] >= m - s.edits
-            at = np.flatnonzero(held)
-            at = at[text_of[at] == text_of[at + m - 1]]
-            if not len(at):
+        upto = np.concatenate([[0], np.cumsum(codes > 0)])
+        found = [np.zeros((0, 4), np.int64)]
+        for n, (keys, item, offset) in self.pieces.items():
+            if len(codes) < n:
                 continue
-            # Equal windows, as in texts that repeat a few words, are looked at once.
-            _, first, same = np.unique(_row_hashes(codes, at, m), return_index=True, return_inverse=True)
-            edits = [self._edits(s, codes[at[first[k : k + 20_000], None] + np.arange(m)]) for k in range(0, len(first), 20_000)]
-            hits = {k + 20_000 * j: own for j, part in enumerate(edits) for k, own in part.items()}
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            for k in np.flatnonzero(np.isin(same, [*hits])) if hits else ():
-                for i, d in hits[int(same[k])]:
-                    found, pos = (int(text_of[at[k]]), i), int(at[k])
-                    best[found] = min(best.get(found, (d, pos)), (d, pos))
-            for (text, i), (d, pos) in sorted(best.items()):
-                yield text, s.ids[i], pos, m, d
-
-
-    def _edits(self, s: Size, rows: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For windows (rows of codes) within the bound of an item: the items and edit distances."""
-        m, kept = s.length, np.zeros(len(rows), bool)
-        # A window has enough words in common with an item, each as often as the item at most.
-        ordered, place = np.sort(rows, axis=1), np.arange(m)
-        fresh = np.concatenate([np.ones((len(rows), 1), bool), ordered[:, 1:] != ordered[:, :-1]], axis=1)
-        rank = place - np.maximum.accumulate(np.where(fresh, place, 0), axis=1)
-        for v, times in s.vocabulary:
-            most = np.zeros(len(s.known), np.int64)
-            most[v] = times
-            kept |= (most[ordered] > rank).sum(axis=1) >= m - s.edits
-        at = np.flatnonzero(kept)
-        if not len(at):
-            return {}
-        pairs = set()
-        for (key, order), mine in zip(s.keys, _keys(rows[at], len(s.keys))):
-            left, right = np.searchsorted(key, mine), np.searchsorted(key, mine, side="right")
-            for k in np.flatnonzero(right > left):
-                pairs.update((int(at[k]), int(i)) for i in order[left[k] : right[k]])
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, i in sorted(pairs):
-            if (d := edit_distance(s.words[i], rows[k].tolist())) <= s.edits:
-                out[k].append((i, d))
-        return out
+            at = np.flatnonzero(upto[n:] - upto[:-n] == n)
+            at = at[text_of[at] == text_of[at + n - 1]]
+            h = _row_hashes(codes, at, n)
+            left = np.searchsorted(keys, h)
+            hit = np.flatnonzero(keys[np.minimum(left, len(keys) - 1)] == h)
+            at, left = at[hit], left[hit]
+            times = np.searchsorted(keys, h[hit], side="right") - left
+            block = np.cumsum(times) // AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(at)]
+            found += [self._places(starts, text_of, upto, at[a:b], left[a:b], times[a:b], item, offset) for a, b in zip(cuts, cuts[1:]) if b > a]
+        text, i, lo, hi = np.unique(np.concatenate(found), axis=0).T
+        if not len(text):
+            return
+        # Places of one text and item that overlap are one.
+        first = np.concatenate([[True], (text[1:] != text[:-1]) | (i[1:] != i[:-1]) | (lo[1:] > hi[:-1])])
+        at = np.flatnonzero(first)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for t, k, x, y in zip(text[at].tolist(), i[at].tolist(), lo[at].tolist(), np.maximum.reduceat(hi, at).tolist()):
+            if run := best_run(self.every[k][1], codes[x:y].tolist(), self.every[k][2]):
+                own = run[0], x + run[1], run[2]
+                best[t, k] = min(best.get((t, k), own), own)
+        for (t, k), (d, pos, n) in sorted(best.items()):
+            yield t, self.every[k][0], pos, n, d
+
+    def _places(self, starts: np.ndarray, text_of: np.ndarray, upto: np.ndarray, at: np.ndarray, left: np.ndarray, times: np.ndarray, item: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """(text, item, from, to) where an item can lie whose piece is found; with as many of all items' words there as the bound leaves."""
+        row = np.repeat(np.arange(len(at)), times)
+        k = left[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        i, text = item[k], text_of[at[row]]
+        begin, m, most = at[row] - offset[k], self.length[i], self.edits[i]
+        lo, hi = np.maximum(starts[text], begin - most), np.minimum(starts[text + 1], begin + m + most)
+        ok = upto[hi] - upto[lo] >= m - most
+        return np.unique(np.stack([text, i, lo, hi], axis=1)[ok], axis=0)
 
 
 def _coded(texts: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,12 +182,12 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, edits: float) ->
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS) -> DataFrame:
-    """Per document row and item found in it: both ids, start_word, n_words and edit_distance of the best window.
+    """Per document row and item found in it: both ids, start_word, n_words and edit_distance of the best run of words.
 
     Words compare without case and marks at their ends; start_word counts white-space
     separated words from 0.  Items under eight words, null and empty ones give no rows,
     nor do null and empty texts.  Repeated rows give repeated results; ties go to the
-    first window.  Other columns are not read.
+    first run.  Other columns are not read.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

@@ -334,6 +334,23 @@ def test_decontamination_recall():
     assert found / asked >= 0.9
 
 
+def test_decontamination_finds_dropped_and_added_words():
+    rng = random.Random(4)
+    items = decontam.Items([(k, " ".join(f"t{rng.randrange(300)}" for _ in range(rng.randrange(15, 60)))) for k in range(60)])
+    for s in items.sizes:
+        for i, w in enumerate(s.words):
+            for kind in ("drop", "add", "both"):
+                v = list(w)
+                for k in range(s.edits):
+                    if kind == "add" or kind == "both" and k % 2:
+                        v.insert(rng.randrange(1, len(v)), 0)
+                    else:
+                        del v[rng.randrange(len(v))]
+                seq = np.array([0] * 70 + v + [0] * 70)
+                got = [x for x in items.find(seq, np.array([0, len(seq)])) if x[1] == s.ids[i]]
+                assert len(got) == 1 and abs(got[0][2] - 70) <= s.edits and got[0][4] <= s.edits, (kind, len(w))
+
+
 # 9
 def test_packing(spark, odd, empty):
     out = packing.pack(odd).toPandas()
