@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from . import textops
 from .shared import prepare
 
-#: Edits allowed, as a share of an item's words; shorter items are told apart from ordinary text by nothing.
+#: Edits allowed, as a share of an item's words; shorter items have to be there unchanged.
 EDITS, LEAST_WORDS = 0.2, 8
 #: Items that a pass over the documents holds; more take further passes.  Pairs of piece and place that are held at a time.
 BLOCK, AT_ONCE = 20_000, 1_000_000
@@ -91,8 +91,8 @@ class Items:
         by_size: dict[int, Size] = {}
         for ident, text in items:
             words = [w for x in textops.split(pa.array([text], pa.string()))[0].to_pylist() if (w := normal(x))]
-            if len(words) >= LEAST_WORDS:
-                size = by_size.setdefault(len(words), Size(len(words), int(edits * len(words) + 1e-9)))
+            if words:
+                size = by_size.setdefault(len(words), Size(len(words), int(edits * len(words) + 1e-9) if len(words) >= LEAST_WORDS else 0))
                 size.ids.append(ident)
                 size.words.append([self.codes.setdefault(w, len(self.codes) + 1) for w in words])
         self.sizes = [by_size[k] for k in sorted(by_size)]
@@ -185,7 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """Per document row and item found in it: both ids, start_word, n_words and edit_distance of the best run of words.
 
     Words compare without case and marks at their ends; start_word counts white-space
-    separated words from 0.  Items under eight words, null and empty ones give no rows,
+    separated words from 0.  Items under eight words are found unchanged only; null and empty ones give no rows,
     nor do null and empty texts.  Repeated rows give repeated results; ties go to the
     first run.  Other columns are not read.
     """

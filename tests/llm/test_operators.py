@@ -351,6 +351,13 @@ def test_decontamination_finds_dropped_and_added_words():
                 assert len(got) == 1 and abs(got[0][2] - 70) <= s.edits and got[0][4] <= s.edits, (kind, len(w))
 
 
+def test_decontamination_finds_short_items_unchanged():
+    items = decontam.Items([(1, "what is the capital of France?"), (2, "...")])
+    what, of = [items.codes[w] for w in "what is the capital of france".split()], items.codes["of"]
+    assert [*items.find(np.array([0, *what, 0]), np.array([0, 8]))] == [(0, 1, 1, 6, 0)]
+    assert not [*items.find(np.array([0, *what[:3], of, *what[4:], 0]), np.array([0, 8]))]
+
+
 # 9
 def test_packing(spark, odd, empty):
     out = packing.pack(odd).toPandas()
