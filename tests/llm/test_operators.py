@@ -291,6 +291,14 @@ def test_near_duplicates_of_families(spark):
     assert len(want) > 400 and got == want
 
 
+def test_near_duplicates_in_long_lists(spark):
+    rng = random.Random(22)
+    words = [f"g{rng.randrange(3000)}" for _ in range(100)]
+    texts = {k: " ".join(changed(words, rng.randrange(1, 5), rng)) for k in range(2600)}
+    got, want = near_classes(spark, texts)
+    assert len(want) > 1000 and got == want
+
+
 # 7
 def test_html(spark):
     page = """<table><caption>C</caption><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td>banana split<td>12</table><p>a<p>b<br>c<ul><li>one<li>two<ol><li>n1<li>n2</ol><li>three</ul>
