@@ -299,6 +299,17 @@ def test_near_duplicates_in_long_lists(spark):
     assert len(want) > 1000 and got == want
 
 
+def test_near_duplicates_with_edits_in_one_place(spark):
+    rng = random.Random(23)
+    texts, fresh = {}, lambda n: [f"y{rng.randrange(3000)}" for _ in range(n)]
+    for k in range(600):
+        words = fresh(300)
+        texts[k] = " ".join(words)
+        texts[1000 + k] = " ".join([words + fresh(73), words[:242], words[:100] + fresh(28) + words[128:]][k % 3])
+    got, want = near_classes(spark, texts)
+    assert len(want) == 600 and got == want
+
+
 # 7
 def test_html(spark):
     page = """<table><caption>C</caption><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td>banana split<td>12</table><p>a<p>b<br>c<ul><li>one<li>two<ol><li>n1<li>n2</ol><li>three</ul>
