@@ -310,6 +310,18 @@ def test_near_duplicates_with_edits_in_one_place(spark):
     assert len(want) == 600 and got == want
 
 
+def test_near_duplicates_of_long_texts_are_exact(spark):
+    rng = random.Random(24)
+    texts = {}
+    for k in range(60):
+        words = [f"l{rng.randrange(30_000)}" for _ in range(3000)]
+        texts[k] = " ".join(words)
+        # Similarity 0.797 or 0.803.
+        texts[1000 + k] = " ".join(words[: 2392 if k % 2 else 2410])
+    got, want = near_classes(spark, texts)
+    assert len(want) == 30 and got == want
+
+
 # 7
 def test_html(spark):
     page = """<table><caption>C</caption><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td>banana split<td>12</table><p>a<p>b<br>c<ul><li>one<li>two<ol><li>n1<li>n2</ol><li>three</ul>
