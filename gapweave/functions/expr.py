@@ -84,6 +84,34 @@ def outliers(y: Column, z: Column) -> dict[str, Column]:
     return {"is_physical_outlier": physical, "is_robust_outlier": robust, "is_outlier": physical | (robust & vegetation), "outlier_reason": reason}
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation of rows that have both values, as an aggregate; NULL without spread, where corr() raises an error."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
+def crop_or_unknown(c: Column) -> Column:
+    """The crop, or unknown where there is none."""
+    return F.coalesce(c, F.lit("unknown"))
+
+
+def percent(x: Column, digits: int = 1) -> Column:
+    """A share as a text in percent, a dash where there is none."""
+    return F.coalesce(F.concat(F.format_number(100 * x, digits), F.lit(" %")), F.lit("-"))
+
+
+def quantile_edges(df: DataFrame, by: list[str], value: str, parts: int) -> DataFrame:
+    """Per group the inner edges of so many parts of equal weight, as an array (exact, by linear interpolation)."""
+    shares = ", ".join(str(k / parts) + "D" for k in range(1, parts))
+    return df.groupBy(*by).agg(F.expr(f"percentile({value}, array({shares}))").alias("edges"))
+
+
+def quantile_bin(x: Column, edges: Column) -> Column:
+    """The right-closed bin of a value among ascending edges, from 0; NULL stays NULL."""
+    return F.when(x.isNotNull(), F.size(F.filter(edges, lambda e: e < x)).cast("long"))
+
+
 def provenance(y: Column, value: Column) -> Column:
     """Whether a value was observed, reconstructed or is missing."""
     return F.when(y.isNotNull(), "observed").when(value.isNotNull(), "reconstructed").otherwise("missing")

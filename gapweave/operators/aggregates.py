@@ -150,6 +150,37 @@ def leave_own_out(df: DataFrame, by: str = "date", own: str = "aoi") -> DataFram
     return df.withColumns({"others_n": n, "others_mean": F.when(n > 0, s / n)})
 
 
+def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Count, distinct values, mean, sample deviation, extremes and quartiles by group."""
+    q = F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D))")
+    g = df.groupBy(*by).agg(F.count(value).alias("n"), F.count_distinct(value).alias("n_distinct"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
+    return g.select(*by, "n", "n_distinct", "mean", "std", "min", *(F.col("q")[k].alias(c) for k, c in enumerate(("q25", "median", "q75"))), "max")
+
+
+def fold_ridge(df: DataFrame, fold: str, features: list[str], target: str, alpha: float, most: float) -> DataFrame:
+    """Per fold the ridge coefficients (no intercept, clipped) of target on features over the other folds' rows; missing features count 0.
+
+    Sums by fold come from one pass; another fold's rows are all less its own.  A row a fold is solved on the driver.
+    """
+    cols = [F.coalesce(F.col(f), F.lit(0.0)) for f in features]
+    k = len(cols)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = df.where(F.col(target).isNotNull()).groupBy(fold).agg(*(F.sum(cols[i] * cols[j]).alias(f"g{i}_{j}") for i, j in pairs), *(F.sum(c * F.col(target)).alias(f"r{i}") for i, c in enumerate(cols))).collect()
+    gram = {r[fold]: np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) for r in sums}
+    right = {r[fold]: np.array([r[f"r{i}"] for i in range(k)]) for r in sums}
+    g, r = sum(gram.values()), sum(right.values())
+    rows = [(f, *(float(c) for c in np.clip(np.linalg.solve(g - gram[f] + alpha * np.eye(k), r - right[f]), -most, most))) for f in gram]
+    kind = df.schema[fold].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, ", ".join([f"{fold} {kind}", *(f"c_{f} double" for f in features)]))
+
+
+def fold_corrected(df: DataFrame, coefs: DataFrame, fold: str, base: str, features: list[str], lo: float = -0.5, hi: float = 1.2) -> DataFrame:
+    """Rows with pred, the base and the correction by their fold's coefficients (see fold_ridge(); one row a fold, so broadcast)."""
+    out = df.join(F.broadcast(coefs), fold)
+    whole = sum((F.col(f"c_{f}") * F.coalesce(F.col(f), F.lit(0.0)) for f in features), F.lit(0.0))
+    return out.withColumn("corrected", expr.clip(F.col(base) + whole, lo, hi)).drop(*(f"c_{f}" for f in features))
+
+
 def ridge(df: DataFrame, features: list[str], target: str, alpha: float, most: float | None = None, intercept_alpha: float = 0.0, most_intercept: float | None = None) -> np.ndarray:
     """Intercept and coefficients from the Gram matrix, which is summed in Spark and solved on the driver; the intercept has a penalty and a bound of its own."""
     cols = [F.lit(1.0), *map(F.col, features)]
@@ -223,6 +254,26 @@ def contract(rows: DataFrame, keys: DataFrame, by: tuple[str, ...] = ("aoi", "da
     return both.agg(F.count_if(F.col("_n").isNull()).alias("missing"), F.count_if(F.col("_w").isNull()).alias("extra"), F.count_if(F.col("_n") > 1).alias("repeated"), F.sum(F.coalesce("_bad", F.lit(0))).alias("not_finite"))
 
 
+def ordered_contract(rows: DataFrame, keys: DataFrame, columns: tuple[str, ...] = ("aoi", "date", "pred"), index: str = "k") -> DataFrame:
+    """V6: one row of violations of a candidate table: its columns and their order (the index aside), dates that are none, rows out of place, repeated keys and values that are not finite.
+
+    Rows and keys (aoi, date) carry their place in ``index``; the candidate's date and value may be texts.
+    """
+    aoi, date, value = columns
+    own = rows.select(index, F.col(aoi).cast("string").alias("a"), F.col(date).cast("string").try_cast("date").alias("d"), F.col(value).cast("string").try_cast("double").alias("v"))
+    want = keys.select(index, F.col("aoi").cast("string").alias("wa"), F.col("date").cast("date").alias("wd"), F.lit(True).alias("_w"))
+    both = own.withColumn("_o", F.lit(True)).join(want, index, "full_outer")
+    # Keys repeat as often as there are rows beyond their first.
+    repeated = own.groupBy("a", "d").agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("repeated"))
+    placed = F.coalesce((F.col("a") == F.col("wa")) & (F.col("d") == F.col("wd")), F.lit(False))
+    off = F.col("v").isNull() | F.isnan("v") | (F.abs("v") == float("inf"))
+    found = both.agg(
+        F.lit(int([c for c in rows.columns if c != index] != list(columns))).cast("long").alias("wrong_columns"), F.count_if(F.col("_o") & F.col("d").isNull()).alias("bad_dates"),
+        F.count_if(~placed).alias("misplaced"), F.count_if(F.col("_o") & off).alias("not_finite"),
+    )
+    return found.join(F.broadcast(repeated), how="left")
+
+
 def weighted_sample(df: DataFrame, by: list[str], weight: Column, key: Column, n: int) -> DataFrame:
     """V9: n rows a group without replacement, by Efraimidis and Spirakis; the uniforms come from the key's hash."""
     u = (F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") + 1) / (2**48 + 1)

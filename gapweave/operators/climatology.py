@@ -2,66 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..storage import saved
 
-LEVELS = (("aoi",), ("crop_type",), ())
+#: Levels behind the AOI's own history, in order.
+WIDER = (("crop_type",), ())
+YEAR = 366
 
 
 def _middle(v: Column) -> Column:
-    """The median of an ascending array."""
+    """The median of an ascending array; NULL of an empty one."""
     n = F.size(v)
-    return (F.element_at(v, ((n + 1) / 2).cast("int")) + F.element_at(v, (n / 2).cast("int") + 1)) / 2
+    return F.when(n > 0, (F.get(v, ((n - 1) / 2).cast("int")) + F.get(v, (n / 2).cast("int"))) / 2)
 
 
-def _level(keys: DataFrame, history: DataFrame, level: tuple[str, ...], window: int, least: int, floor: float) -> DataFrame:
-    """Median and scaled MAD of earlier years' values near the same day of year, for keys with enough of them.
+def _scaled(mad: Column, floor: float) -> Column:
+    return F.greatest(1.4826 * mad, F.lit(floor))
 
-    The circular band becomes an equi-join on the day: each distinct key goes to its
-    2 window + 1 days, so no range join is left.
+
+def _own_level(panel: DataFrame, window: int, least: int, floor: float) -> DataFrame:
+    """The panel with _0: the AOI's own norm, NULL under ``least`` values.
+
+    One sort by AOI and day of year: a row's frame are all years' values near its day, of
+    which the earlier years' are picked inside the array.  Days near the year's end come a
+    second time beyond it, so the frame goes round.  The calendar bounds a frame.
+    """
+    if window >= YEAR // 2:
+        raise ValueError("the window has to be under half a year")
+    doy = F.col("doy")
+    places = F.when(doy <= window, F.array(doy, doy + YEAR)).when(doy > YEAR - window, F.array(doy, doy - YEAR)).otherwise(F.array(doy))
+    frame = Window.partitionBy("aoi").orderBy("_at").rangeBetween(-window, window)
+    seen = F.collect_list(F.when(F.col("y").isNotNull(), F.struct("yr", "y"))).over(frame)
+    rows = panel.withColumn("_at", F.explode(places)).withColumn("_h", seen).where(F.col("_at") == doy)
+    rows = rows.withColumn("_h", F.filter("_h", lambda x: x["yr"] < F.col("yr"))).withColumn("_v", F.sort_array(F.transform("_h", lambda x: x["y"])))
+    rows = rows.withColumns({"_n": F.size("_v").cast("long"), "_m": _middle(F.col("_v")), "_k": F.size(F.array_distinct(F.transform("_h", lambda x: x["yr"]))).cast("long")})
+    mad = _middle(F.sort_array(F.transform("_v", lambda x: F.abs(x - F.col("_m")))))
+    rows = rows.withColumn("_d", F.when((F.col("_n") >= least) & F.col("aoi").isNotNull(), mad))
+    norm = F.struct(F.col("_m").alias("clim_mean"), _scaled(F.col("_d"), floor).alias("clim_std"), F.col("_n").alias("clim_n"), F.col("_k").alias("clim_years"))
+    return rows.select(*panel.columns, F.when(F.col("_d").isNotNull(), norm).alias("_0"))
+
+
+def _wider_level(open_keys: DataFrame, history: DataFrame, level: tuple[str, ...], window: int, least: int, floor: float) -> DataFrame:
+    """Norms of a level that the input's width is behind, by key: medians over counted values, for open keys only.
+
+    The circular band becomes an equi-join: each key goes to its 2 window + 1 days.
     """
     by = [*level, "yr", "doy"]
-    own = keys.select(*by).distinct()
-    near = own.withColumn("hdoy", F.explode(F.sequence(F.lit(-window), F.lit(window)))).withColumn("hdoy", F.pmod(F.col("doy") - 1 + F.col("hdoy"), F.lit(366)) + 1)
-    hist = history.select(*level, F.col("yr").alias("hyr"), F.col("doy").alias("hdoy"), "y")
-    if "aoi" in level:
-        # One AOI's window is bounded by the calendar: its values fit an array, and one pass gives both medians.
-        g = near.join(hist, [*level, "hdoy"]).where("hyr < yr").groupBy(*by).agg(F.sort_array(F.collect_list("y")).alias("v"), F.size(F.collect_set("hyr")).cast("long").alias("clim_years"))
-        g = g.withColumn("clim_n", F.size("v").cast("long")).where(F.col("clim_n") >= least).withColumn("clim_mean", _middle(F.col("v")))
-        both = g.withColumn("mad", _middle(F.array_sort(F.transform("v", lambda x: F.abs(x - F.col("clim_mean")))))).drop("v")
-    else:
-        # Equal values of a day come once with their number.
-        hist = hist.groupBy(*level, "hyr", "hdoy", "y").agg(F.count("*").alias("k"))
-        pairs = near.join(hist, [*level, "hdoy"]).where("hyr < yr")
-        mid = pairs.groupBy(*by).agg(F.expr("percentile(y, 0.5, k)").alias("clim_mean"), F.sum("k").alias("clim_n"), F.count_distinct("hyr").alias("clim_years")).where(F.col("clim_n") >= least)
-        both = mid.join(pairs.join(mid, by).groupBy(*by).agg(F.expr("percentile(abs(y - clim_mean), 0.5, k)").alias("mad")), by)
-    scale = F.greatest(1.4826 * F.col("mad"), F.lit(floor))
-    return both.withColumn("clim_std", scale).withColumn("clim_se", scale / F.sqrt("clim_n")).drop("mad")
-
-
-def climatology(panel: DataFrame, window: int = 15, min_samples: int = 3, floor: float = 0.03, levels: tuple = LEVELS) -> DataFrame:
-    """The panel with clim_mean, clim_std, clim_n, clim_years, clim_se and clim_source.
-
-    History are observed values (y) of strictly earlier years.  Levels go from AOI over
-    crop to all; the first with min_samples values wins.  A wider level is computed only for
-    the keys that narrower ones leave open, so each level's table, one row a key, is kept
-    (memory, then disk) for that and for the result.
+    near = open_keys.select(*by).distinct().withColumn("hdoy", F.explode(F.sequence(F.lit(-window), F.lit(window)))).withColumn("hdoy", F.pmod(F.col("doy") - 1 + F.col("hdoy"), F.lit(YEAR)) + 1)
+    hist = history.groupBy(*level, F.col("yr").alias("hyr"), F.col("doy").alias("hdoy"), "y").agg(F.count("*").alias("k"))
+    pairs = near.join(hist, [*level, "hdoy"]).where("hyr < yr")
+    mid = pairs.groupBy(*by).agg(F.expr("percentile(y, 0.5, k)").alias("clim_mean"), F.sum("k").alias("clim_n"), F.count_distinct("hyr").alias("clim_years")).where(F.col("clim_n") >= least)
+    mad = pairs.join(mid, by).groupBy(*by).agg(F.expr("percentile(abs(y - clim_mean), 0.5, k)").alias("mad"))
+    return mid.join(mad, by).select(*by, F.struct("clim_mean", _scaled(F.col("mad"), floor).alias("clim_std"), "clim_n", "clim_years").alias("_w"))
+
+
+def climatology(panel: DataFrame, window: int = 15, min_samples: int = 3, floor: float = 0.03, wider: tuple = WIDER) -> DataFrame:
+    """The panel with clim_mean, clim_std, clim_n, clim_years, clim_se and clim_source.
+
+    History are observed values (y) of strictly earlier years.  The AOI's own comes first,
+    then its crop's, then all; the first with min_samples values wins.  The AOI level is
+    saved, as wider levels are computed from it and only for what it leaves open.
     """
-    history = panel.where("y IS NOT NULL").select("aoi", "crop_type", "yr", "doy", "y")
-    keys = panel.select("aoi", "crop_type", "yr", "doy").distinct()
-    cols = ["clim_mean", "clim_std", "clim_n", "clim_years", "clim_se"]
-    names = {("aoi",): "aoi_historical", ("crop_type",): "crop_historical", (): "global_historical"}
-    out = panel
-    for k, level in enumerate(levels):
-        got = _level(keys, history, level, window, min_samples, floor).persist(StorageLevel.MEMORY_AND_DISK)
-        keys = keys.join(got, [*level, "yr", "doy"], "left_anti")
-        got = got.select(*level, "yr", "doy", F.struct(*cols, F.lit(names[level]).alias("clim_source")).alias(f"_{k}"))
-        out = out.join(got, [*level, "yr", "doy"], "left")
-    best = F.coalesce(*(F.col(f"_{k}") for k in range(len(levels))))
-    return out.select(*panel.columns, *(best[c].alias(c) for c in cols), F.coalesce(best["clim_source"], F.lit("unavailable")).alias("clim_source"))
+    own = saved(_own_level(panel, window, min_samples, floor), "climatology")
+    history, open_keys = own.where("y IS NOT NULL").select("aoi", "crop_type", "yr", "doy", "y"), own.where("_0 IS NULL")
+    names = {("crop_type",): "crop_historical", (): "global_historical"}
+    out = own.withColumn("clim_source", F.when(F.col("_0").isNotNull(), "aoi_historical"))
+    for level in wider:
+        got = _wider_level(open_keys, history, level, window, min_samples, floor)
+        open_row = F.col("_0").isNull() & F.col("_w").isNotNull()
+        out = out.join(got, [*level, "yr", "doy"], "left").withColumns({"clim_source": F.when(open_row, names[level]).otherwise(F.col("clim_source")), "_0": F.coalesce("_0", "_w")}).drop("_w")
+    cols = [F.col("_0")[c].alias(c) for c in ("clim_mean", "clim_std", "clim_n", "clim_years")]
+    return out.select(*panel.columns, *cols, (F.col("_0")["clim_std"] / F.sqrt(F.col("_0")["clim_n"])).alias("clim_se"), F.coalesce("clim_source", F.lit("unavailable")).alias("clim_source"))
 
 
 def anomalies(panel: DataFrame, value: Column | None = None, **options) -> DataFrame:
@@ -115,7 +129,7 @@ def radar(rows: DataFrame, runs: DataFrame) -> DataFrame:
     }
     weights = (0.35, 0.25, 0.15, 0.15, 0.10)
     score = sum((w * p for w, p in zip(weights[1:], list(part.values())[1:])), weights[0] * part["low_z"])
-    ranked = F.array_sort(F.array(*(F.struct((-p).alias("v"), F.lit(k).alias("k"), F.lit(n).alias("name")) for k, (n, p) in enumerate(part.items()))))
+    ranked = F.sort_array(F.array(*(F.struct((-p).alias("v"), F.lit(k).alias("k"), F.lit(n).alias("name")) for k, (n, p) in enumerate(part.items()))))
     top = F.array_join(F.transform(F.filter(F.slice(ranked, 1, 2), lambda x: x["v"] < -0.05), lambda x: x["name"]), ", ")
     out = both.withColumns({"risk_score": F.bround(100 * score, 1), "factors": F.when(top == "", "stable").otherwise(top)})
     return out.withColumn("risk_level", expr.cut(F.col("risk_score"), [20, 50], ["low", "medium", "high"])).orderBy(F.desc("risk_score"), "aoi")

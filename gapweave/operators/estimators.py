@@ -6,6 +6,7 @@ the calendar and tasks by AQE's partition sizes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -45,14 +46,69 @@ def kernel_mean(x: np.ndarray, y: np.ndarray, q: float, bandwidth: float = 14, k
     return _clip(float(w @ y / w.sum()), y, 0.03, 0.05) if w.sum() > 1e-12 else float(y[np.argmin(u)])
 
 
-def gaussian_process(x: np.ndarray, y: np.ndarray, q: float, length: float = 25, noise: float = 0.05) -> float:
-    """M5: posterior mean under a Matérn-3/2 kernel around the median."""
-    kern = lambda d: (1 + np.sqrt(3) * d / length) * np.exp(-np.sqrt(3) * d / length)
+def weighted_median(x: np.ndarray, y: np.ndarray, q: float, bandwidth: float = 14) -> float:
+    """M4: the value at which Gaussian weights reach half their sum; the nearest value where no weight is left."""
+    u = np.abs(x - q) / bandwidth
+    w = np.exp(-0.5 * u * u)
+    if w.sum() <= 1e-12:
+        return float(y[np.argmin(u)])
+    order = np.argsort(y, kind="stable")
+    up = np.cumsum(w[order])
+    return float(y[order][np.searchsorted(up, 0.5 * up[-1])])
+
+
+def _huber_weights(r: np.ndarray, cut: float) -> np.ndarray:
+    """1 up to ``cut`` scaled MADs, beyond that falling with the residual."""
+    s = 1.4826 * float(np.median(np.abs(r - np.median(r)))) + 0.01
+    return np.minimum(1, cut * s / np.maximum(np.abs(r), 1e-8))
+
+
+def _ridge_fit(b: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: np.ndarray, rounds: int, cut: float = 2.5) -> np.ndarray:
+    """Coefficients of a weighted ridge, refitted with Huber weights on top."""
+    own = w
+    for k in range(rounds + 1):
+        c = np.linalg.solve(b.T @ (b * own[:, None]) + np.diag(penalty), b.T @ (y * own))
+        if k < rounds:
+            own = w * _huber_weights(y - b @ c, cut)
+    return c
+
+
+def loess(x: np.ndarray, y: np.ndarray, q: float, bandwidth: float = 20, degree: int = 2, rounds: int = 3) -> float:
+    """M4: a Gaussian-weighted polynomial on the nearest 2 bandwidths' worth of points, refitted with Huber weights; too few points give the kernel's mean."""
+    far = np.abs(x - q)
+    pick = np.argsort(far, kind="stable")[: max(8, math.ceil(2 * bandwidth))]
+    if len(pick) < degree + 2:
+        return kernel_mean(x, y, q, bandwidth, "gauss")
+    z = (x[pick] - q) / max(1.0, float(far[pick].max()))
+    w = np.maximum(np.exp(-0.5 * (far[pick] / bandwidth) ** 2), 1e-12)
+    c = _ridge_fit(np.vander(z, degree + 1, increasing=True), y[pick], w, np.array([1e-8, *[1e-3] * degree]), rounds)
+    return _clip(float(c[0]), y, 0.03, 0.05)
+
+
+#: Correlation by distance in lengths.
+KERNELS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "matern32": lambda u: (1 + np.sqrt(3) * u) * np.exp(-np.sqrt(3) * u),
+    "matern52": lambda u: (1 + np.sqrt(5) * u + 5 * u * u / 3) * np.exp(-np.sqrt(5) * u),
+    "rbf": lambda u: np.exp(-0.5 * u * u),
+}
+
+
+def gaussian_process(x: np.ndarray, y: np.ndarray, q: float, length: float = 25, noise: float = 0.05, kind: str = "matern32") -> float:
+    """M5: posterior mean around the median, under a Matérn-3/2, Matérn-5/2 or squared exponential kernel."""
+    kern = lambda d: KERNELS[kind](d / length)
     m = float(np.median(y))
     s = max(float(np.var(y)), 1e-4)
     return m + float(s * kern(np.abs(x - q)) @ np.linalg.solve(s * kern(np.abs(x[:, None] - x)) + noise**2 * np.eye(len(x)), y - m))
 
 
+def bump_ridge(x: np.ndarray, y: np.ndarray, q: float, width: float = 30, alpha: float = 0.3, rounds: int = 3) -> float:
+    """M5: Gaussian bumps every ``width`` days over the known range and a constant, by a ridge with Huber weights."""
+    at = np.arange(x.min(), x.max() + width, width)
+    basis = lambda t: np.concatenate([np.ones((len(t), 1)), np.exp(-0.5 * ((t[:, None] - at) / width) ** 2)], axis=1)
+    c = _ridge_fit(basis(x), y, np.ones(len(x)), np.array([1e-8, *[alpha] * len(at)]), rounds)
+    return _clip(float(basis(np.array([q], float))[0] @ c), y, 0.03, 0.05)
+
+
 def kalman(x: np.ndarray, y: np.ndarray, q: float, drift: float = 1e-3, noise: float = 2.5e-3) -> float:
     """M5: a random walk smoothed forward and backward to the day asked for."""
 
@@ -85,10 +141,74 @@ def fourier_ridge(x: np.ndarray, y: np.ndarray, q: float, harmonics: int = 3, al
     return _clip(float(basis(np.array([q], float))[0] @ c), y, 0.03, 0.05)
 
 
+def _collapsed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Days in order, each once, with the median of its values."""
+    s = pd.Series(y).groupby(x).median().sort_index()
+    return s.index.to_numpy(float), s.to_numpy(float)
+
+
+def nearest_value(x: np.ndarray, y: np.ndarray, q: float) -> float:
+    """The value of the nearest day, the earlier of two."""
+    xs, ys = _collapsed(x, y)
+    return float(ys[np.lexsort((xs, np.abs(xs - q)))[0]])
+
+
+def local_quadratic(x: np.ndarray, y: np.ndarray, q: float, bandwidth: float = 30, k: int = 12) -> float:
+    """The value at q of a Gaussian-weighted parabola through the k nearest days, with a small ridge on its slope and bend; under three days their weighted mean.
+
+    Three normal equations, solved by determinants.
+    """
+    xs, ys = _collapsed(x, y)
+    pick = np.lexsort((xs, np.abs(xs - q)))[:k]
+    d, v = xs[pick] - q, ys[pick]
+    w = np.exp(-0.5 * (d / bandwidth) ** 2)
+    if len(pick) < 3 or w.sum() < 1e-9:
+        return float(w @ v / w.sum()) if w.sum() >= 1e-9 else float(v[0])
+    s = [float(w @ d**p) for p in range(5)]
+    t = [float(w @ (v * d**p)) for p in range(3)]
+    a, e, i = s[0] + 1e-8, s[2] + 1e-4, s[4] + 1e-4
+    det = a * (e * i - s[3] * s[3]) - s[1] * (s[1] * i - s[3] * s[2]) + s[2] * (s[1] * s[3] - e * s[2])
+    first = t[0] * (e * i - s[3] * s[3]) - s[1] * (t[1] * i - s[3] * t[2]) + s[2] * (t[1] * s[3] - e * t[2])
+    return _clip(first / det, v, 0.05, 0.05)
+
+
+def smoothing_spline(x: np.ndarray, y: np.ndarray, q: float, slack: float = 1e-3) -> float:
+    """The natural cubic spline of least bend whose mean squared residual is at most ``slack``, held at the ends.
+
+    The penalty is found by bisection on the second-difference equations (Reinsch); two days give their line.
+    """
+    xs, ys = _collapsed(x, y)
+    n = len(xs)
+    if n < 3:
+        return float(np.interp(q, xs, ys))
+    h = np.diff(xs)
+    second, inner = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    for j in range(n - 2):
+        second[j : j + 3, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
+        inner[j, j] = (h[j] + h[j + 1]) / 3
+        if j:
+            inner[j, j - 1] = inner[j - 1, j] = h[j] / 6
+    gram, right = second.T @ second, second.T @ ys
+
+    def fit(penalty: float) -> tuple[np.ndarray, np.ndarray]:
+        bend = np.linalg.solve(inner + penalty * gram, right)
+        return ys - penalty * (second @ bend), bend
+
+    lo, hi = -6.0, 12.0
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if np.mean((ys - fit(10**mid)[0]) ** 2) <= slack else (lo, mid)
+    g, bend = fit(10**lo)
+    q = min(max(q, xs[0]), xs[-1])
+    k = min(int(np.searchsorted(xs, q, side="right")), n - 1) - 1
+    m = np.concatenate([[0.0], bend, [0.0]])
+    u, v = xs[k + 1] - q, q - xs[k]
+    return _clip(float((u * g[k] + v * g[k + 1]) / h[k] - u * v / 6 * ((1 + u / h[k]) * m[k] + (1 + v / h[k]) * m[k + 1])), ys, 0.03, 0.05)
+
+
 def pchip(x: np.ndarray, y: np.ndarray, q: float) -> float:
     """Monotone cubic interpolation, held at the ends; repeated days by their median."""
-    s = pd.Series(y).groupby(x).median().sort_index()
-    xs, ys = s.index.to_numpy(float), s.to_numpy()
+    xs, ys = _collapsed(x, y)
     if len(xs) == 1 or q <= xs[0] or q >= xs[-1]:
         return float(np.interp(q, xs, ys))
     h, d = np.diff(xs), np.diff(ys) / np.diff(xs)
@@ -102,7 +222,10 @@ def pchip(x: np.ndarray, y: np.ndarray, q: float) -> float:
     return float((2 * t**3 - 3 * t**2 + 1) * ys[k] + (t**3 - 2 * t**2 + t) * h[k] * m[k] + (3 * t**2 - 2 * t**3) * ys[k + 1] + (t**3 - t**2) * h[k] * m[k + 1])
 
 
-ESTIMATORS: dict[str, Callable] = {"cubic": local_polynomial, "kernel": kernel_mean, "gp": gaussian_process, "kalman": kalman, "fourier": fourier_ridge, "pchip": pchip}
+ESTIMATORS: dict[str, Callable] = {
+    "cubic": local_polynomial, "kernel": kernel_mean, "median": weighted_median, "loess": loess, "gp": gaussian_process, "kalman": kalman, "fourier": fourier_ridge,
+    "bumps": bump_ridge, "pchip": pchip, "nearest": nearest_value, "quadratic": local_quadratic, "spline": smoothing_spline,
+}
 
 
 def estimate(panel: DataFrame, name: str, **options) -> DataFrame:
@@ -265,6 +388,68 @@ def cross_year(panel: DataFrame, local: DataFrame | None = None, anchors: int =
     return rows.groupBy("aoi").applyInPandas(run, OUT)
 
 
+def year_analogues(panel: DataFrame, k: int = 3, overlap: int = 3, decay: float = 0.3, alpha: float = 0.25) -> DataFrame:
+    """(aoi, date, pred, n_years) of gap rows from the AOI's other years whose curves are nearest to what is known of this one.
+
+    A year is compared on the known days inside its own support by the root mean square of
+    differences clipped to half; the k nearest of those with ``overlap`` days vote by exp(-distance / decay),
+    each where it has support, and the line between the row's neighbours counts alpha where there is one.
+
+    Other years' values at a row's day come from one window over AOI and year, which the rows
+    of all other years enter without a value of their own.
+    """
+    from .windows import neighbours
+
+    rows = panel.select("aoi", "date", "yr", "doy", "ord", "y", "gap")
+    seen = rows.where("y IS NOT NULL").groupBy("aoi", "yr", "doy").agg(F.avg("y").alias("v"))
+    support = seen.groupBy("aoi").agg(F.collect_set("yr").alias("years"))
+    counted = F.count("*").over(Window.partitionBy("aoi", "hyr"))
+    past = seen.select("aoi", F.col("yr").alias("hyr"), "doy", "v").withColumn("_c", counted).where("_c >= 3").drop("_c")
+    asked = rows.where("gap OR y IS NOT NULL").join(support, "aoi").withColumn("hyr", F.explode("years")).where("hyr <> yr").drop("years")
+    both = past.withColumn("_s", F.struct(F.col("doy").alias("d"), F.col("v").alias("v"))).unionByName(asked, allowMissingColumns=True)
+    w = Window.partitionBy("aoi", "hyr").orderBy("doy")
+    both = both.withColumns({
+        "_p": F.last("_s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)),
+        "_n": F.first("_s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)),
+    }).where("_s IS NULL AND _p IS NOT NULL AND _n IS NOT NULL")
+    p, n = F.col("_p"), F.col("_n")
+    line = F.when(n["d"] > p["d"], p["v"] + (n["v"] - p["v"]) * (F.col("doy") - p["d"]) / (n["d"] - p["d"])).otherwise(p["v"])
+    curves = both.select("aoi", "date", "yr", "hyr", "y", "gap", line.alias("h"))
+    off = expr.clip(F.col("y") - F.col("h"), -0.5, 0.5)
+    score = curves.where("y IS NOT NULL").groupBy("aoi", "yr", "hyr").agg(F.count("*").alias("c"), F.sqrt(F.avg(off * off)).alias("far")).where(F.col("c") >= overlap)
+    near = score.withColumn("_r", F.row_number().over(Window.partitionBy("aoi", "yr").orderBy(F.round("far", 10), "hyr"))).where(F.col("_r") <= k)
+    weight = F.exp(-F.col("far") / decay)
+    voted = curves.where("gap").join(near.select("aoi", "yr", "hyr", "far"), ["aoi", "yr", "hyr"]).groupBy("aoi", "date").agg((F.sum(weight * F.col("h")) / F.sum(weight)).alias("a"), F.count("*").alias("n_years"))
+    own = neighbours(rows).where("gap").select("aoi", "date", F.when(~F.col("edge"), F.col("lerp")).alias("c"))
+    return voted.join(own, ["aoi", "date"], "left").select("aoi", "date", F.when(F.col("c").isNotNull(), (1 - alpha) * F.col("a") + alpha * F.col("c")).otherwise(F.col("a")).alias("pred"), "n_years")
+
+
+def component_stack(train: DataFrame, names: list[str], target: str, rank: int = 2, least: int = 30) -> Column | None:
+    """The target from the first principal components of base predictions; missing ones count as their mean.  None under ``least`` rows.
+
+    Means, covariances and products with the target are sums in Spark; a matrix of a few columns is solved on the driver.
+    """
+    means = train.agg(*(F.avg(c).alias(c) for c in names)).first()
+    mid = [float(means[c] or 0.0) for c in names]
+    cols = [F.coalesce(F.col(c), F.lit(m)) - F.lit(m) for c, m in zip(names, mid)]
+    k = len(names)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    known = F.when(F.col(target).isNotNull(), F.lit(1.0))
+    row = train.agg(*(F.sum(cols[i] * cols[j]) for i, j in pairs), *(F.sum(known * cols[i] * cols[j]) for i, j in pairs), *(F.sum(known * c) for c in cols), *(F.sum(c * F.col(target)) for c in cols), F.count(target), F.sum(target)).first()
+    whole, own = np.zeros((k, k)), np.zeros((k, k))
+    for at, (i, j) in enumerate(pairs):
+        whole[i, j] = whole[j, i] = row[at] or 0.0
+        own[i, j] = own[j, i] = row[len(pairs) + at] or 0.0
+    sums, products, (n, total) = np.array(row[2 * len(pairs) : -2], float)[:k], np.array(row[2 * len(pairs) : -2], float)[k:], row[-2:]
+    if n < max(least, 5 * rank):
+        return None
+    basis = np.linalg.eigh(whole)[1][:, ::-1][:, :rank]
+    gram = np.block([[np.array([[n]]), (sums @ basis)[None, :]], [(sums @ basis)[:, None], basis.T @ own @ basis]])
+    c = np.linalg.lstsq(gram, np.concatenate([[total], products @ basis]), rcond=None)[0]
+    weights = basis @ c[1:]
+    return reduce(lambda x, y: x + y, [float(w) * col for w, col in zip(weights, cols)], F.lit(float(c[0])))
+
+
 def z_space(panel: DataFrame, floor: float = 0.02) -> DataFrame:
     """Gap rows by the line between neighbours in units of the AOI's monthly mean and deviation."""
     from .windows import neighbours
@@ -287,7 +472,7 @@ def peer_ridge(panel: DataFrame, reach: int = 4, k: int = 8, alpha: float = 10.0
     seen = rows.where("r IS NOT NULL").select("date", "num", "aoi", F.col("r").alias("z"))
     peers = seen.select("date", "aoi", "z", F.explode(F.array(*(F.col("num") + d for d in range(-reach, reach + 1) if d))).alias("num")).select("date", "num", F.col("aoi").alias("peer"), F.col("z").alias("x"))
     pairs = seen.join(peers, ["date", "num"])
-    mid = pairs.groupBy("aoi", "peer").agg(F.count("*").alias("n"), F.median("x").alias("xm"), F.median("z").alias("zm"), F.corr("x", "z").alias("c")).where((F.col("n") >= least) & F.col("c").isNotNull())
+    mid = pairs.groupBy("aoi", "peer").agg(F.count("*").alias("n"), F.median("x").alias("xm"), F.median("z").alias("zm"), expr.correlation(F.col("x"), F.col("z")).alias("c")).where((F.col("n") >= least) & F.col("c").isNotNull())
     dx, dz = F.col("x") - F.col("xm"), F.col("z") - F.col("zm")
     fit = pairs.join(mid, ["aoi", "peer"]).groupBy("aoi", "peer", "xm", "zm", "c").agg(expr.clip(F.sum(dx * dz) / (F.sum(dx * dx) + alpha), -2, 2).alias("b"))
     best = fit.withColumn("_r", F.row_number().over(Window.partitionBy("aoi").orderBy(F.round("c", 12).desc(), "peer"))).where(F.col("_r") <= k)
@@ -336,8 +521,11 @@ def blend(weights: dict[str, float], lo: float = -0.2, hi: float = 1.1) -> Colum
     return expr.clip(sum(rest, first), lo, hi)
 
 
-def trees(train: DataFrame, features: list[str], target: str, kind: str = "gbt", seed: int = 7):
-    """Medians for missing values, then boosted trees, a forest, a linear model on scaled features (ridge, plain or Huber) or a forest classifier; a fitted PipelineModel."""
+def trees(train: DataFrame, features: list[str], target: str, kind: str = "gbt", seed: int = 7, weight: str | None = None, rounds: int = 40):
+    """Medians for missing values, then boosted trees (squared or absolute loss), a forest, a linear model on scaled features (ridge, plain or Huber) or a forest classifier; a fitted PipelineModel.
+
+    ``weight`` names a column of row weights.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
@@ -351,15 +539,73 @@ def trees(train: DataFrame, features: list[str], target: str, kind: str = "gbt",
         stages += [StringIndexer(inputCol=target, outputCol="label"), RandomForestClassifier(numTrees=30, maxDepth=8, seed=seed)]
     else:
         stages.append({
-            "gbt": lambda: GBTRegressor(labelCol=target, maxIter=40, maxDepth=4, stepSize=0.1, seed=seed),
+            "gbt": lambda: GBTRegressor(labelCol=target, maxIter=rounds, maxDepth=4, stepSize=0.1, seed=seed),
+            "absolute": lambda: GBTRegressor(labelCol=target, maxIter=rounds, maxDepth=4, stepSize=0.1, seed=seed, lossType="absolute"),
             "forest": lambda: RandomForestRegressor(labelCol=target, numTrees=60, maxDepth=9, minInstancesPerNode=5, seed=seed),
+            "extra": lambda: RandomForestRegressor(labelCol=target, numTrees=60, maxDepth=9, minInstancesPerNode=5, seed=seed, bootstrap=False, featureSubsetStrategy="onethird", maxBins=8),
             "ridge": lambda: LinearRegression(labelCol=target, regParam=0.1),
             "ols": lambda: LinearRegression(labelCol=target, solver="normal"),
             "huber": lambda: LinearRegression(labelCol=target, loss="huber", regParam=0.01),
         }[kind]())
+    if weight:
+        stages[-1].setWeightCol(weight)
     # Each stage and each round of a solver reads the rows again.
-    own = train.select(*features, target).persist()
+    own = train.select(*features, target, *([weight] if weight else [])).persist()
     try:
         return Pipeline(stages=stages).fit(own)
     finally:
         own.unpersist()
+
+
+def source_experts(train: DataFrame, asked: DataFrame, features: list[str], target: str, least: int = 40, **options) -> DataFrame:
+    """M6: one model a sensor on its own rows, and one on all for sensors with under ``least``; pred mixes them by the posterior (p_s2, ...)."""
+    counts = {r["source"]: r["n"] for r in train.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    whole = trees(train, features, target, **options) if any(counts.get(s, 0) < least for s in expr.SENSORS) else None
+    out = asked
+    for s in expr.SENSORS:
+        model = trees(train.where(F.col("source") == s), features, target, **options) if counts.get(s, 0) >= least else whole
+        out = model.transform(out).select(*out.columns, F.col("prediction").alias(f"e_{s}"))
+    share = reduce(lambda a, b: a + b, [F.col(f"p_{s}") for s in expr.SENSORS])
+    mixed = reduce(lambda a, b: a + b, [F.col(f"p_{s}") * F.col(f"e_{s}") for s in expr.SENSORS])
+    return out.withColumn("pred", F.try_divide(mixed, share))
+
+
+def boosted_quantile(train: DataFrame, asked: DataFrame, features: list[str], target: str, share: float = 0.5, rounds: int = 12, rate: float = 0.3, depth: int = 4, seed: int = 7) -> DataFrame:
+    """M6: ``asked`` with pred, the target's quantile by boosted trees on the pinball loss.
+
+    A round grows a tree on the loss's gradient and moves each of its leaves by the quantile of
+    the leaf's residuals; leaves are told apart by their predictions, a small table.
+    """
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    imputed = [f"{f}_i" for f in features]
+    prepare = Imputer(strategy="median", inputCols=features, outputCols=imputed).fit(train)
+    assemble = VectorAssembler(inputCols=imputed, outputCol="_x")
+    slim = lambda df, *more: assemble.transform(prepare.transform(df)).drop(*imputed)
+    start = train.agg(F.expr(f"percentile({target}, {share}D)")).first()[0]
+    rows, out = slim(train.select(*features, target)).select("_x", F.col(target).alias("_t")).persist(), slim(asked)
+    moves = []
+    try:
+        for k in range(rounds):
+            now = _moved(rows, moves, start, rate).withColumn("_r", F.col("_t") - F.col("pred")).withColumn("_g", F.when(F.col("_r") > 0, share).otherwise(share - 1))
+            tree = DecisionTreeRegressor(featuresCol="_x", labelCol="_g", predictionCol="_leaf", maxDepth=depth, minInstancesPerNode=10, seed=seed + k).fit(now)
+            leaves = tree.transform(now).groupBy("_leaf").agg(F.expr(f"percentile(_r, {share}D)").alias("v")).collect()
+            moves.append((tree, {r["_leaf"]: r["v"] for r in leaves}))
+    finally:
+        rows.unpersist()
+    return _moved(out, moves, start, rate).drop("_x")
+
+
+def _moved(df: DataFrame, moves: list, start: float, rate: float) -> DataFrame:
+    """pred: the start and all rounds' moves."""
+    out = df.withColumn("pred", F.lit(float(start)))
+    for tree, leaves in moves:
+        table = F.create_map(*(F.lit(float(x)) for item in leaves.items() for x in item))
+        out = tree.transform(out).withColumn("pred", F.col("pred") + rate * F.coalesce(table[F.col("_leaf")], F.lit(0.0))).drop("_leaf")
+    return out
+
+
+def out_of_fold(rows: DataFrame, fold: str, folds: list, predict: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Each fold's rows as ``predict(the others, the fold)`` returns them, so no row is scored by a fit that saw it."""
+    return reduce(lambda a, b: a.unionByName(b), [predict(rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)) for f in folds])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..storage import saved
 
 SENSORS = expr.SENSORS
 
@@ -67,52 +68,75 @@ def query_posterior(queries: DataFrame, panel: DataFrame, date_weight: float = 1
     return out.select(*queries.columns, *mixed)
 
 
-def nearest(queries: DataFrame, known: DataFrame, k: int = 8) -> DataFrame:
-    """For each query row (aoi, yr, ord) its k known rows of that AOI and year nearest in time; ties by earlier day."""
-    pairs = queries.select("aoi", "yr", F.col("ord").alias("q_ord")).join(known.select("aoi", "yr", F.col("ord").alias("k_ord"), "source", "y", F.col("doy").alias("k_doy")), ["aoi", "yr"])
-    w = Window.partitionBy("aoi", "yr", "q_ord").orderBy(F.abs(F.col("k_ord") - F.col("q_ord")), "k_ord")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def nearest(known: Column, at: Column, k: int = 8) -> Column:
+    """Of an array of structs that ascends by their first field ``ord``, the k nearest to a day; ties by earlier day.
+
+    Each gets its distance, ``far``, in front.  Nearest are among the k on either side, so only those are sorted.
+    """
+    before = F.size(F.filter(known, lambda x: x["ord"] < at))
+    beside = F.slice(known, F.greatest(before - k + 1, F.lit(1)), F.lit(2 * k))
+    return F.slice(F.sort_array(F.transform(beside, lambda x: F.struct(F.abs(x["ord"] - at).alias("far"), x.alias("row")))), 1, k)
+
+
+def _quantile(v: Column, q: float) -> Column:
+    """Of an ascending array, by linear interpolation."""
+    at = (F.size(v) - 1) * q
+    lo = F.floor(at).cast("int")
+    return F.get(v, lo) + (at - lo) * (F.coalesce(F.get(v, lo + 1), F.get(v, lo)) - F.get(v, lo))
 
 
-def local_linear(near: DataFrame, by: list[str], x: Column, y: Column, lo: float = 0.05, margin: float = 0.04) -> DataFrame:
-    """M1: the intercept of a weighted line at the query, by group.
+def local_linear(df: DataFrame, near: str, values: list[str], at: Column, lo: float = 0.05, margin: float = 0.04) -> DataFrame:
+    """M1: for each value field of the neighbours (see nearest()) the intercept of a weighted line at the query, under the field's name.
 
     Weights 1 / (1 + 2 |z|) enter squared; one point gives its value, a degenerate line the
     weighted mean, and the result stays within the outer 5 % of the neighbours, 0.04 wider.
+    All of it are closed sums over the row's own array.
     """
-    far = near.withColumn("_x", x).withColumn("_y", y)
-    far = far.withColumn("_z", F.col("_x") / F.greatest(F.lit(1.0), F.max(F.abs("_x")).over(Window.partitionBy(*by))))
-    w = F.pow(1 / (1 + 2 * F.abs("_z")), 2)
-    sums = {"w": w, "wz": w * F.col("_z"), "wzz": w * F.col("_z") * F.col("_z"), "wy": w * F.col("_y"), "wzy": w * F.col("_z") * F.col("_y")}
-    q = F.expr(f"percentile(_y, array({lo}, {1 - lo}))")
-    g = far.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s_{k}") for k, c in sums.items()), q.alias("q"))
-    s = lambda k: F.col(f"s_{k}")
-    det = s("w") * s("wzz") - s("wz") * s("wz")
-    line = F.when(det > 1e-12, (s("wzz") * s("wy") - s("wz") * s("wzy")) / det).otherwise(s("wy") / s("w"))
-    return g.select(*by, "n", F.greatest(F.col("q")[0] - margin, F.least(F.col("q")[1] + margin, line)).alias("value"))
+    far = F.greatest(F.lit(1.0), F.array_max(F.transform(near, lambda n: n["far"])).cast("double"))
+    z = lambda n: (n["row"]["ord"] - at) / F.col("_far")
+    points = F.transform(near, lambda n: F.struct(z(n).alias("z"), F.pow(1 / (1 + 2 * F.abs(z(n))), F.lit(2.0)).alias("w"), *(n["row"][v].alias(v) for v in values)))
+    out = df.withColumn("_far", far).withColumn("_points", points)
+    total = lambda f: F.aggregate("_points", F.lit(0.0), lambda s, p: s + f(p))
+    times = lambda *names: lambda p: reduce(lambda a, b: a * b, [p[n] for n in names])
+    sums = {"w": times("w"), "wz": times("w", "z"), "wzz": times("w", "z", "z")} | {f"wy_{v}": times("w", v) for v in values} | {f"wzy_{v}": times("w", "z", v) for v in values}
+    out = out.withColumns({f"_{k}": total(f) for k, f in sums.items()} | {f"_o_{v}": F.sort_array(F.transform("_points", times(v))) for v in values})
+    c = lambda k: F.col(f"_{k}")
+    det = c("w") * c("wzz") - c("wz") * c("wz")
+    made = {}
+    for v in values:
+        line = F.when(det > 1e-12, F.try_divide(c("wzz") * c(f"wy_{v}") - c("wz") * c(f"wzy_{v}"), det)).otherwise(F.try_divide(c(f"wy_{v}"), c("w")))
+        made[v] = F.when(F.size("_points") > 0, F.greatest(_quantile(c(f"o_{v}"), lo) - margin, F.least(_quantile(c(f"o_{v}"), 1 - lo) + margin, line)))
+    return out.withColumns(made).drop("_far", "_points", *(f"_{k}" for k in sums), *(f"_o_{v}" for v in values))
+
+
+def calibrated(known: DataFrame, maps: DataFrame, width: int = 30) -> DataFrame:
+    """Known rows with their value in each sensor's domain (v_s2, ...): by bin, else over all, else as it is."""
+    by_target = lambda name: [F.max(F.when(F.col("target") == t, F.struct("a", "b"))).alias(f"_{name}_{t}") for t in SENSORS]
+    # At most three sensors and thirteen bins.
+    by_bin = F.broadcast(maps.where("bin IS NOT NULL").groupBy("source", "bin").agg(*by_target("b")))
+    whole = F.broadcast(maps.where("bin IS NULL").groupBy("source").agg(*by_target("g")))
+    rows = known.withColumn("bin", expr.calibration_bin(F.col("doy"), width)).join(by_bin, ["source", "bin"], "left").join(whole, "source", "left")
+    mapped = lambda m: m["a"] + m["b"] * F.col("y")
+    value = lambda t: F.when(F.col("source") == t, F.col("y")).otherwise(F.coalesce(mapped(F.col(f"_b_{t}")), mapped(F.col(f"_g_{t}")), F.col("y")))
+    return rows.select(*known.columns, *(value(t).alias(f"v_{t}") for t in SENSORS))
 
 
 def fill(panel: DataFrame, k: int = 8, width: int = 30) -> DataFrame:
     """Predictions (aoi, date, pred) for all gap rows.
 
-    Neighbours are mapped into each sensor's domain (by bin, else over all, else as they
-    are), a local line gives that sensor's value, and the posterior mixes the three; without
-    a neighbour that year the AOI's nearest observation stands in, then the global median.
+    Known values are mapped into each sensor's domain, a local line over a row's neighbours
+    gives that sensor's value, and the posterior mixes the three; without a neighbour that
+    year the AOI's nearest observation stands in, then the global median.  A year's known
+    values are one array, which its gap rows join; the panel's columns are saved first, as
+    maps, posterior and neighbours all read them.
     """
+    panel = saved(panel.select("aoi", "crop_type", "date", "yr", "doy", "ord", "source", "y", "gap", *SENSORS), "panel")
     known, queries = panel.where("y IS NOT NULL AND NOT gap"), panel.where("gap")
-    near = nearest(queries, known, k).withColumn("bin", expr.calibration_bin(F.col("k_doy"), width))
-    targets = near.select("*", F.explode(F.array(*map(F.lit, SENSORS))).alias("target"))
-    maps = sensor_maps(panel, width)
-    by_bin = maps.where("bin IS NOT NULL").select("target", "source", "bin", F.struct("a", "b").alias("_b"))
-    whole = maps.where("bin IS NULL").select("target", "source", F.struct("a", "b").alias("_g"))
-    # At most six sensor pairs and thirteen bins.
-    mapped = targets.join(F.broadcast(by_bin), ["target", "source", "bin"], "left").join(F.broadcast(whole), ["target", "source"], "left")
-    m = F.coalesce("_b", "_g")
-    value = F.when((F.col("source") == F.col("target")) | m.isNull(), F.col("y")).otherwise(m["a"] + m["b"] * F.col("y"))
-    local = local_linear(mapped, ["aoi", "yr", "q_ord", "target"], F.col("k_ord") - F.col("q_ord"), value)
-    wide = local.groupBy("aoi", "yr", "q_ord").agg(*(F.max(F.when(F.col("target") == s, F.col("value"))).alias(f"v_{s}") for s in SENSORS))
+    values = [f"v_{s}" for s in SENSORS]
+    years = calibrated(known, sensor_maps(panel, width), width).groupBy("aoi", "yr").agg(F.sort_array(F.collect_list(F.struct("ord", *values))).alias("known"))
     asked = query_posterior(queries.select("aoi", "crop_type", "date", "yr", "doy", "ord"), panel)
-    both = asked.join(wide.withColumnRenamed("q_ord", "ord"), ["aoi", "yr", "ord"], "left")
+    near = asked.join(years, ["aoi", "yr"], "left").withColumn("near", nearest(F.col("known"), F.col("ord"), k)).drop("known")
+    both = local_linear(near, "near", values, F.col("ord")).drop("near")
     part = lambda f: reduce(lambda a, b: a + b, [F.when(F.col(f"v_{s}").isNotNull(), f(s)).otherwise(0.0) for s in SENSORS])
     mixed = F.try_divide(part(lambda s: F.col(f"p_{s}") * F.col(f"v_{s}")), part(lambda s: F.col(f"p_{s}")))
     w = Window.partitionBy("aoi").orderBy("ord")

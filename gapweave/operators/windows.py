@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import correlation
+from .joins import near_ids
+
 BY = ("aoi", "yr")
 
 
@@ -104,7 +107,7 @@ def autocorrelation(df: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 4, 5, 7, 8,
     """Correlation of values exactly so many days apart, and the number of pairs."""
     own = df.where(F.col(y).isNotNull()).select("aoi", "ord", F.col(y).alias("a"))
     later = own.select("aoi", F.explode(F.array(*(F.struct((F.col("ord") - k).alias("ord"), F.lit(k).cast("long").alias("lag")) for k in lags))).alias("s"), F.col("a").alias("b")).select("aoi", "s.*", "b")
-    return own.join(later, ["aoi", "ord"]).groupBy("lag").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r")).where(F.col("n") >= least)
+    return own.join(later, ["aoi", "ord"]).groupBy("lag").agg(F.count("*").alias("n"), correlation(F.col("a"), F.col("b")).alias("r")).where(F.col("n") >= least)
 
 
 def loo_residual(df: DataFrame) -> DataFrame:
@@ -118,15 +121,14 @@ def shock(resid: DataFrame, by: list[str], least: int = 3) -> DataFrame:
     return own.groupBy(*by).agg(F.median("r").alias("shock"), F.count("*").alias("n_aoi")).where(F.col("n_aoi") >= least)
 
 
-def near_shock(queries: DataFrame, resid: DataFrame, reach: int = 8, sigma: float = 3.5, least: int = 3, tail: float = 0.1) -> DataFrame:
-    """Per query row (aoi, ord) the Gaussian mean of other AOIs' residuals within some days, winsorised at their weighted 10 and 90 %.
+def near_shock(queries: DataFrame, resid: DataFrame, reach: int = 8, sigma: float = 3.5, least: int = 3, tail: float = 0.1, ids: int = 8) -> DataFrame:
+    """Per query row (aoi, num, ord) the Gaussian mean of the residuals of other AOIs, at most ``ids`` apart, within some days, winsorised at their weighted 10 and 90 %.
 
-    The band is an equi-join on shifted days.  It pairs AOIs of near dates, as the reference
-    does; on very wide panels give both sides of one region at a time.
+    Both bands are equi-joins, on shifted days and ids, so AOIs of a date never meet in all pairs.
     """
-    other = resid.select(F.col("aoi").alias("p_aoi"), F.col("resid").alias("r"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("s"), F.col("ord").alias("o"))
-    other = other.select("p_aoi", "r", (F.col("o") + F.col("s")).alias("ord"), F.exp(-0.5 * F.pow(F.col("s") / sigma, 2)).alias("w"))
-    pairs = queries.select("aoi", "ord").join(other, "ord").where("aoi <> p_aoi")
+    other = near_ids(resid.select("num", F.col("aoi").alias("p_aoi"), F.col("resid").alias("r"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("s"), F.col("ord").alias("o")), ids)
+    other = other.select("num", "p_aoi", "r", (F.col("o") + F.col("s")).alias("ord"), F.exp(-0.5 * F.pow(F.col("s") / sigma, 2)).alias("w"))
+    pairs = queries.select("aoi", "num", "ord").join(other, ["num", "ord"])
     by = Window.partitionBy("aoi", "ord")
     up = pairs.withColumns({"c": F.sum("w").over(by.orderBy("r", "p_aoi", "w").rowsBetween(Window.unboundedPreceding, 0)), "whole": F.sum("w").over(by)})
     edge = lambda q: F.min(F.when(F.col("c") >= q * F.col("whole"), F.col("r"))).over(by)
@@ -135,6 +137,34 @@ def near_shock(queries: DataFrame, resid: DataFrame, reach: int = 8, sigma: floa
     return cut.groupBy("aoi", "ord").agg((F.sum(F.col("w") * value) / F.sum("w")).alias("shock_near"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def residual_correlation(df: DataFrame, item: str, at: list[str], value: str, reach: int = 8, least: int = 30) -> DataFrame:
+    """Correlation of a value between two items (AOI numbers, years) at most ``reach`` apart, over what they have in common, from so many pairs on.
+
+    ``at`` names what makes two values a pair (a date, or AOI and day); repeated ones are averaged.
+    """
+    own = df.where(F.col(value).isNotNull()).groupBy(item, *at).agg(F.avg(value).alias("x"))
+    ahead = own.select(*at, F.explode(F.array(*(F.col(item) - d for d in range(1, reach + 1)))).alias(item), F.col(item).alias("other"), F.col("x").alias("y"))
+    both = own.join(ahead, [item, *at])
+    return both.groupBy(item, "other").agg(F.count("*").alias("n"), correlation(F.col("x"), F.col("y")).alias("r")).where(F.col("n") >= least)
+
+
+def distance_means(df: DataFrame, y: str = "y", k: int = 3, reach: int = 120, tau: float = 30.0) -> DataFrame:
+    """Per row the inverse-distance mean of its k nearest other known values of the AOI and year, and mean, deviation and number of those within some days, weighted by exp(-days / tau).
+
+    A year's known values are one array, which its rows join; ties of distance go to the earlier day.
+    """
+    own = df.where(F.col(y).isNotNull()).groupBy(*BY).agg(F.sort_array(F.collect_list(F.struct(F.col("ord").alias("o"), F.col(y).alias("v")))).alias("_k"))
+    far = lambda x: F.abs(x["o"] - F.col("ord"))
+    rows = df.join(own, list(BY), "left").withColumn("_k", F.filter("_k", lambda x: x["o"] != F.col("ord")))
+    ranked = F.sort_array(F.transform("_k", lambda x: F.struct(far(x).alias("d"), x["o"].alias("o"), x["v"].alias("v"))))
+    rows = rows.withColumns({"_n": F.slice(ranked, 1, k), "_w": F.transform(F.filter("_k", lambda x: far(x) <= reach), lambda x: F.struct(F.exp(-far(x) / tau).alias("w"), x["v"].alias("v")))})
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda s, x: s + f(x))
+    rows = rows.withColumns({"_s": total("_w", lambda x: x["w"]), "decay_n": F.coalesce(F.size("_w"), F.lit(0)).cast("long")})
+    rows = rows.withColumn("decay_mean", F.try_divide(total("_w", lambda x: x["w"] * x["v"]), F.col("_s")))
+    rows = rows.withColumn("decay_std", F.sqrt(F.try_divide(total("_w", lambda x: x["w"] * F.pow(x["v"] - F.col("decay_mean"), F.lit(2.0))), F.col("_s"))))
+    return rows.withColumn("idw", F.try_divide(total("_n", lambda x: x["v"] / x["d"]), total("_n", lambda x: 1 / x["d"]))).drop("_k", "_n", "_w", "_s")
+
+
 def state(pairs: DataFrame, by: list[str], days: Column, resid: Column, tau: float = 45.0, reach: int = 120, k: int = 8) -> DataFrame:
     """Exponentially weighted mean of the k nearest residuals within the reach, clipped; two are required."""
     w = Window.partitionBy(*by).orderBy(days, "k_ord")

@@ -136,7 +136,7 @@ runs AS (SELECT aoi, status, min(date) AS start, max(date) AS "end", count(*) AS
 
 
 def _runs(spark, sf):
-    rows = _anomalies(spark, sf).join(weather(spark, sf), "date", "left").persist()
+    rows = _anomalies(spark, sf).join(weather(spark, sf), "date", "left")
     return rows, clim.periods(rows)
 
 
@@ -271,15 +271,22 @@ def j7_same_date_peers(spark, sf):
     return j.select("aoi", "date", *sums)
 
 
+_LINE = "CASE WHEN {p}xx - {p}x * {p}x / {p}n > 1e-12 * {p}n THEN ({p}xy - {p}x * {p}y / {p}n) / ({p}xx - {p}x * {p}x / {p}n) ELSE 0.0 END"
 _PAIRS = """,
-own AS (SELECT yr, date, aoi, y FROM panel WHERE y IS NOT NULL),
-pf AS (SELECT a.yr, a.aoi, b.aoi AS peer, count(*) AS n, regr_slope(a.y, b.y) AS b, regr_intercept(a.y, b.y) AS a, sqrt(greatest(0, var_pop(a.y) - pow(covar_pop(b.y, a.y), 2) / var_pop(b.y))) AS rmse
-  FROM own a JOIN own b ON a.yr = b.yr AND a.date = b.date AND a.aoi <> b.aoi GROUP BY ALL HAVING count(*) >= 6 AND var_pop(b.y) > 1e-12)"""
+own AS (SELECT yr, date, ord, num, aoi, y FROM panel WHERE y IS NOT NULL),
+pj AS (SELECT a.yr, a.aoi, b.aoi AS peer, a.y, b.y AS x, count(*) OVER w AS cnt, row_number() OVER (w ORDER BY a.ord) AS r FROM own a JOIN own b ON a.yr = b.yr AND a.date = b.date AND abs(a.num - b.num) BETWEEN 1 AND 8 WINDOW w AS (PARTITION BY a.yr, a.aoi, b.aoi)),
+fs AS (SELECT yr, aoi, peer, (r - 1) % least(5, greatest(2, cnt // 5)) AS fold, count(*)::DOUBLE AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM pj WHERE cnt >= 6 GROUP BY ALL),
+fo AS (SELECT *, """ + ", ".join(f"sum({k}) OVER (PARTITION BY yr, aoi, peer) AS w_{k}, sum({k}) OVER (PARTITION BY yr, aoi, peer) - {k} AS o_{k}" for k in ("n", "x", "y", "xx", "xy", "yy")) + """ FROM fs),
+fb AS (SELECT *, """ + _LINE.format(p="o_") + """ AS sl FROM fo WHERE o_n >= 4),
+fe AS (SELECT *, (o_y - sl * o_x) / o_n AS ic FROM fb),
+fc AS (SELECT yr, aoi, peer, sum(yy - 2 * ic * y - 2 * sl * xy + n * ic * ic + 2 * ic * sl * x + sl * sl * xx) AS sse, sum(n) AS seen, """ + ", ".join(f"any_value(w_{k}) AS w_{k}" for k in ("n", "x", "y", "xx", "xy")) + """ FROM fe GROUP BY ALL),
+fl AS (SELECT *, """ + _LINE.format(p="w_") + """ AS b FROM fc WHERE w_xx - w_x * w_x / w_n > 1e-12 * w_n AND seen >= greatest(4, floor(w_n / 2))),
+pf AS (SELECT yr, aoi, peer, CAST(w_n AS BIGINT) AS n, (w_y - b * w_x) / w_n AS a, b, sqrt(greatest(0, sse / seen)) AS cv FROM fl)"""
 
 
 @query(_PAIRS + """,
-cd AS (SELECT q.aoi, q.date, pf.*EXCLUDE (aoi, yr), k.y AS x, row_number() OVER (PARTITION BY q.aoi, q.date ORDER BY round(rmse, 12), n DESC, peer) AS r FROM panel q JOIN pf USING (aoi, yr) JOIN own k ON k.date = q.date AND k.aoi = pf.peer WHERE q.gap)
-SELECT aoi, date, round(sum(least(1.0, n / 24) / (rmse * rmse + 0.0009) * (a + b * x)) / sum(least(1.0, n / 24) / (rmse * rmse + 0.0009)), 8) AS pred, count(*) AS n_peers FROM cd WHERE r <= 3 GROUP BY ALL""")
+cd AS (SELECT q.aoi, q.date, pf.*EXCLUDE (aoi, yr), k.y AS x, row_number() OVER (PARTITION BY q.aoi, q.date ORDER BY round(cv, 10), n DESC, peer) AS r FROM panel q JOIN pf USING (aoi, yr) JOIN own k ON k.date = q.date AND k.aoi = pf.peer WHERE q.gap)
+SELECT aoi, date, round(sum(least(1.0, n / 24) / (cv * cv + 0.0009) * (a + b * x)) / sum(least(1.0, n / 24) / (cv * cv + 0.0009)), 8) AS pred, count(*) AS n_peers FROM cd WHERE r <= 3 GROUP BY ALL""")
 def j8_pair_peers(spark, sf):
     p = panel(spark, sf)
     return rounded(joins.peer_predict(p.where("gap"), p), 8)

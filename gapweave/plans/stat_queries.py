@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import aggregates as agg
-from ..operators import estimators, gapfill
+from ..operators import estimators, gapfill, joins
 from ..operators import windows as win
 from .core_queries import _FILL, grid, gridded, query, rounded
 from .panel import panel, tables, weather
@@ -280,19 +280,48 @@ def _estimated(name: str, **options):
 
 ROWS_ONLY = {
     "m3_lagged_cubic": lambda spark, sf: rounded(estimators.lagged_cubic(panel(spark, sf), gapfill.sensor_maps(panel(spark, sf))), 6),
-    "m4_kernel": _estimated("kernel"), "m5_gaussian_process": _estimated("gp"), "m5_kalman": _estimated("kalman"), "m5_fourier": _estimated("fourier"), "m15_pchip": _estimated("pchip"),
+    "m4_median": _estimated("median"), "m4_loess": _estimated("loess"), "m5_gaussian_process": _estimated("gp"), "m5_matern52_process": _estimated("gp", kind="matern52"), "m5_rbf_process": _estimated("gp", kind="rbf"), "m5_kalman": _estimated("kalman"),
+    "m5_fourier": _estimated("fourier"), "m5_bumps": _estimated("bumps"), "m15_pchip": _estimated("pchip"), "m15_spline": _estimated("spline"),
 }
 
 
-def _trees(spark, sf):
+_FEATURES = ["prev_y", "next_y", "left_days", "right_days", "lerp", "sin1", "cos1"]
+
+
+def _features(spark, sf):
     n = win.neighbours(panel(spark, sf)).withColumns(dict(zip(("sin1", "cos1"), expr.harmonics(F.col("doy"), 1))))
-    features = ["prev_y", "next_y", "left_days", "right_days", "lerp", "sin1", "cos1"]
-    n = n.withColumns({f: F.col(f).cast("double") for f in features})
-    model = estimators.trees(n.where("y IS NOT NULL").select(*features, "y"), features, "y", "forest")
-    return model.transform(n.where("gap")).select("aoi", "date", F.round("prediction", 6).alias("pred"))
+    # Rows far from what is known count less.
+    return n.withColumns({f: F.col(f).cast("double") for f in _FEATURES} | {"weight": 1 / (1 + F.coalesce("gap_days", F.lit(30)) / 30)})
+
+
+def _trees(kind: str, **options):
+    def run(spark, sf):
+        n = _features(spark, sf)
+        model = estimators.trees(n.where("y IS NOT NULL"), _FEATURES, "y", kind, **options)
+        return model.transform(n.where("gap")).select("aoi", "date", F.round("prediction", 6).alias("pred"))
+
+    run.__doc__ = f"Gap rows by {kind} on neighbours and season, fitted on known rows, whose neighbours leave them out."
+    return run
+
+
+def m6_source_experts(spark, sf):
+    """Boosted trees for each sensor, mixed by the posterior."""
+    n = _features(spark, sf)
+    asked = gapfill.query_posterior(n.where("gap").select("aoi", "crop_type", "date", "yr", "doy", *_FEATURES), panel(spark, sf))
+    return estimators.source_experts(n.where("y IS NOT NULL"), asked, _FEATURES, "y", rounds=10).select("aoi", "date", F.round("pred", 6).alias("pred"))
 
 
-ROWS_ONLY["m6_forest"] = _trees
+def m6_quantile(spark, sf):
+    """The upper quartile by boosting on the pinball loss."""
+    n = _features(spark, sf)
+    asked = n.where("gap").select("aoi", "date", *_FEATURES)
+    return estimators.boosted_quantile(n.where("y IS NOT NULL"), asked, _FEATURES, "y", 0.75, rounds=6).select("aoi", "date", F.round("pred", 6).alias("pred"))
+
+
+ROWS_ONLY |= {
+    "m6_forest": _trees("forest"), "m6_extra_trees": _trees("extra"), "m6_boosted": _trees("gbt", rounds=20, weight="weight"), "m6_boosted_absolute": _trees("absolute", rounds=10),
+    "m6_source_experts": m6_source_experts, "m6_quantile": m6_quantile,
+}
 
 
 @query(_FILL + """SELECT aoi, date, round(greatest(-0.2, least(1.1, 0.8 * pred + 0.2 * lerp)) * 1048573) / 1048573 AS blend, least(abs(doy - 200), 366 - abs(doy - 200)) AS far
@@ -309,9 +338,9 @@ def m9_blend(spark, sf):
 @query("""SELECT q.aoi, q.date, round((sum((9 - abs(q.num - k.num)) * k.y) / sum(9 - abs(q.num - k.num))) * 1048573) / 1048573 AS kernel FROM panel q JOIN panel k ON k.date = q.date AND k.crop_type = q.crop_type AND k.y IS NOT NULL AND abs(q.num - k.num) BETWEEN 1 AND 8 WHERE q.gap GROUP BY ALL""")
 def m16_distance_kernel(spark, sf):
     p = panel(spark, sf)
-    k = p.where("y IS NOT NULL").select("date", "crop_type", F.col("num").alias("k_num"), F.col("y").alias("k_y"))
+    k = joins.near_ids(p.where("y IS NOT NULL").select("date", "crop_type", "num", F.col("num").alias("k_num"), F.col("y").alias("k_y")), 8)
     w = 9 - F.abs(F.col("num") - F.col("k_num"))
-    pairs = p.where("gap").select("aoi", "num", "date", "crop_type").join(k, ["date", "crop_type"]).where((w <= 8) & (w >= 1))
+    pairs = p.where("gap").select("aoi", "num", "date", "crop_type").join(k, ["date", "crop_type", "num"])
     return gridded(pairs.groupBy("aoi", "date").agg((F.sum(w * F.col("k_y")) / F.sum(w)).alias("kernel")))
 
 

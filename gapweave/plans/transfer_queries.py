@@ -8,13 +8,14 @@ from ..functions import expr
 from ..operators import aggregates as agg
 from ..operators import estimators, gapfill, joins
 from ..operators import windows as win
+from ..storage import saved
 from .core_queries import _FILL, gridded, query, rounded
 from .panel import panel, weather
 from .stat_queries import _HR, _NB, _SHOCK, ROWS_ONLY, _residuals
 
 _BINS = ["<=7", "8-15", "16-30", "31-365", ">365"]
 _LOO = _NB + """,
-lr AS (SELECT aoi, date, ord, crop_type, source, y - lerp AS resid FROM nb WHERE y IS NOT NULL AND NOT edge)"""
+lr AS (SELECT aoi, num, date, ord, crop_type, source, y - lerp AS resid FROM nb WHERE y IS NOT NULL AND NOT edge)"""
 
 
 def _g(sql: str, name: str) -> str:
@@ -44,7 +45,7 @@ def w13_group_shocks(spark, sf):
 
 
 @query(_LOO + """,
-np AS (SELECT q.aoi, q.ord, k.aoi AS p, k.resid AS r, exp(-0.5 * pow((q.ord - k.ord) / 3.5, 2)) AS w FROM panel q JOIN lr k ON k.ord BETWEEN q.ord - 8 AND q.ord + 8 AND k.aoi <> q.aoi WHERE q.gap),
+np AS (SELECT q.aoi, q.ord, k.aoi AS p, k.resid AS r, exp(-0.5 * pow((q.ord - k.ord) / 3.5, 2)) AS w FROM panel q JOIN lr k ON k.ord BETWEEN q.ord - 8 AND q.ord + 8 AND abs(k.num - q.num) BETWEEN 1 AND 8 WHERE q.gap),
 nc AS (SELECT *, sum(w) OVER (PARTITION BY aoi, ord ORDER BY r, p, w ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY aoi, ord) AS whole FROM np),
 ne AS (SELECT aoi, ord, min(CASE WHEN c >= 0.1 * whole THEN r END) AS lo, min(CASE WHEN c >= 0.9 * whole THEN r END) AS hi FROM nc GROUP BY ALL)
 SELECT aoi, ord, """ + _g("sum(w * greatest(lo, least(hi, r))) / sum(w)", "shock_near") + """, count(*) AS n FROM np JOIN ne USING (aoi, ord) GROUP BY ALL HAVING count(*) >= 3""")
@@ -105,6 +106,14 @@ def a17_corrections(spark, sf):
     return gridded(agg.corrections(both, ["source"]))
 
 
+_STACKED = _FILL + _NB + _SHOCK + """,
+nr AS (SELECT * FROM (SELECT q.aoi, q.date, abs(k.ord - q.ord) AS d, k.resid, row_number() OVER (PARTITION BY q.aoi, q.date ORDER BY abs(k.ord - q.ord), k.ord) AS r FROM panel q JOIN rs k ON k.aoi = q.aoi AND k.yr = q.yr AND abs(k.ord - q.ord) <= 120 WHERE q.gap) WHERE r <= 8),
+st AS (SELECT aoi, date, sum(exp(-d / 45.0) * greatest(-0.3, least(0.3, resid))) / sum(exp(-d / 45.0)) AS state FROM nr GROUP BY ALL HAVING count(*) >= 2),
+pe AS (SELECT q.aoi, q.date, avg(k.y) AS peer FROM panel q JOIN panel k ON k.date = q.date AND k.y IS NOT NULL AND abs(q.num - k.num) BETWEEN 1 AND 4 WHERE q.gap GROUP BY ALL),
+zz0 AS (SELECT p.aoi, p.date, p.yr, p.y_true AS truth, f.pred, n.lerp, pe.peer, coalesce(sh.shock, 0) AS s, coalesce(st.state, 0) AS t FROM panel p JOIN filled f ON f.aoi = p.aoi AND f.date = p.date JOIN nb n ON n.aoi = p.aoi AND n.date = p.date
+  LEFT JOIN pe ON pe.aoi = p.aoi AND pe.date = p.date LEFT JOIN sh ON sh.date = p.date LEFT JOIN st ON st.aoi = p.aoi AND st.date = p.date WHERE p.gap AND p.y_true IS NOT NULL)"""
+
+
 def _stacked(spark, sf):
     """Gap rows with two base predictions, the mean of near AOIs that day, the date's shock and the AOI's state."""
     p, r = panel(spark, sf), _residuals(spark, sf)
@@ -115,12 +124,7 @@ def _stacked(spark, sf):
     return base.join(peers, ["aoi", "date"], "left").join(agg.date_shock(r, "resid").select("date", "shock"), "date", "left").join(state.select("aoi", "date", "state"), ["aoi", "date"], "left")
 
 
-@query(_FILL + _NB + _SHOCK + """,
-nr AS (SELECT * FROM (SELECT q.aoi, q.date, abs(k.ord - q.ord) AS d, k.resid, row_number() OVER (PARTITION BY q.aoi, q.date ORDER BY abs(k.ord - q.ord), k.ord) AS r FROM panel q JOIN rs k ON k.aoi = q.aoi AND k.yr = q.yr AND abs(k.ord - q.ord) <= 120 WHERE q.gap) WHERE r <= 8),
-st AS (SELECT aoi, date, sum(exp(-d / 45.0) * greatest(-0.3, least(0.3, resid))) / sum(exp(-d / 45.0)) AS state FROM nr GROUP BY ALL HAVING count(*) >= 2),
-pe AS (SELECT q.aoi, q.date, avg(k.y) AS peer FROM panel q JOIN panel k ON k.date = q.date AND k.y IS NOT NULL AND abs(q.num - k.num) BETWEEN 1 AND 4 WHERE q.gap GROUP BY ALL),
-zz0 AS (SELECT p.yr, p.y_true AS truth, f.pred, n.lerp, pe.peer, coalesce(sh.shock, 0) AS s, coalesce(st.state, 0) AS t FROM panel p JOIN filled f ON f.aoi = p.aoi AND f.date = p.date JOIN nb n ON n.aoi = p.aoi AND n.date = p.date
-  LEFT JOIN pe ON pe.aoi = p.aoi AND pe.date = p.date LEFT JOIN sh ON sh.date = p.date LEFT JOIN st ON st.aoi = p.aoi AND st.date = p.date WHERE p.gap AND p.y_true IS NOT NULL),
+@query(_STACKED + """,
 zb AS (SELECT *, 'lerp' AS base, lerp AS bv FROM zz0 UNION ALL SELECT *, 'pred', pred FROM zz0),
 lg AS (SELECT yr, base, weight, s, t, truth - CASE WHEN peer IS NULL THEN bv ELSE (1 - weight) * bv + weight * peer END AS r FROM zb, (SELECT unnest([0.05::DOUBLE, 0.1, 0.15]) AS weight) WHERE bv IS NOT NULL),
 h0 AS (SELECT yr, base, weight, count(*) AS n, sum(s * s) AS ss, sum(s * t) AS st, sum(t * t) AS tt, sum(r * s) AS rs, sum(r * t) AS rt, sum(r * r) AS rr FROM lg GROUP BY ALL),
@@ -169,24 +173,51 @@ def m11_low_rank(spark, sf):
     return rounded(estimators.completed(panel(spark, sf)), 6)
 
 
+_LOCAL = ["local", "shock", "state"]
+
+
+@query(_STACKED + """,
+r0 AS (SELECT aoi, date, yr, pred, truth - pred AS t0, coalesce(peer - pred, 0) AS x1, s AS x2, t AS x3 FROM zz0),
+r1 AS (SELECT yr, """ + ", ".join(f"sum(x{i} * x{j}) AS g{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j) + """, sum(x1 * t0) AS h1, sum(x2 * t0) AS h2, sum(x3 * t0) AS h3 FROM r0 GROUP BY yr),
+r2 AS (SELECT yr, """ + ", ".join(f"sum({k}) OVER () - {k} + {0.1 if k in ('g11', 'g22', 'g33') else 0.0} AS {k}" for k in ("g11", "g12", "g13", "g22", "g23", "g33", "h1", "h2", "h3")) + """ FROM r1),
+r3 AS (SELECT *, g11 * (g22 * g33 - g23 * g23) - g12 * (g12 * g33 - g23 * g13) + g13 * (g12 * g23 - g22 * g13) AS det FROM r2),
+r4 AS (SELECT yr, (h1 * (g22 * g33 - g23 * g23) - g12 * (h2 * g33 - g23 * h3) + g13 * (h2 * g23 - g22 * h3)) / det AS c1,
+  (g11 * (h2 * g33 - g23 * h3) - h1 * (g12 * g33 - g23 * g13) + g13 * (g12 * h3 - h2 * g13)) / det AS c2,
+  (g11 * (g22 * h3 - h2 * g23) - g12 * (g12 * h3 - h2 * g13) + h1 * (g12 * g23 - g22 * g13)) / det AS c3 FROM r3)
+SELECT aoi, date, """ + _g("greatest(-0.5, least(1.2, pred + " + " + ".join(f"greatest(-0.8, least(0.8, c{i})) * x{i}" for i in (1, 2, 3)) + "))", "pred") + " FROM r0 JOIN r4 USING (yr)")
 def a29_ridge_correction(spark, sf):
-    """The ridge on shock and state, its intercept penalised and bounded apart; rows that miss one get the intercept."""
-    z = _stacked(spark, sf)
-    coef = agg.ridge(z.withColumn("resid", F.col("truth") - F.col("pred")), ["shock", "state"], "resid", 0.5, 0.75, intercept_alpha=0.05, most_intercept=0.03)
-    return rounded(z.select("aoi", "date", agg.corrected(F.col("pred"), coef, ["shock", "state"]).alias("pred")), 6)
+    """The ridge on near AOIs, shock and state, each year corrected by the fit of the others."""
+    z = saved(_stacked(spark, sf).where("truth IS NOT NULL").withColumns({"local": F.col("peer") - F.col("pred"), "resid": F.col("truth") - F.col("pred")}), "stacked")
+    coefs = agg.fold_ridge(z, "yr", _LOCAL, "resid", 0.1, 0.8)
+    return gridded(agg.fold_corrected(z, coefs, "yr", "pred", _LOCAL).select("aoi", "date", F.col("corrected").alias("pred")))
 
 
 def _meta(kind: str):
     def run(spark, sf):
-        z = _stacked(spark, sf).join(weather(spark, sf), "date", "left")
+        z = _stacked(spark, sf).join(weather(spark, sf), "date", "left").where("truth IS NOT NULL")
+        z = saved(agg.folds(z, ["yr"], expr.key(F.col("aoi"), F.col("date")), 3), "stacked")
         features = ["pred", "lerp", "peer", "shock", "state", "temp_c"]
-        model = estimators.trees(z.where("truth IS NOT NULL"), features, "truth", kind)
-        return model.transform(z.withColumnRenamed("pred", "_p").withColumn("pred", F.col("_p"))).select("aoi", "date", F.round(expr.clip(F.col("prediction"), -0.2, 1.1), 6).alias("pred"))
 
-    run.__doc__ = f"A {kind} meta-model over base predictions, peers, shocks and weather."
+        def predict(train, asked):
+            return estimators.trees(train, features, "truth", kind).transform(asked).select("aoi", "date", F.round(expr.clip(F.col("prediction"), -0.2, 1.1), 6).alias("pred"))
+
+        return estimators.out_of_fold(z, "fold", [0, 1, 2], predict)
+
+    run.__doc__ = f"A {kind} meta-model over base predictions, peers, shocks and weather; each third of the rows by a fit on the others."
     return run
 
 
+def m11_component_stack(spark, sf):
+    """Base predictions stacked by their principal components, half of the years by a fit on the other half."""
+    z = saved(_stacked(spark, sf).withColumn("fold", F.col("yr") % 2), "stacked")
+
+    def predict(train, asked):
+        stack = estimators.component_stack(train, ["pred", "lerp", "peer"], "truth")
+        return asked.select("aoi", "date", F.round(expr.clip(F.col("pred") if stack is None else stack, -0.5, 1.2), 6).alias("pred"))
+
+    return estimators.out_of_fold(z, "fold", [0, 1], predict)
+
+
 def m13_source_classifier(spark, sf):
     """The sensor of gap rows by a forest on day, date counts and neighbour counts; pred is the probability of the sensor chosen."""
     from pyspark.ml.functions import vector_to_array
@@ -203,5 +234,5 @@ def m13_source_classifier(spark, sf):
     return got.select("aoi", "date", "source", labels[F.col("prediction").cast("int")].alias("predicted"), F.round(F.array_max(vector_to_array("probability")), 6).alias("pred"))
 
 
-ROWS_ONLY |= {f.__name__: f for f in (m8_pair_predict, m10_cross_year, m11_low_rank, a29_ridge_correction, m13_source_classifier)}
+ROWS_ONLY |= {f.__name__: f for f in (m8_pair_predict, m10_cross_year, m11_low_rank, m11_component_stack, m13_source_classifier)}
 ROWS_ONLY |= {f"m12_{k}": _meta(k) for k in ("ridge", "huber")}

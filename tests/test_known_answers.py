@@ -72,14 +72,20 @@ def test_sinks(spark, tmp_path):
 
 
 def test_geometry(spark):
-    g = geo.parse_polygon("37.0,55.0 # first\n37.1;55.0\n37.1,55.1\n37.0,55.1")
-    assert geo.validate(g) == (True, "ok")
-    lat, lon = geo.centroid(g)
-    assert 55.0 < lat < 55.1 and 37.0 < lon < 37.1
-    g["geometry"]["coordinates"][0][-1] = [180.1, 55]
-    assert not geo.validate(g)[0]
-    got = spark.createDataFrame([(json.dumps(geo.parse_polygon("1,1\n2,1\n2,2")),), ("nope",), (None,)], "t string").select(geo.checked(F.col("t")).alias("r")).select("r.*").collect()
-    assert [r["ok"] for r in got] == [True, False, False]
+    lines = spark.createDataFrame([("37.0,55.0 # first\n37.1;55.0\n37.1,55.1\n37.0,55.1",), ("1,1\n2,1\n2,2",), ("1,1\n2,2",), ("1,1\n2,x\n3,3",), (None,)], "t string")
+    made = [r["geojson"] for r in geo.with_polygon(lines, "t").collect()]
+    assert json.loads(made[0])["geometry"]["coordinates"][0][-1] == [37.0, 55.0] and made[2:] == [None] * 3
+    whole = json.loads(made[0])
+    broken = json.loads(made[0])
+    broken["geometry"]["coordinates"][0][-1] = [180.1, 55]
+    nan = made[0].replace("37.1", "NaN", 1)
+    collection = json.dumps({"type": "FeatureCollection", "features": [whole, whole]})
+    texts = [made[0], made[1], json.dumps(broken), json.dumps(whole["geometry"]), collection, '{"type":"FeatureCollection","features":[]}', '{"type":"Polygon","coordinates":[[[1,2],[3,4],[1,2]]]}', '{"type":"Polygon","coordinates":"x"}', '{"type":"Polygon","coordinates":[[["a",2],[3,4],[5,6],["a",2]]]}', '{"type":"Polygon","coordinates":[[]]}', '{"type":"Polygon","coordinates":[[[1],[2],[3],[1]]]}', nan, '{"type":"Point","coordinates":[1,2]}', "nope", None]
+    got = [r["geometry"] for r in geo.checked(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()]
+    assert [g["ok"] for g in got] == [True, True, False, True, True, *[False] * 10]
+    assert all((g["message"] == "ok") == g["ok"] and g["message"] and (g["lat"] is not None) == g["ok"] for g in got)
+    assert got[2]["message"] == "a ring is open; a point is outside WGS84" and got[6]["message"] == "a ring has under four points"
+    assert 55.0 < got[0]["lat"] < 55.1 and 37.0 < got[0]["lon"] < 37.1 and got[0]["lat"] == pytest.approx((2 * 55.1 + 3 * 55.0) / 5) and got[4]["lat"] == pytest.approx(got[0]["lat"])
 
 
 def test_adapters_with_a_mock(spark, tmp_path):

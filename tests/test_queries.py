@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from compare import duck, rows
 
-from gapweave.plans import core_queries, transfer_queries
+from gapweave.plans import core_queries, extra_queries, transfer_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(core_queries.ORACLE))
