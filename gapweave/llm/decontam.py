@@ -1,14 +1,18 @@
 """Benchmark passages in documents, also slightly edited ones.
 
-An item of m words is found wherever any run of words is within its bound of e edits
+An item of m words is looked for where any run of words is within its bound of e edits
 (insertions, deletions and substitutions of words).  Cut into e + 1 pieces, one piece of it
-is then there unchanged: the pieces are looked up by hash at every word of a document, and
-around each piece found the edit distance to the best run of words is computed exactly.
-This loses no pair within the bound.
+is then there unchanged, so an index of the pieces tells, without a look at every item, at
+which places of a document an item-sized window has to be laid.  A CGK random walk embeds
+item and window, outward from the shared piece, into sequences whose Hamming distance follows the edit
+distance; keys of a few sampled positions, drawn again and again from several walks
+(bit-sampling LSH), keep the pairs that share one, and the edit distance to the best run of
+words around the window is then computed exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,6 +28,8 @@ from .shared import prepare
 
 #: Edits allowed, as a share of an item's words; shorter items have to be there unchanged.
 EDITS, LEAST_WORDS = 0.2, 8
+#: Positions of a key, walks, the recall aimed at for a pair whose embeddings differ in that share of the positions, and cells of embeddings that are held at a time.
+SAMPLED, WALKS, RECALL, DIFFER, CELLS = 2, 4, 0.995, 0.6, 8_000_000
 #: Items that a pass over the documents holds; more take further passes.  Pairs of piece and place that are held at a time.
 BLOCK, AT_ONCE = 20_000, 1_000_000
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…"
@@ -73,6 +79,33 @@ def _row_hashes(codes: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
+def repeats(recall: float = RECALL, differ: float = DIFFER, sampled: int = SAMPLED) -> int:
+    """Keys that bring a pair together with the given probability."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** sampled))
+
+
+def embed(words: np.ndarray, start: np.ndarray, size: np.ndarray, way: np.ndarray, steps: int, seed: int) -> np.ndarray:
+    """CGK embeddings: a row of symbols for each run of ``size`` words from ``start`` on, read forward or backward (way 1 or -1); 0 after its end.
+
+    At each step the word the walk stands on is written down, and a coin that step and word share decides whether it goes on.
+    """
+    out, at = np.zeros((len(start), steps), np.uint64), np.zeros(len(start), np.int64)
+    for j in range(steps):
+        symbol = np.where(at < size, words[np.minimum(np.maximum(start + way * at, 0), len(words) - 1)] + 2, 0).astype(np.uint64)
+        out[:, j] = symbol
+        at += (textops.pair(symbol, np.full(len(symbol), (seed << 32) + j, np.uint64)) >> np.uint64(63)).astype(np.int64)
+    return out
+
+
+def _sampled(length: int, left: int, k: int) -> np.ndarray:
+    """Places of the k-th key: ``SAMPLED`` steps of the two walks from a piece over an item, as indices of the forward walk (from 0) and of the backward one (from -1 down).
+
+    A walk takes two steps a word in the mean, so places are drawn over both walks by their lengths.
+    """
+    right = length - left
+    return np.random.default_rng([length, left, k]).choice(np.arange(-2 * left, 2 * right), min(SAMPLED, 2 * length), replace=False)
+
+
 @dataclass
 class Size:
     """The items of one length: their ids, words and the allowed edits."""
@@ -113,6 +146,9 @@ class Items:
             self.pieces[n] = h[order], of[:, 0], of[:, 1]
         self.length = np.array([len(w) for _, w, _ in self.every], np.int64)
         self.edits = np.array([most for *_, most in self.every], np.int64)
+        self.flat = np.array([x for _, w, _ in self.every for x in w] or [0], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
+        self.places: dict[tuple[int, int], np.ndarray] = {}
 
     def find(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, object, int, int, int]]:
         """(text, item id, position, words, edits) of each matching pair of text and item, its best run of words."""
@@ -131,7 +167,7 @@ class Items:
             times = np.searchsorted(keys, h[hit], side="right") - left
             block = np.cumsum(times) // AT_ONCE
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(at)]
-            found += [self._places(starts, text_of, upto, at[a:b], left[a:b], times[a:b], item, offset) for a, b in zip(cuts, cuts[1:]) if b > a]
+            found += [self._windows(codes, starts, text_of, upto, at[a:b], left[a:b], times[a:b], item, offset) for a, b in zip(cuts, cuts[1:]) if b > a]
         text, i, lo, hi = np.unique(np.concatenate(found), axis=0).T
         if not len(text):
             return
@@ -146,15 +182,54 @@ class Items:
         for (t, k), (d, pos, n) in sorted(best.items()):
             yield t, self.every[k][0], pos, n, d
 
-    def _places(self, starts: np.ndarray, text_of: np.ndarray, upto: np.ndarray, at: np.ndarray, left: np.ndarray, times: np.ndarray, item: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """(text, item, from, to) where an item can lie whose piece is found; with as many of all items' words there as the bound leaves."""
+    def _windows(self, codes: np.ndarray, starts: np.ndarray, text_of: np.ndarray, upto: np.ndarray, at: np.ndarray, left: np.ndarray, times: np.ndarray, item: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """(text, item, from, to) around the windows of pieces found whose embeddings share a key with the item's; with as many of all items' words there as the bound leaves."""
         row = np.repeat(np.arange(len(at)), times)
         k = left[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-        i, text = item[k], text_of[at[row]]
-        begin, m, most = at[row] - offset[k], self.length[i], self.edits[i]
-        lo, hi = np.maximum(starts[text], begin - most), np.minimum(starts[text + 1], begin + m + most)
-        ok = upto[hi] - upto[lo] >= m - most
-        return np.unique(np.stack([text, i, lo, hi], axis=1)[ok], axis=0)
+        i, text, off, place = item[k], text_of[at[row]], offset[k], at[row]
+        m, most = self.length[i], self.edits[i]
+        lo, hi = np.maximum(starts[text], place - off - most), np.minimum(starts[text + 1], place - off + m + most)
+        ok = np.flatnonzero(upto[hi] - upto[lo] >= m - most)
+        # One and the same piece and place of an item are looked at once.
+        own = np.unique(np.stack([i, off, place, text, lo, hi], axis=1)[ok], axis=0)
+        shares = np.zeros(len(own), bool)
+        steps = 2 * self.length[own[:, 0]]
+        a = 0
+        while a < len(own):
+            b = max(a + 1, int(np.searchsorted(np.cumsum(steps[a:]), CELLS // WALKS)) + a)
+            shares[a:b] = self._alike(codes, starts, *own[a:b, :4].T)
+            a = b
+        return own[shares][:, [3, 0, 4, 5]]
+
+    def _alike(self, codes: np.ndarray, starts: np.ndarray, i: np.ndarray, off: np.ndarray, place: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Which windows share one of the keys with their item: equal symbols at all sampled places of a walk."""
+        m = self.length[i]
+        right, count = m - off, repeats()
+        picked = np.stack([self._picked(int(n), int(x)) for n, x in zip(m, off)])
+        hit = np.zeros(len(i), bool)
+        ahead, behind = np.minimum(right, starts[text + 1] - place), np.minimum(off, place - starts[text])
+        for w in range(WALKS):
+            same = []
+            for way, mine, theirs, size, own in ((1, self.start[i] + off, place, ahead, right), (-1, self.start[i] + off - 1, place - 1, behind, off)):
+                n = 2 * int(own.max(initial=0))
+                ways = np.full(len(i), way)
+                same.append(embed(self.flat, mine, own, ways, n, w) == embed(codes, theirs, size, ways, n, w))
+            both = np.concatenate([*(x for x in same), np.zeros((len(i), 1), bool)], axis=1)
+            forward = same[0].shape[1]
+            rows = np.arange(len(i))[:, None]
+            for k in range(w, count, WALKS):
+                p = picked[:, k]
+                hit |= both[rows, np.where(p >= 0, p, forward - 1 - p)].all(axis=1)
+        return hit
+
+    def _picked(self, length: int, left: int) -> np.ndarray:
+        if (length, left) not in self.places:
+            all_keys = np.zeros((repeats(), SAMPLED), np.int64)
+            for k in range(len(all_keys)):
+                p = _sampled(length, left, k)
+                all_keys[k] = np.resize(p, SAMPLED)
+            self.places[length, left] = all_keys
+        return self.places[length, left]
 
 
 def _coded(texts: pa.Array, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,13 +261,15 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     Words compare without case and marks at their ends; start_word counts white-space
     separated words from 0.  Items under eight words are found unchanged only; null and empty ones give no rows,
-    nor do null and empty texts.  Repeated rows give repeated results; ties go to the
-    first run.  Other columns are not read.
+    nor do null and empty texts.  A very long text is read whole, alone in its slice.  Repeated rows give
+    repeated results; ties go to the first run.  Other columns are not read.  If both id columns have
+    one name, the item's becomes item_<name>.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     item_type = pa.int64() if benchmark.schema[item_col].dataType.typeName() in ("long", "integer", "short", "byte") else pa.string()
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, T.LongType() if item_type == pa.int64() else T.StringType()), *(T.StructField(n, T.LongType()) for n in ("start_word", "n_words", "edit_distance"))])
+    item_name = item_col if item_col != id_col else f"item_{item_col}"
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_name, T.LongType() if item_type == pa.int64() else T.StringType()), *(T.StructField(n, T.LongType()) for n in ("start_word", "n_words", "edit_distance"))])
     out = None
     for items in _blocks(benchmark, item_col, item_text_col, edits):
 
@@ -211,7 +288,10 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item."""
+    """The rows of docs, with all their columns, that hold no item, as find() finds them.
+
+    Null and empty texts hold none and stay, as do all rows where there are no items; repeated rows stay or go together.
+    """
     prepare(docs.sparkSession)
     out = docs
     for items in _blocks(benchmark, item_col, item_text_col, edits):

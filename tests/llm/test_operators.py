@@ -350,19 +350,73 @@ def test_decontamination(spark, odd, empty):
     assert decontam.find(empty, items).count() == 0 and decontam.clean(docs, items.limit(0)).count() == 4
 
 
-def test_decontamination_recall():
-    rng = random.Random(3)
-    items = decontam.Items([(k, " ".join(f"t{rng.randrange(300)}" for _ in range(rng.randrange(15, 60)))) for k in range(40)])
-    asked = found = 0
-    for s in items.sizes:
-        for i, w in enumerate(s.words):
-            v = list(w)
-            for _ in range(s.edits):
-                v[rng.randrange(len(v))] = rng.randrange(1, 300)
-            seq = np.array([0] * 5 + v + [0] * 5)
-            asked += 1
-            found += any(x[1] == s.ids[i] for x in items.find(seq, np.array([0, len(seq)])))
-    assert found / asked >= 0.9
+def _edited(rng, words, edits, kind, codes):
+    out = list(words)
+    for _ in range(edits):
+        own = rng.choice(("sub", "drop", "add")) if kind == "mixed" else kind
+        at = rng.randrange(len(out))
+        if own == "sub":
+            out[at] = rng.randrange(1, codes)
+        elif own == "drop":
+            del out[at]
+        else:
+            out.insert(at, rng.randrange(codes))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["sub", "drop", "add", "mixed"])
+def test_decontamination_recall_at_the_bound(kind):
+    rng = random.Random(kind)
+    items = decontam.Items([(k, " ".join(f"t{rng.randrange(600)}" for _ in range(rng.randrange(15, 60)))) for k in range(100)])
+    found = 0
+    for ident, words, edits in items.every:
+        around = [[rng.randrange(len(items.codes)) for _ in range(40)] for _ in range(2)]
+        seq = np.array(around[0] + _edited(rng, words, edits, kind, len(items.codes)) + around[1])
+        found += any(x[1] == ident for x in items.find(seq, np.array([0, len(seq)])))
+    assert found >= 97
+
+
+def test_decontamination_equals_brute_force_over_all_runs():
+    """Few words, so that chance brings many runs near the bound: pairs and edits as a scan of all texts and items gives them."""
+    rng = random.Random(8)
+    items = decontam.Items([(k, " ".join(f"t{rng.randrange(30)}" for _ in range(rng.choice((5, 9, 12, 20))))) for k in range(30)])
+    texts = [[rng.randrange(len(items.codes)) for _ in range(rng.randrange(0, 120))] for _ in range(70)]
+    for t in texts[:50]:
+        _, words, edits = rng.choice(items.every)
+        t[len(t) // 2 : len(t) // 2] = _edited(rng, words, rng.randrange(edits + 1), "mixed", len(items.codes))
+    starts = np.cumsum([0, *map(len, texts)])
+    got = {(t, i): d for t, i, _, _, d in items.find(np.array([x for t in texts for x in t]), starts)}
+    want = {}
+    for n, t in enumerate(texts):
+        for ident, words, most in items.every:
+            row, least = list(range(len(words) + 1)), len(words)
+            for y in t:
+                new = [0]
+                for k, x in enumerate(words, 1):
+                    new.append(min(row[k] + 1, new[-1] + 1, row[k - 1] + (x != y)))
+                row, least = new, min(least, new[-1])
+            if least <= most:
+                want[n, ident] = least
+    assert set(got) <= set(want) and all(got[k] == want[k] for k in got)
+    assert len(got) >= 0.98 * len(want) > 30
+
+
+def test_decontamination_embedding_follows_the_edit_distance():
+    rng = np.random.default_rng(5)
+    words = rng.integers(1, 500, (200, 40))
+    near = words.copy()
+    near[:, 11] = 501
+    far = rng.integers(1, 500, (200, 40))
+    at, size, way = np.arange(200) * 40, np.full(200, 40), np.ones(200, np.int64)
+    a, b, c = (decontam.embed(x.reshape(-1), at, size, way, 80, 0) for x in (words, near, far))
+    assert np.median((a != b).sum(axis=1)) < 10 < 50 < np.median((a != c).sum(axis=1))
+
+
+def test_decontamination_names_and_ties(spark):
+    items = spark.createDataFrame([(7, " ".join(f"q{k}" for k in range(10))), (7, " ".join(f"q{k}" for k in range(10)))], "doc_id long, text string")
+    docs = spark.createDataFrame([("a", " ".join(f"q{k}" for k in range(10)) + " x " + " ".join(f"q{k}" for k in range(10)), 1)] * 2, "doc_id string, text string, item_doc_id int")
+    got = decontam.find(docs, items, item_col="doc_id")
+    assert got.columns[:2] == ["doc_id", "item_doc_id"] and set(collected(got)) == {("a", 7, 0, 10, 0)} and got.count() == 4
 
 
 def test_decontamination_finds_dropped_and_added_words():
