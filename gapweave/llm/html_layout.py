@@ -1,12 +1,15 @@
 """All visible text of a page, laid out: blocks apart, lists marked, table cells aligned.
 
-A tree builder with implied tags reads the page; elements that are not shown (by name,
-by attribute, by inline style or by a simple rule of the page's own style sheet) go.
+A tree builder with implied tags reads the page.  What is not displayed (by name, by
+attribute, by inline style or by a simple rule of the page's own style sheet, in a closed
+details) goes with all inside it; hidden elements keep what is made visible inside them.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -18,17 +21,20 @@ from pyspark.sql import types as T
 from . import textops
 from .shared import prepare
 
-#: Elements deeper than this become children of the one at this depth.
-DEPTH = 150
-#: Cells up to this width are padded to their column.
-WIDEST = 48
+#: Elements deeper than this become children of the one at this depth, as in browsers.
+DEPTH = 512
+#: The widest a column of a table gets; a longer line reaches into the next one, which then follows after two spaces.
+WIDEST = 160
 
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/](?P<other>[^>]*+)(?:>|\Z)", re.S
 )
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*([\w-]+)", re.I)
+_MEDIA = re.compile(r"@media([^{]*)\{((?:[^{}]*\{[^{}]*\})*[^{}]*)\}", re.I)
+_REMARK = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 # Fixed values of the HTML standard: which elements have no content, hold raw text, close others, are not rendered.
@@ -133,29 +139,56 @@ def parse(html: str) -> Node:
     return b.root
 
 
-def hidden_by_sheet(root: Node) -> frozenset[str]:
-    """Simple selectors (name, .class or #id) that the page's own style sheets hide."""
-    found, todo = set(), [root]
+#: What a selector or an inline style says: whether an element is gone (display) and whether it is hidden (visibility); None where it says nothing.
+Look = tuple[bool | None, bool | None]
+
+
+def _look(css: str) -> Look:
+    """The last display and visibility of a list of declarations."""
+    d, v = _DISPLAY.findall(css), _VISIBILITY.findall(css)
+    return (d[-1].lower() == "none" if d else None, v[-1].lower() in ("hidden", "collapse") if v else None)
+
+
+def sheet(root: Node) -> dict[str, Look]:
+    """What the page's own style sheets say by simple selector (name, .class or #id); only rules that hold on every screen count."""
+    found: dict[str, Look] = {}
+    todo = [root]
     while todo:
         node = todo.pop()
         if node.name == "style":
-            for selectors, body in _RULE.findall("".join(c for c in node.children if isinstance(c, str))):
-                if _UNSEEN.search(body):
-                    found |= {s.strip() for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
-        todo += [c for c in node.children if isinstance(c, Node)]
-    return frozenset(found)
-
-
-def visible(node: Node, hidden: frozenset[str]) -> bool:
-    """Whether an element is shown, as far as name, attributes and simple rules tell."""
-    if node.name in UNRENDERED:
-        return False
+            css = _REMARK.sub(" ", "".join(c for c in node.children if isinstance(c, str)))
+            css = _MEDIA.sub(lambda m: m[2] if m[1].strip().lower() in ("", "all", "screen", "only screen") else " ", css)
+            for selectors, body in _RULE.findall(css):
+                gone, dim = _look(body)
+                if gone is None and dim is None:
+                    continue
+                for one in map(str.strip, selectors.split(",")):
+                    if re.fullmatch(r"[.#]?[\w-]+", one):
+                        old = found.get(one, (None, None))
+                        found[one] = (old[0] if gone is None else gone, old[1] if dim is None else dim)
+        todo += reversed([c for c in node.children if isinstance(c, Node)])
+    return found
+
+
+def shown(node: Node, rules: dict[str, Look], dim: bool) -> bool | None:
+    """Whether an element's own text is hidden (dim, which it inherits); None if the element is gone with all inside it.
+
+    Inline style goes before id, class and name, as far as simple rules tell.
+    """
     a = node.attrs
-    if not a:
-        return node.name not in hidden and node.name != "dialog"
-    if "hidden" in a or _UNSEEN.search(a.get("style", "")) or (node.name == "input") or (node.name == "dialog" and "open" not in a):
-        return False
-    return not hidden or not ({node.name, *(f".{c}" for c in a.get("class", "").split()), f"#{a.get('id', '')}"} & hidden)
+    if node.name in UNRENDERED or (node.name == "dialog" and "open" not in a):
+        return None
+    gone = hides = None
+    if a and "style" in a:
+        gone, hides = _look(a["style"])
+    if rules:
+        names = [f"#{a['id']}"] if "id" in a else []
+        for one in (*names, *(f".{c}" for c in a.get("class", "").split()), node.name):
+            if one in rules:
+                gone, hides = (old if old is not None else new for old, new in zip((gone, hides), rules[one]))
+    if gone or (gone is None and "hidden" in a):
+        return None
+    return dim if hides is None else hides
 
 
 class Page:
@@ -204,59 +237,107 @@ class Page:
         return self.lines
 
 
-def _table(node: Node, hidden: frozenset[str]) -> list[str]:
-    """Rows of a table with cells aligned by column; captions come first."""
-    lines, rows, todo = [], [], [*reversed(node.children)]
+def _span(node: Node, name: str, most: int) -> int:
+    """A cell's colspan or rowspan, 1 unless it is a number; 0 is kept."""
+    value = node.attrs.get(name, "1").strip()
+    return min(int(value[:9]), most) if value.isascii() and value.isdigit() else 1
+
+
+def _grid(rows: list[tuple[int, list[Node]]]) -> list[list[tuple[int, int, Node]]]:
+    """By row: (column, columns, cell).  Cells go to the next column that none from above reaches into; rowspans end with their section."""
+    grid, below, section = [], {}, None
+    left = {}
+    for number, _ in rows:
+        left[number] = left.get(number, 0) + 1
+    for number, cells in rows:
+        if number != section:
+            below, section = {}, number
+        line, at = [], 0
+        taken, below = below, {c: n - 1 for c, n in below.items() if n > 1}
+        for cell in cells:
+            wide, high = max(1, _span(cell, "colspan", 1000)), _span(cell, "rowspan", 65534) or left[number]
+            while at in taken:
+                at += 1
+            line.append((at, wide, cell))
+            if high > 1:
+                below |= dict.fromkeys(range(at, at + wide), high - 1)
+            at += wide
+        left[number] -= 1
+        grid.append(line)
+    return grid
+
+
+def _table(node: Node, rules: dict[str, Look], dim: bool) -> list[str]:
+    """Rows of a table with cells aligned by column; captions and what else is not in a cell come first."""
+    lines, rows, hides, sections = [], [], [], 0
+    todo = [(c, dim, 0) for c in reversed(node.children)]
     while todo:
-        x = todo.pop()
+        x, dim, section = todo.pop()
         if isinstance(x, str):
-            if x.strip():
+            if x.strip() and not dim:
                 lines += [_SPACE.sub(" ", x).strip()]
-        elif visible(x, hidden):
+        elif (own := shown(x, rules, dim)) is not None:
             if x.name == "tr":
-                rows.append([c for c in x.children if isinstance(c, Node) and c.name in _CELLS and visible(c, hidden)])
-                loose = [c for c in x.children if not (isinstance(c, Node) and c.name in _CELLS)]
-                lines += render(loose, hidden)
+                cells = [(c, d) for c in x.children if isinstance(c, Node) and c.name in _CELLS and (d := shown(c, rules, own)) is not None]
+                rows.append((section, [c for c, _ in cells]))
+                hides.append([d for _, d in cells])
+                lines += render([c for c in x.children if not (isinstance(c, Node) and c.name in _CELLS)], rules, own)
             elif x.name in _SECTIONS:
-                todo += reversed(x.children)
+                sections += 1
+                todo += [(c, own, sections) for c in reversed(x.children)]
             elif x.name not in ("colgroup", "col"):
-                lines += render([x], hidden)
-    grid, width = [], {}
-    for cells in rows:
-        line, at = [], 0
-        for c in cells:
-            own = render(c.children, hidden) or [""]
-            span = int(s) if (s := c.attrs.get("colspan", "1")).isdecimal() and 1 <= len(s) <= 3 else 1
-            line.append((at, own))
-            if span == 1:
-                width[at] = max(width.get(at, 0), max((len(x) for x in own if len(x) <= WIDEST), default=0))
-            at += max(1, span)
-        grid.append(line)
+                lines += render([x], rules, dim)
+    grid = [[(at, wide, render(cell.children, rules, d) or [""]) for (at, wide, cell), d in zip(line, dims)] for line, dims in zip(_grid(rows), hides)]
+    longest = lambda own: max((len(x) for x in own if len(x) <= WIDEST), default=0)
+    width: dict[int, int] = {}
+    for line in grid:
+        for at, wide, own in line:
+            if wide == 1:
+                width[at] = max(width.get(at, 0), longest(own))
+    for wide, at, own in sorted(((w, at, own) for line in grid for at, w, own in line if w > 1), key=lambda x: x[:2]):
+        inside = [c for c in range(at, at + wide) if width.get(c)] or [at]
+        if (more := longest(own) - sum(width.get(c, 0) + 2 for c in inside) + 2) > 0:
+            width[inside[-1]] = min(WIDEST, width.get(inside[-1], 0) + more)
+    columns = sorted(c for c, w in width.items() if w)
+    begin = [0]
+    for c in columns:
+        begin.append(begin[-1] + width[c] + 2)
     for line in grid:
-        for k in range(max((len(own) for _, own in line), default=0)):
-            out, at = "", 0
-            for column, own in line:
-                out = out.ljust(at) if column else out
-                piece = own[k] if k < len(own) else ""
-                out += ("  " if column else "") + piece
-                at = len(out) - len(piece) + max(len(piece), width.get(column, 0))
+        for k in range(max((len(own) for *_, own in line), default=0)):
+            out = ""
+            for at, _, own in line:
+                piece, start = own[k] if k < len(own) else "", begin[bisect_left(columns, at)]
+                if piece:
+                    out = out + "  " if out and len(out) + 2 > start else out.ljust(start)
+                    out += piece
             lines.append(out.rstrip())
     return lines
 
 
-def _walk(page: Page, children: list, hidden: frozenset[str], pre: bool, lists: int) -> None:
+#: Kinds of input whose value is on show.
+_SHOWN_INPUT = frozenset("submit button reset text search email url tel number date".split())
+
+
+def _walk(page: Page, children: list, rules: dict[str, Look], pre: bool, lists: int, dim: bool) -> None:
     for c in children:
         if isinstance(c, str):
-            page.text(c, pre)
+            if not dim:
+                page.text(c, pre)
             continue
-        if not visible(c, hidden):
+        own = shown(c, rules, dim)
+        if own is None:
             continue
-        name = c.name
+        name, inside = c.name, c.children
+        if name == "details" and "open" not in c.attrs:
+            inside = [x for x in inside if isinstance(x, Node) and x.name == "summary"][:1]
         if name == "br":
             page.flush(keep=True)
+        elif name == "input":
+            if not own and c.attrs.get("type", "text").lower() in _SHOWN_INPUT:
+                page.text(c.attrs.get("value", ""), pre)
         elif name == "table":
             page.space()
-            for line in _table(c, hidden):
+            for line in _table(c, rules, own):
                 page.now = [line]
                 page.flush(keep=True)
             page.space()
@@ -264,16 +345,16 @@ def _walk(page: Page, children: list, hidden: frozenset[str], pre: bool, lists:
             page.flush() if lists else page.space()
             number = int(s) if (s := c.attrs.get("start", "1")).isdecimal() and len(s) < 9 else 1
             outer, page.indent = page.indent, page.indent + "  "
-            for item in c.children:
-                if isinstance(item, Node) and item.name == "li" and visible(item, hidden):
+            for item in inside:
+                if isinstance(item, Node) and item.name == "li" and (hides := shown(item, rules, own)) is not None:
                     page.flush()
-                    page.mark = f"{number}. " if name == "ol" else "- "
+                    page.mark = "" if hides else f"{number}. " if name == "ol" else "- "
                     page.indent = outer + " " * len(page.mark)
-                    _walk(page, item.children, hidden, pre, lists + 1)
+                    _walk(page, item.children, rules, pre, lists + 1, hides)
                     page.flush(keep=bool(page.mark))
                     number += 1
                 else:
-                    _walk(page, [item], hidden, pre, lists + 1)
+                    _walk(page, [item], rules, pre, lists + 1, own)
             page.flush()
             page.indent = outer
             page.gap |= not lists
@@ -283,20 +364,21 @@ def _walk(page: Page, children: list, hidden: frozenset[str], pre: bool, lists:
             outer = page.indent
             if name in ("blockquote", "dd"):
                 page.indent += "  "
-            _walk(page, c.children, hidden, pre or name == "pre", lists)
+            _walk(page, inside, rules, pre or name == "pre", lists, own)
             page.space() if spaced else page.flush()
             page.indent = outer
         elif name == "q":
-            page.text('"', pre)
-            _walk(page, c.children, hidden, pre, lists)
-            page.text('"', pre)
+            mark = "" if own else '"'
+            page.text(mark, pre)
+            _walk(page, inside, rules, pre, lists, own)
+            page.text(mark, pre)
         else:
-            _walk(page, c.children, hidden, pre or name == "textarea", lists)
+            _walk(page, inside, rules, pre or name == "textarea", lists, own)
 
 
-def render(children: list, hidden: frozenset[str]) -> list[str]:
+def render(children: list, rules: dict[str, Look], dim: bool = False) -> list[str]:
     page = Page()
-    _walk(page, children, hidden, False, 0)
+    _walk(page, children, rules, False, 0, dim)
     return page.done()
 
 
@@ -304,12 +386,14 @@ def to_text(html: str | None) -> str:
     """The visible text of a page; null and empty pages have none."""
     if not html:
         return ""
+    # A level of nesting takes at most three calls.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 4 * DEPTH + 1000))
     root = parse(html.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "�"))
-    return "\n".join(render(root.children, hidden_by_sheet(root)))
+    return "\n".join(render(root.children, sheet(root)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Per row: id and text.  Null and empty pages have an empty text; repeated rows stay; other columns are not read."""
+    """Per row: id and text.  Null and empty pages have an empty text; repeated rows stay; very long pages are read whole; other columns are not read."""
     prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

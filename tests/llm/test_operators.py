@@ -336,6 +336,53 @@ x <b> y</b> z<pre> a\n  b</pre><div hidden>no</div><span style='display:none'>no
     assert html_layout.extract(df.limit(0)).count() == 0
 
 
+def test_html_shows_what_is_visible():
+    text = html_layout.to_text
+    assert text("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>").split("\n") == ["A  b", "   c"]
+    assert text("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b><ul><li>no</ul></div>").split() == ["yes"]
+    assert text("<style>.v{visibility:hidden} .s{visibility:visible}</style><p class=v>no <i class=s>yes</i>") == "yes"
+    assert text("<style>.h{display:none}/*.x{display:none}*/ @media print{.x{display:none}} @media screen{.y{display:none}}</style><p class=h>no<p class=h style='display:block'>a<p class=x>b<p class=y>no").split() == ["a", "b"]
+    assert text("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details>").split() == ["s", "t", "yes"]
+    assert text("<table><tr><td colspan=2>wide header<tr><td>a<td>b<td>c</table>").split("\n") == ["wide header", "a  b         c"]
+    assert text(f"<table><tr><td>{'x' * 100}<td>b<tr><td>y<td>c</table>").split("\n") == ["x" * 100 + "  b", "y" + " " * 101 + "c"]
+    assert text(f"<table><tr><td>{'x' * 300}<td>b<tr><td>y<td>c</table>").split("\n") == ["x" * 300 + "  b", "y  c"]
+    assert text("<div>" * 400 + "<table>" * 200 + "deep") == "deep" and text("<ul><li>" * 3000 + "deep").strip("- ").endswith("deep")
+    assert text("<table><thead><tr><td rowspan=9>h<td>i</thead><tr><td>a<td>b</table>").split("\n") == ["h  i", "a  b"]
+    assert text("<input type=hidden value=no><input type=submit value=Go><input value=x>") == "Gox"
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_html_tables_equal_a_brute_force_grid(seed):
+    """Cells of random tables lie in the line and column where a matrix of marked places puts them."""
+    rng = random.Random(seed)
+    n_rows, cells, taken, html = rng.randint(1, 7), [], set(), "<table>"
+    for r in range(n_rows):
+        html += "<tr>"
+        column = 0
+        for _ in range(rng.randint(1, 5)):
+            wide, high = rng.choice((1, 1, 1, 2, 3)), min(rng.choice((1, 1, 1, 2, 3)), n_rows - r)
+            while (r, column) in taken:
+                column += 1
+            taken |= {(r + i, column + j) for i in range(high) for j in range(wide)}
+            word = f"c{len(cells)}" + "x" * rng.randint(0, 12)
+            cells.append((r, column, wide, word))
+            html += f"<td colspan={wide} rowspan={high}>{word}"
+            column += wide
+    lines = html_layout.to_text(html + "</table>").split("\n")
+    assert len(lines) == n_rows
+    where: dict[int, set[int]] = {}
+    for r, column, wide, word in cells:
+        assert lines[r].split().count(word) == 1
+        where.setdefault(column, set()).add((lines[r] + " ").index(word + " "))
+    single = {c for _, c, w, _ in cells if w == 1}
+    # All cells that start in a column start at one place; columns with cells of their own come in order.
+    assert all(len(v) == 1 for v in where.values())
+    starts = [min(where[c]) for c in sorted(single)]
+    assert starts == sorted(set(starts))
+    for r in range(n_rows):
+        assert lines[r].split() == [w for q, _, _, w in cells if q == r]
+
+
 # 8
 def test_decontamination(spark, odd, empty):
     items = spark.createDataFrame([(1, " ".join(f"q{k}" for k in range(30)), 9), (2, "too short", 9), (3, None, 9), (4, " ".join(f"z{k}" for k in range(20)), 9), (None, "", 9)], "item_id long, text string, doc_id int")
