@@ -58,6 +58,20 @@ def blobs(keys: np.ndarray, cols: list[np.ndarray], bits: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(made, pa.binary())], ["bucket", "blob"])
 
 
+def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[np.ndarray]]]]:
+    """The decoded blobs of a partition shard by shard, so that one shard is held at a time; rows have to come sorted by shard."""
+    now, got = None, []
+    for batch in batches:
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if bucket != now:
+                if got:
+                    yield now, got
+                now, got = bucket, []
+            got.append(decode(blob.as_buffer().to_pybytes()))
+    if got:
+        yield now, got
+
+
 def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[list[np.ndarray]]]:
     """The decoded blobs of a partition by shard."""
     got: dict[int, list[list[np.ndarray]]] = {}
@@ -125,6 +139,67 @@ class Store:
                 v[a:b][hit] = c[at[hit]]
         return found, values
 
+    def lookup_pair(self, keys: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of ascending keys with a second part: which are stored with it, and their values.  The store's second column is the second part; equal keys lie together."""
+        found = np.zeros(len(keys), bool)
+        values = [np.zeros(len(keys), k) for k in self.kinds[2:]]
+        edges = np.searchsorted(keys, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
+        lo, hi = np.concatenate([[0], edges]), np.concatenate([edges, [len(keys)]])
+        for bucket in np.flatnonzero(hi > lo):
+            if int(bucket) not in self.full:
+                continue
+            a, b = lo[bucket], hi[bucket]
+            own, other, *cols = self.shard(bucket)
+            at = np.searchsorted(own, keys[a:b])
+            todo = np.flatnonzero(at < len(own))
+            while len(todo):
+                todo = todo[own[at[todo]] == keys[a:b][todo]]
+                right = other[at[todo]] == second[a:b][todo]
+                hit = todo[right]
+                found[a + hit] = True
+                for v, c in zip(values, cols):
+                    v[a + hit] = c[at[hit]]
+                todo = todo[~right]
+                at[todo] += 1
+                todo = todo[at[todo] < len(own)]
+        return found, values
+
+
+def pair_store(table, folder: str, bits: int) -> Store:
+    """A table (k1 long, k2 long, value long; no nulls, keys distinct) as sorted arrays of (k1, k2, value) by mixed k1; see pair_values()."""
+    from .textops import mix
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                k1, k2, value = (c.to_numpy() for c in batch.columns)
+                k1 = mix(k1.astype(np.uint64))
+                order = np.argsort(k1, kind="stable")
+                yield blobs(k1[order], [k2[order], value[order]], bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, got in streamed(batches):
+            k1, k2, value = (np.concatenate(c) for c in zip(*got))
+            order = np.argsort(k1, kind="stable")
+            write_shard(folder, bucket, [k1[order], k2[order], value[order]])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32())], ["bucket"])
+
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = table.mapInArrow(spread, BLOBS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(keep, "bucket int").collect()
+    return Store(folder, bits, ["u8", "i8", "i8"], {r[0] for r in full})
+
+
+def pair_values(store: Store, k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys (int64) which a pair_store() has, and their values."""
+    from .textops import mix
+
+    keys = mix(k1.astype(np.uint64))
+    order = np.lexsort((k2, keys))
+    found, (value,) = store.lookup_pair(keys[order], k2[order])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return found[back], value[back]
+
 
 def id_store(ids, folder: str, bits: int) -> Store:
     """A table's integer column of ids (no nulls), as sorted arrays of mixed ids; see holds()."""
@@ -136,12 +211,12 @@ def id_store(ids, folder: str, bits: int) -> Store:
                 yield blobs(np.unique(mix(batch.column(0).cast(pa.int64()).to_numpy().astype(np.uint64))), [], bits)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, got in gathered(batches).items():
+        for bucket, got in streamed(batches):
             write_shard(folder, bucket, [np.unique(np.concatenate([g[0] for g in got]))])
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32())], ["bucket"])
 
     n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = ids.mapInArrow(spread, BLOBS).repartition(n, "bucket").mapInArrow(keep, "bucket int").collect()
+    full = ids.mapInArrow(spread, BLOBS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(keep, "bucket int").collect()
     return Store(folder, bits, ["u8"], {r[0] for r in full})
 
 

@@ -12,12 +12,12 @@ from urllib.parse import urlparse
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Used only where the cluster names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and driver and executors are one process, as in tests.
 FALLBACK = "file:///tmp/checkpoints"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and keep Arrow batches small enough for long texts."""
+    """Let Python workers import this package, and keep the session's Arrow batches small enough for long texts."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
@@ -39,6 +39,8 @@ def scratch(spark: SparkSession, tag: str) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = FALLBACK
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(base)
@@ -60,6 +62,13 @@ def written(df, uri: str):
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def integer_id(df, id_col: str) -> None:
+    """An error, before any job, where ids are not integers: they are compared, mixed and stored as 64-bit ones."""
+    kind = df.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} has to be an integer column, but it is {kind}")
+
+
 def buckets(spark: SparkSession) -> int:
     """Bits of a hash that choose its shard: twice as many shards as shuffle partitions, 64 to 16,384."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

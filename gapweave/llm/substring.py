@@ -5,13 +5,13 @@ any two equal runs of ``width`` words, wherever they lie, share an anchor of
 ``width - period + 1`` words at a position that the cover holds in both texts.  So
 only anchors at cover positions are hashed and counted (a fifth of all positions).
 Anchors that two documents hold are stored as sorted hash arrays; only windows that
-contain one extend to their whole width and are compared.  Documents whose text
+contain one extend to their whole width and are compared, by 128 bits of hash.  Documents whose text
 repeats an earlier one wholly stay out of the search: their windows are all repeated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import packed, textops
-from .shared import buckets, local_path, prepare, scratch
+from .shared import buckets, integer_id, local_path, prepare, scratch
 
 WIDTH = 50
 #: A perfect difference set: every residue modulo 31 is a difference of two of these.
@@ -35,10 +35,11 @@ def _cover(period: int, width: int) -> tuple[int, tuple[int, ...]]:
     return (period, COVER) if period == PERIOD and width > PERIOD else (1, (0,))
 
 
-def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, Callable[[], np.ndarray]]:
+    """Word hashes, where texts start, the words, and a second family of hashes, made where it is asked for."""
     flat, starts = textops.split(texts)
     codes, distinct = textops.coded(flat)
-    return textops.hashed(distinct)[codes], starts, flat
+    return textops.hashed(distinct)[codes], starts, flat, lambda: textops.hashed(distinct, 1)[codes]
 
 
 def _anchors(h: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -76,19 +77,28 @@ def _candidates(h: np.ndarray, starts: np.ndarray, width: int, live: packed.Stor
     return np.flatnonzero((np.cumsum(mark[:-1]) > 0) & textops.within(starts, width))
 
 
-def _shards(parts: DataFrame, spark, folder: str, bits: int) -> packed.Store:
-    """Merge packed (key, least, most) entries and store those that two documents share, with the smaller one."""
+def _merged(got: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Join (key, second, least, most) entries, ascending by both parts of the key: smallest and largest document of each."""
+    keys, second, least, most = (np.concatenate(c) for c in zip(*got))
+    order = np.lexsort((second, keys))
+    keys, second, least, most = keys[order], second[order], least[order], most[order]
+    at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (second[1:] != second[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    return [keys[at], second[at], np.minimum.reduceat(least, at), np.maximum.reduceat(most, at)]
+
+
+def _shards(parts: DataFrame, spark, folder: str, bits: int, merge: Callable, kinds: list[str]) -> packed.Store:
+    """Merge packed (key ..., least, most) entries shard by shard and store those that two documents share, with the smaller one."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, got in packed.gathered(batches).items():
-            keys, least, most = packed.merge(got, [np.minimum, np.maximum])
+        for bucket, got in packed.streamed(batches):
+            *keys, least, most = merge(got)
             both = least < most
             if both.any():
-                packed.write_shard(folder, bucket, [keys[both], least[both]])
+                packed.write_shard(folder, bucket, [*(k[both] for k in keys), least[both]])
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32())], ["bucket"])
 
-    full = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").mapInArrow(reduce, "bucket int").collect()
-    return packed.Store(folder, bits, ["u8", "i8"], {r[0] for r in full})
+    full = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket").mapInArrow(reduce, "bucket int").collect()
+    return packed.Store(folder, bits, kinds, {r[0] for r in full})
 
 
 class Search:
@@ -99,14 +109,15 @@ class Search:
 
     def removed(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """Of a batch of _id and _text: each text's words and how many of them go, and the words left, text by text."""
-        width, h, starts, flat = self.width, *_hashes(batch.column("_text"))
+        width, h, starts, flat, other = self.width, *_hashes(batch.column("_text"))
         counts = np.diff(starts)
         gone = np.zeros(len(h), bool)
         at = _candidates(h, starts, width, self.live)
         if len(at):
-            keys, back = np.unique(textops.windows(h, width)[at], return_inverse=True)
-            found, (least,) = self.shared.lookup(keys)
-            at = at[found[back] & (least[back] < _docs_of(batch, starts)[at])]
+            keys, second = textops.windows(h, width)[at], textops.windows(other(), width)[at]
+            order = np.argsort(keys)
+            found, (least,) = self.shared.lookup_pair(keys[order], second[order])
+            at = np.sort(at[order][found & (least < _docs_of(batch, starts)[at[order]])])
             mark = np.zeros(len(h) + 1, np.int64)
             np.add.at(mark, at, 1)
             np.add.at(mark, at + width, -1)
@@ -125,16 +136,23 @@ def _text_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return pairs[:, 0], pairs[:, 1], ids
 
 
+def _copy_keys(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both parts of the key of a text and its id."""
+    own = ids.astype(np.uint64)
+    return textops.pair(a, own), textops.pair(b, own)
+
+
 def _is_copy(batch: pa.RecordBatch, copies: packed.Store) -> np.ndarray:
-    a, _, ids = _text_keys(batch)
-    keys, back = np.unique(textops.pair(a, ids.astype(np.uint64)), return_inverse=True)
-    return copies.lookup(keys)[0][back]
+    keys, second = _copy_keys(*_text_keys(batch))
+    order = np.argsort(keys)
+    out = np.zeros(len(keys), bool)
+    out[order] = copies.lookup_pair(keys[order], second[order])[0]
+    return out
 
 
 def search(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> Search:
-    """Find the windows of ``width`` words that documents share; the rules are those of dedup().
-
-    """
+    """Find the windows of ``width`` words that documents share; the rules are those of dedup()."""
+    integer_id(docs, id_col)
     spark = prepare(docs.sparkSession)
     folder, bits = local_path(scratch(spark, "substring")), buckets(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -150,23 +168,27 @@ def search(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             yield packed.blobs(a[order], [b[order], ids[order]], bits)
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in packed.gathered(batches).values():
+        for _, got in packed.streamed(batches):
             a, b, ids = (np.concatenate(c) for c in zip(*got))
             order = np.lexsort((ids, b, a))
             a, b, ids = a[order], b[order], ids[order]
             same = np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
             first = np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))
             later = ids > ids[first]
-            yield packed.blobs(np.unique(textops.pair(a[later], ids[later].astype(np.uint64))), [], bits)
+            keys, second = _copy_keys(a[later], b[later], ids[later])
+            order = np.argsort(keys)
+            yield packed.blobs(keys[order], [second[order]], bits)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, got in packed.gathered(batches).items():
-            packed.write_shard(copies_dir, bucket, [np.unique(np.concatenate([g[0] for g in got]))])
+        for bucket, got in packed.streamed(batches):
+            keys, second = (np.concatenate(c) for c in zip(*got))
+            order = np.argsort(keys)
+            packed.write_shard(copies_dir, bucket, [keys[order], second[order]])
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32())], ["bucket"])
 
-    found = rows.mapInArrow(texts, packed.BLOBS).repartition(n, "bucket").mapInArrow(repeats, packed.BLOBS)
-    full = found.repartition(n, "bucket").mapInArrow(keep, "bucket int").collect()
-    copies = packed.Store(copies_dir, bits, ["u8"], {r[0] for r in full})
+    found = rows.mapInArrow(texts, packed.BLOBS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(repeats, packed.BLOBS)
+    full = found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(keep, "bucket int").collect()
+    copies = packed.Store(copies_dir, bits, ["u8", "u8"], {r[0] for r in full})
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Without whole copies, whose windows an earlier document holds too."""
@@ -175,23 +197,25 @@ def search(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in searched(batches):
-            h, starts, _ = _hashes(batch.column("_text"))
+            h, starts, *_ = _hashes(batch.column("_text"))
             at, keys, _ = _anchors(h, starts, width)
             if len(at):
                 keys, least, most = _least(keys, _docs_of(batch, starts)[at])
                 yield packed.blobs(keys, [least, most], bits)
 
-    live = _shards(rows.mapInArrow(count_anchors, packed.BLOBS), spark, f"{folder}/anchors", bits)
+    anchors = lambda got: packed.merge(got, [np.minimum, np.maximum])
+    live = _shards(rows.mapInArrow(count_anchors, packed.BLOBS), spark, f"{folder}/anchors", bits, anchors, ["u8", "i8"])
 
     def count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in searched(batches):
-            h, starts, _ = _hashes(batch.column("_text"))
+            h, starts, _, other = _hashes(batch.column("_text"))
             at = _candidates(h, starts, width, live)
             if len(at):
-                keys, least, most = _least(textops.windows(h, width)[at], _docs_of(batch, starts)[at])
-                yield packed.blobs(keys, [least, most], bits)
+                docs_of = _docs_of(batch, starts)[at]
+                keys, *cols = _merged([[textops.windows(h, width)[at], textops.windows(other(), width)[at], docs_of, docs_of]])
+                yield packed.blobs(keys, cols, bits)
 
-    shared = _shards(rows.mapInArrow(count_windows, packed.BLOBS), spark, f"{folder}/windows", bits)
+    shared = _shards(rows.mapInArrow(count_windows, packed.BLOBS), spark, f"{folder}/windows", bits, _merged, ["u8", "u8", "i8"])
     return Search(copies, live, shared, width)
 
 
@@ -200,9 +224,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
     A word goes if a window of ``width`` words that covers it also starts in a document
     with a smaller id; windows are those of the input.  Null and empty texts have no
-    words.  A row with a null id loses what any document with an id has, and is never the
-    earlier one.  Rows that share an id are one document for this.  Other columns are not
-    read, so clashing names do no harm.
+    words, very long ones are read whole.  A row with a null id loses what any document with an id has, and is never the
+    earlier one.  Rows that share an id are one document for this, so repeated rows stay alike.  Ids have to be
+    integers (an error otherwise).  Other columns are not read, so clashing names do no harm.
     """
     found = search(docs, id_col, text_col, width)
 
@@ -218,7 +242,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
 
 
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """The rows of docs, with all their columns; a text that loses words becomes what is left of it, others stay byte for byte."""
+    """The rows of docs, with all their columns; a text that loses words becomes what is left of it, others stay byte for byte, null ones null.
+
+    What goes is what dedup() says of the same rows, with its rules for null ids, repeated rows and empty texts.
+    """
     found = search(docs, id_col, text_col, width)
     at, ident = docs.columns.index(text_col), docs.columns.index(id_col)
 
