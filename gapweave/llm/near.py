@@ -1,12 +1,18 @@
-"""Near-duplicates by similarity: an exact join on the Jaccard similarity of word shingles.
-
-Two sets of n and more hashes that agree by 0.8 or more have 0.8 n of them in common, so they
-share one of the first n - ceil(0.8 n) + 1 hashes of each in any fixed order (prefix filter).
-The order puts shingles that few texts hold first; counts of hashed slots make it, which steer
-the cost but never the result.  Texts that share such a hash form a list, and links are
-verified inside the lists on whole sets, before anything is left out: what remains unvisited
-after a search from verified neighbour to neighbour has been compared with every text it could
-be linked to.  Equal texts are one node throughout.
+"""Operator 6 at a similarity: near-duplicates by SimHash, verified on whole shingle sets, complete at the similarity asked for.
+
+Texts have a SimHash fingerprint of their word shingles.  The byte-position index brings
+together fingerprints that reach the guaranteed minimum of equal positional bytes, and
+the pairs it gives are verified by the Jaccard similarity of the whole sets.
+
+Sets of similarity 0.8 can lie in fingerprints of any distance (near ten of 64 bits in the mean), for
+which no minimum is guaranteed.  So a second search is exact: two sets of n and more hashes
+that agree by 0.8 or more share one of the first n - ceil(0.8 n) + 1 hashes of each in any
+fixed order (prefix filter).  The order puts shingles that few texts hold first; counts
+of hashed slots make it, which steer the cost but never the result.  Texts that share such a
+hash form a list, and links are verified inside the lists, before anything is left out:
+what remains unvisited after a search from verified neighbour to neighbour has been compared
+with every text it could be linked to.  Classes that the first search has found are known to
+the second, which need not compare their members again.  Equal texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -22,9 +28,10 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import packed, simhash, textops
-from .shared import buckets, drop, local_path, prepare, scratch, written
+from .shared import buckets, drop, integer_id, local_path, prepare, scratch, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Slots of the counts that order shingles and of the bitmap that bounds overlaps; hashes that are compared at a time.
@@ -145,12 +152,32 @@ def _links(nodes: list[int], store: _Sets, similarity: float, root: dict[int, in
                     front += more.tolist()
 
 
+def _alike_pairs(nodes: DataFrame, home: str, similarity: float) -> DataFrame:
+    """Verified links (a, b) between nodes (fp, node) whose fingerprints are equal or that the byte-position index brings together."""
+    path = local_path(home)
+    first = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), f"{home}/first")
+    near = simhash.links(first.select("fp"))
+    linked = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    pairs = linked.unionByName(nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))).distinct()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = _Sets(f"{path}/sets")
+        for batch in batches:
+            ok = [_similarity(store.of(x), store.of(y)) >= similarity for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns], ["a", "b"])
+
+    return pairs.mapInArrow(verify, "a long, b long")
+
+
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:
     """(doc_id, root) of rows that are not the first of their class; root is the smallest id.
 
     Classes are connected by equal texts and by verified pairs.  Rows with a null id take no
-    part; rows that share an id are one.  Texts without words, null ones too, are alike.
+    part; rows that share an id, as repeated ones do, are one.  Texts without words, null ones
+    too, are alike; texts of under ``width`` words have one shingle, all their words.  Long texts
+    are compared whole.  Ids have to be integers (an error otherwise); other columns are not read.
     """
+    integer_id(docs, id_col)
     spark = prepare(docs.sparkSession)
     home = scratch(spark, "near")
     path = local_path(home)
@@ -185,39 +212,33 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for batch in textops.chunks(batches, "_text", 4 << 20):
                 batch = batch.filter(pa.array(packed.holds(asked, batch.column("_id"))))
                 h, begin = _shingles(batch, width)
-                keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                keys, nodes, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
                 for i, x, y in zip(batch.column("_id").to_pylist(), begin[:-1], begin[1:]):
                     if y > x:
                         u = np.unique(h[x:y])
                         f.write(np.array([i, len(u)], np.int64).data)
                         f.write(u.data)
                         first = np.argsort(order[u & _SLOT], kind="stable")[: prefix(len(u), similarity)]
-                        keys.append(u[first])
-                        nodes.append(np.full(len(first), number << _PLACE | at))
+                        keys += [u[first], np.array([simhash.fingerprint(u)], np.uint64)]
+                        nodes += [np.full(len(first), number << _PLACE | at), np.array([number << _PLACE | at])]
+                        kinds += [np.zeros(len(first), bool), np.ones(1, bool)]
                         at += 2 + len(u)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                cols = [np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", "print"])
 
     # Written, so that nodes name the files of the attempts that count.
-    posted = written(rows.mapInArrow(post, "key long, node long"), f"{home}/posted").repartition(n, "key")
+    made = written(rows.mapInArrow(post, "key long, node long, print boolean"), f"{home}/posted")
+    posted = made.where("NOT print").select("key", "node").repartition(n, "key").sortWithinPartitions("key", "node")
+    alike = written(_alike_pairs(made.where("print").select(F.col("key").alias("fp"), "node"), home, similarity), f"{home}/alike")
+    zero = F.lit(0).cast("long")
+    known = packed.pair_store(simhash.components(alike).select("node", zero.alias("zero"), "root"), f"{path}/known", buckets(spark))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not got:
-            return
-        key, node = (np.concatenate(c) for c in zip(*got))
-        got.clear()
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        at = packed.runs(key)
-        ends = np.append(at[1:], len(key))
-        made, size = set(), 0
-        for k in np.flatnonzero(ends - at > 1):
-            made.add(node[at[k] : ends[k]].tobytes())
-            size += 8 * int(ends[k] - at[k])
-            if size > 32 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array([*made], pa.binary())], ["nodes"])
-                made, size = set(), 0
-        yield pa.RecordBatch.from_arrays([pa.array([*made], pa.binary())], ["nodes"])
+        for key, node in packed.whole_runs(batches, 1):
+            at = packed.runs(key)
+            ends = np.append(at[1:], len(key))
+            made = {node[at[k] : ends[k]].tobytes() for k in np.flatnonzero(ends - at > 1)}
+            yield pa.RecordBatch.from_arrays([pa.array([*made], pa.binary())], ["nodes"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root, bits, done = _Sets(f"{path}/sets"), {}, np.zeros(SLOTS, bool), set()
@@ -227,15 +248,34 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 raw = x.as_buffer().to_pybytes()
                 if (name := xxhash.xxh3_128_digest(raw)) not in done:
                     done.add(name)
-                    pairs += _links(np.frombuffer(raw, np.int64).tolist(), store, similarity, root, bits)
+                    nodes = np.frombuffer(raw, np.int64)
+                    found, roots = packed.pair_values(known, nodes, np.zeros(len(nodes), np.int64))
+                    for v, up in zip(nodes[found].tolist(), roots[found].tolist()):
+                        root.setdefault(v, up)
+                    pairs += _links(nodes.tolist(), store, similarity, root, bits)
             ends = [pa.array([store.ident(p[k]) for p in pairs], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = _Sets(f"{path}/sets")
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([store.ident(x) for x in c.to_pylist()], pa.int64()) for c in batch.columns], ["a", "b"])
+
     # Equal lists, as near copies share many, meet in one partition and are looked at once.
     linked = posted.mapInArrow(lists, "nodes binary").repartition(n, "nodes").mapInArrow(verify, "a long, b long")
-    roots = simhash.components(linked).withColumnRenamed("node", "least")
-    named = texts.join(roots, "least", "left").select("t1", "t2", F.coalesce("root", "least").alias("root"))
-    return own.join(named, ["t1", "t2"]).where("root < _id").select(F.col("_id").alias(id_col), "root")
+    roots = simhash.components(linked.unionByName(alike.mapInArrow(named, "a long, b long"))).withColumnRenamed("node", "least")
+    by_text = texts.join(roots, "least", "left").select("t1", "t2", F.coalesce("root", "least").alias("root"))
+    # Copies look their text up, so that a group of them, however large, never meets in one task.
+    classes = packed.pair_store(by_text, f"{path}/classes", buckets(spark))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, t1, t2 = (c.to_numpy() for c in batch.columns)
+            _, root = packed.pair_values(classes, t1, t2)
+            later = root < ids
+            yield pa.RecordBatch.from_arrays([pa.array(ids[later]), pa.array(root[later])], [id_col, "root"])
+
+    return own.mapInArrow(look_up, T.StructType([T.StructField(id_col, T.LongType()), T.StructField("root", T.LongType())]))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, width: int = SHINGLE) -> DataFrame:

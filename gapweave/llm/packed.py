@@ -86,6 +86,29 @@ def runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int, most: int = 2 << 20) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches in pieces of about so many rows that never cut a run of equal keys (the first columns)."""
+    held: list[list[np.ndarray]] = []
+    size, limit = 0, most
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size < limit:
+            continue
+        cols = [np.concatenate(c) for c in zip(*held)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:keys]], axis=0))
+        if not len(change):
+            held, limit = [cols], 2 * size
+            continue
+        cut = int(change[-1]) + 1
+        yield [c[:cut] for c in cols]
+        held, size, limit = [[c[cut:] for c in cols]], size - cut, most
+    if size:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def merge(parts: list[list[np.ndarray]], how: list[Callable]) -> list[np.ndarray]:
     """Join parts, sort by the first column and reduce the others over equal keys by the ufuncs given."""
     keys, *cols = (np.concatenate(c) for c in zip(*parts))

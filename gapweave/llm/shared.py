@@ -73,3 +73,12 @@ def buckets(spark: SparkSession) -> int:
     """Bits of a hash that choose its shard: twice as many shards as shuffle partitions, 64 to 16,384."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return min(14, max(6, (2 * n - 1).bit_length()))
+
+
+def shard_bits(docs) -> int:
+    """Bits of a hash that choose a shard: as buckets() has it, and more where the input is larger than 16 MB for each of those, up to 65,536 shards.
+
+    The size is the optimizer's; where it knows none (rows that the driver made), buckets() stands.
+    """
+    size, least = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), buckets(docs.sparkSession)
+    return least if size >= 1 << 60 else max(least, min(16, (size // (16 << 20)).bit_length()))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import packed, textops
-from .shared import buckets, drop, local_path, prepare, scratch, written
+from .shared import buckets, drop, integer_id, local_path, prepare, scratch, written
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
 #: For each byte value, its bits from the lowest.
@@ -33,7 +33,7 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _SMALL = 64
 
 
-def _fingerprint(h: np.ndarray) -> int:
+def fingerprint(h: np.ndarray) -> int:
     """A bit is 1 if set in over half of the hashes."""
     planes = h.view(np.uint8).reshape(-1, 8)
     bits = np.concatenate([np.bincount(planes[:, k], minlength=256) @ _BITS for k in range(8)])
@@ -58,7 +58,7 @@ def _of_texts(texts: pa.Array, width: int, seed: int) -> list[int]:
             continue
         own = sizes[a:b]
         ends = np.cumsum(own + 1) - 1
-        out.append(_fingerprint(_shingle_hashes(joined.as_py(), (ends - own).tolist(), ends.tolist(), width, seed)))
+        out.append(fingerprint(_shingle_hashes(joined.as_py(), (ends - own).tolist(), ends.tolist(), width, seed)))
     return out
 
 
@@ -148,20 +148,15 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     frees = np.array([~m & ((1 << 64) - 1) for m in _masks(max_bits)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in batch.columns] for batch in batches]
-        if not got:
-            return
-        choice, key, fp = (np.concatenate(c) for c in zip(*got))
-        order = np.lexsort((fp, key, choice))
-        choice, key, fp = choice[order], key[order], fp[order].view(np.uint64)
-        for k in np.unique(choice):
-            own = slice(*np.searchsorted(choice, [k, k + 1]))
-            a, b = _links(key[own], fp[own], np.full(own.stop - own.start, frees[k]), max_bits)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        for choice, key, fp in packed.whole_runs(batches, 2):
+            for k in np.unique(choice):
+                own = slice(*np.searchsorted(choice, [k, k + 1]))
+                a, b = _links(key[own], fp[own].view(np.uint64), np.full(own.stop - own.start, frees[k]), max_bits)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "choice", "key").mapInArrow(run, "a long, b long")
+    return keyed.repartition(n, "choice", "key").sortWithinPartitions("choice", "key").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,8 +190,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """Per row: id, fp and component_id, the smallest id that links reach from it, itself included.
 
     Rows with a null id take part and keep their null; a component of such rows alone has
-    a null component_id.  Repeated rows stay repeated.  Other columns are not read.
+    a null component_id.  Repeated rows stay repeated.  Texts without words, null ones too,
+    have fingerprint 0 and are linked like any other; very long texts are read whole.  Ids have
+    to be integers (an error otherwise).  Other columns are not read.
     """
+    integer_id(docs, id_col)
     spark = prepare(docs.sparkSession)
     at = scratch(spark, "simhash")
     own = written(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", width), f"{at}/fps")
@@ -205,8 +203,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, f"{at}/rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return own.join(by_fp, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    by_fp = rooted.join(named, "root").where("component_id IS NOT NULL").select("fp", F.lit(0).cast("long").alias("zero"), F.col("component_id").cast("long"))
+    # Copies look their fingerprint up, so that a group of them, however large, never meets in one task.
+    store = packed.pair_store(by_fp, f"{local_path(at)}/classes", buckets(spark))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("fp").to_numpy()
+            found, value = packed.pair_values(store, fp, np.zeros(len(fp), np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, mask=~found)], ["_id", "fp", "component_id"])
+
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("_id", kind), T.StructField("fp", T.LongType()), T.StructField("component_id", T.LongType())])
+    return own.mapInArrow(look_up, schema).select(F.col("_id").alias(id_col), "fp", F.col("component_id").cast(kind).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
