@@ -123,39 +123,64 @@ def test_language_model(spark, odd, empty):
 def test_language_model_against_brute_force(spark):
     rng = random.Random(4)
     texts = [" ".join(f"x{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(0, 40))) for _ in range(80)]
+    texts += ["x0 x0 x0 x0 x1", "", "only once here"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     model = ngram_lm.train(docs)
-    pairs = Counter()
+    assert model.spread.size
+    threes = Counter()
     for t in texts:
-        seq = ["<s>", *t.split(), "</s>"]
-        pairs.update(zip(seq, seq[1:]))
-    words = {b for _, b in pairs}
-    cont = Counter(b for _, b in pairs)
+        seq = ["<s>", "<s>", *t.split(), "</s>"]
+        threes.update(zip(seq, seq[1:], seq[2:]))
+    twos = Counter((b, c) for _, b, c in threes)
+    twos |= Counter({(b, c): n for (_, b, c), n in threes.items() if b == "<s>"})
+    ones = Counter(c for _, c in twos)
+    words, types = set(ones), len(twos)
 
     def discounts(counts):
         n = [0, *(sum(c == k for c in counts) for k in (1, 2, 3, 4))]
         y = n[1] / (n[1] + 2 * n[2])
-        return [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
+        d = 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]
+        return [float(np.clip(x, 0.05, k - 0.05)) for x, k in zip(d, (1, 2, 3))]
 
-    d, e = discounts(pairs.values()), model.word_discounts
-    assert model.pair_discounts == pytest.approx(d[1:])
-    rest = sum(e[min(c, 3) - 1] for c in cont.values()) / len(pairs)
+    d3, d2, d1 = ([0, *d] for d in model.discounts)
+    assert (d3[1:], d2[1:]) == (pytest.approx(discounts(threes.values())), pytest.approx(discounts(twos.values()))) and model.types == types
 
-    def p(a, b):
-        lower = (max(cont[b] - e[min(cont[b], 3) - 1], 0) if b in cont else 0) / len(pairs) + rest / (len(words) + 1)
-        own = {y: c for (x, y), c in pairs.items() if x == a}
+    def one(c):
+        return (max(ones[c] - d1[min(ones[c], 3)], 0) if c in ones else 0) / types + sum(d1[min(n, 3)] for n in ones.values()) / types / (len(words) + 1)
+
+    def level(own, c, d, lower):
         total = sum(own.values())
-        if not total:
-            return lower
-        return (max(own.get(b, 0) - d[min(own.get(b, 0), 3)], 0) + sum(d[min(c, 3)] for c in own.values()) * lower) / total
+        n = own.get(c, 0)
+        return (max(n - d[min(n, 3)], 0) + sum(d[min(n, 3)] for n in own.values()) * lower) / total if total else lower
+
+    def two(b, c):
+        return level({y: n for (x, y), n in twos.items() if x == b}, c, d2, one(c))
+
+    def three(a, b, c):
+        return level({z: n for (x, y, z), n in threes.items() if (x, y) == (a, b)}, c, d3, two(b, c))
 
-    for a in ("<s>", "x1", "x30", "unseen"):
-        assert sum(p(a, b) for b in [*words, "unseen"]) == pytest.approx(1)
-    asked = ["x1 x2 x3", "unseen x1 unseen", "", "x39 x0"]
+    for a, b in (("<s>", "<s>"), ("<s>", "x1"), ("x1", "x2"), ("x0", "x0"), ("x39", "x0"), ("unseen", "x1"), ("once", "here"), ("x1", "unseen")):
+        assert sum(three(a, b, c) for c in [*words, "unseen"]) == pytest.approx(1)
+    asked = ["x1 x2 x3", "unseen x1 unseen x1 x0", "", "x39 x0 x0 x0 x1", "only once here", "here once only", *texts[:10]]
     got = ngram_lm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id int, text string"), model, "doc_id").orderBy("doc_id").collect()
     for t, r in zip(asked, got):
-        seq = ["<s>", *t.split(), "</s>"]
-        assert r["score"] == pytest.approx(sum(np.log10(p(a, b)) for a, b in zip(seq, seq[1:])))
+        seq = ["<s>", "<s>", *t.split(), "</s>"]
+        assert r["score"] == pytest.approx(sum(np.log10(three(*x)) for x in zip(seq, seq[1:], seq[2:])))
+
+
+def test_language_model_counts_beyond_32_bits(tmp_path):
+    big = np.array([1, 1 << 33, 7, 1 << 33], np.uint64)
+    keys, (total,) = ngram_lm._summed(np.array([5, 5, 9, 5], np.uint64), [big])
+    assert keys.tolist() == [5, 9] and total.tolist() == [(1 << 34) + 1, 7]
+    assert [x.tolist() for x in ngram_lm._joined([packed.encode([keys, ngram_lm._narrow(total)])])] == [[5, 9], [(1 << 34) + 1, 7]]
+    arrays = ngram_lm.Arrays(str(tmp_path), 6, (1,))
+    held = np.array([3, 1 << 39, (1 << 39) + 1, 4, 300], np.uint64)
+    arrays.write(9, held, [np.array([1, 1 << 35, 255, 256, 1], np.uint64)])
+    arrays.full.add(9)
+    route = np.full(7, 9 << 58, np.uint64)
+    found, (value,) = arrays.lookup(route, np.append(held, np.array([2, 301], np.uint64)))
+    assert found.tolist() == [True] * 5 + [False] * 2 and value.tolist() == [1, 1 << 35, 255, 256, 1, 0, 0]
+    assert not arrays.lookup(route ^ np.uint64(1 << 58), np.append(held, np.array([2, 301], np.uint64)))[0].any()
 
 
 # 5
