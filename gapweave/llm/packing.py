@@ -78,7 +78,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     Documents end with an end id; those longer than a window are first cut into full
     windows and a rest.  A null or empty text has the end id alone.  Windows are numbered
     by task and in a task, uniquely; what a window does not hold is padding up to its
-    length.  Rows with equal or null ids are packed each for itself.
+    length.  Rows with equal or null ids are packed each for itself, an empty table gives no rows,
+    and of pieces of one length the earlier row goes first.  Other columns are not read.
     """
     prepare(docs.sparkSession)
     path = vocabulary or wordbpe.vocabulary_path()

@@ -198,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     """Fit on at most ``sample`` rows of each class, those with the smallest hash of the id, and texts up to ``longest`` characters.
 
     usable says of a row of labels whether it may be learned from.  Labels of an id that
-    has several are averaged; null ids and labels are left out.
+    has several are averaged; null ids and labels are left out.  Null texts count as empty, rows
+    repeated whole are learned from once.  Labels of one class, or none, give a constant score.
     """
     spark = prepare(docs.sparkSession)
     known = labels.where(usable).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -249,7 +250,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that reach the threshold."""
+    """The rows of docs, with all their columns, that reach the threshold.
+
+    Ids are not read, so null and repeated ones do no harm; null texts count as empty ones, repeated
+    texts score alike, very long ones are read whole, and a score at the threshold stays.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops, wordbpe
-from .shared import local_path, prepare, scratch, written
+from .shared import integer_id, local_path, prepare, scratch, written
 
 MAGIC = b"WMTOKEN1"
 BLOCK, FREQUENT = 8192, 255
@@ -236,8 +236,11 @@ def write_tokens(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: st
     """Write all documents' ids as shards in ascending order of id (null ids first) under uri; the list of files.
 
     Columns: file, part, before (tokens earlier in the part), tokens, docs.  Repeated ids
-    keep each of their rows.  An empty table writes no file.
+    keep each of their rows, in the order of the texts' hashes, so rows of one id need not share a task.
+    Null and empty texts have the end id alone, very long texts are encoded whole.  Ids have to be
+    integers (an error otherwise).  An empty table writes no file; other columns are not read.
     """
+    integer_id(docs, id_col)
     spark = prepare(docs.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     path, folder = vocabulary or wordbpe.vocabulary_path(), local_path(uri)
@@ -267,14 +270,17 @@ def write_tokens(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: st
         if held:
             yield close()
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text")
+    ordered = rows.repartitionByRange(n, "_id", "_hash").sortWithinPartitions("_id", "_hash").select("_id", "_text")
     return written(ordered.mapInArrow(run, _FILES), f"{uri}/list")
 
 
 def read_tokens(files: DataFrame, id_type: str = "long") -> DataFrame:
-    """Per document of the listed files: doc_id, start among all documents, n_tokens and ids_crc32, all from the files."""
+    """Per document of the listed files: doc_id, start among all documents, n_tokens and ids_crc32, all from the files.
+
+    Null ids stay null, repeated rows have a result each, an empty list has none.
+    """
     spark = prepare(files.sparkSession)
     # One total a part: as many numbers as shuffle partitions wrote files.
     totals = sorted(files.groupBy("part").agg(F.sum("tokens")).collect())
@@ -294,5 +300,5 @@ def read_tokens(files: DataFrame, id_type: str = "long") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uri: str | None = None) -> DataFrame:
-    """write_tokens() to uri (default: a scratch folder), then read_tokens()."""
+    """write_tokens() to uri (default: a scratch folder), then read_tokens(), with their rules for nulls, empty texts and repeated rows."""
     return read_tokens(write_tokens(docs, uri or scratch(docs.sparkSession, "tokens"), id_col, text_col)).withColumnRenamed("doc_id", id_col)

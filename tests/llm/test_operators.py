@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy, with odd rows and empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import sys
@@ -84,6 +85,59 @@ def test_ogg(spark, odd, empty):
     assert ogg.from_media(spark.createDataFrame([(None,), (bytearray(b"x"),)], "media binary")).where("problem IS NULL").count() == 0
 
 
+def test_ogg_against_a_plain_reader(spark, odd):
+    """Pages, checksums bit by bit, packets, timestamps and digests, without the operator's tables."""
+
+    def crc(raw):
+        out = 0
+        for byte in raw:
+            out ^= byte << 24
+            for _ in range(8):
+                out = (out << 1 ^ 0x04C11DB7 if out >> 31 else out << 1) & 0xFFFFFFFF
+        return out
+
+    docs = odd.where("doc_id IN (1, 2, 3, 4, 6, 8)").distinct()
+    media = {r["doc_id"]: bytes(r["media"]) for r in ogg.to_media(docs).collect()}
+    got = {r["doc_id"]: r for r in ogg.from_media(ogg.to_media(docs)).collect()}
+    for r in docs.collect():
+        raw = (r["text"] or "").encode()
+        want = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        own, at, packets, granules = media[r["doc_id"]], 0, {}, {}
+        while at < len(own):
+            assert own[at : at + 4] == b"OggS"
+            n, serial = own[at + 26], own[at + 14 : at + 18]
+            lacing = own[at + 27 : at + 27 + n]
+            end = at + 27 + n + sum(lacing)
+            page = own[at:end]
+            assert crc(page[:22] + bytes(4) + page[26:]) == int.from_bytes(page[22:26], "little")
+            body = page[27 + n :]
+            mine = packets.setdefault(serial, [b""])
+            for size in lacing:
+                mine[-1] += body[:size]
+                body = body[size:]
+                if size < 255:
+                    mine.append(b"")
+            # -1: no packet ends on the page.
+            if (granule := int.from_bytes(page[6:14], "little", signed=True)) != -1:
+                granules[serial] = granule
+            at = end
+        streams = [p[1:-1] for p in packets.values()]
+        assert b"".join(x for pair in itertools.zip_longest(*streams, fillvalue=b"") for x in pair) == want == bytes(got[r["doc_id"]]["samples"])
+        ends = [sum(map(len, s)) for s in streams]
+        assert list(granules.values()) == ends and f"ends={ends[0] / 8000:.4f}/{ends[1] / 8000:.4f};" in got[r["doc_id"]]["feature"]
+
+
+def test_ogg_query_digests(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    for r in queries.op2_ogg(spark, sf).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        whole = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]))
+        if r["doc_id"] % 20 == 0:
+            media = ogg.encode(whole)
+            assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+
+
 # 3
 def test_urls(spark, empty):
     urls = ["http://www.Example.com/en/x", "https://a.example.com/en/", "http://com", "http://com/", "http://xcom/", "http://a.net/fr/1?x", "http://b.net/FR/", None, "nope", "", "a://b://c.net/es/#f", "http://n.net/es/", "http://n.net/es/"]
@@ -103,6 +157,13 @@ def test_urls(spark, empty):
     assert urlfilter.judge(pages.limit(0), rules).count() == 0 and urlfilter.judge(pages, []).where("rule IS NOT NULL").count() == 0
 
 
+def test_urls_ties_go_to_the_first_rule_by_text(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.com/x/y")], "page_id long, url string")
+    rules = [urlfilter.Rule("b.com/x/", "allow"), urlfilter.Rule("a.b.com/", "block")]
+    assert len(rules[0].text) == len(rules[1].text)
+    assert urlfilter.judge(pages, rules).first()["rule"] == urlfilter.judge(pages, rules[::-1]).first()["rule"] == "a.b.com/"
+
+
 # 4
 def test_language_model(spark, odd, empty):
     model = ngram_lm.train(odd)
