@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import html
 import json
+import os
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import nan_to_null
+from ..functions.expr import nan_to_null, to_bool
 
 #: Columns of the production tables; absent ones are added as NULL.
 PANEL = T.StructType([
@@ -24,16 +26,24 @@ PANEL = T.StructType([
 ])
 
 
+#: S3: environment variables that name the folder and its files, with the files' usual names.
+FOLDER, FILES = "GAPWEAVE_DATA_DIR", {"train": ("GAPWEAVE_TRAIN_FILENAME", "train_dataset.csv"), "private": ("GAPWEAVE_PRIVATE_FILENAME", "private_features.csv")}
+
+
 def is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether all files are strict UTF-8; checked on the executors, file by file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.where(~F.is_valid_utf8(F.col("content").cast("string")) if hasattr(F, "is_valid_utf8") else F.lit(False)).limit(1).count() == 0
+    """Whether all files are strict UTF-8; read line by line on the executors, so a file of any size is never held whole.
+
+    Lines end at the byte 10, which is part of no other UTF-8 or CP1251 character.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.is_valid_utf8("value").alias("ok"))
+    return lines.where(~F.col("ok")).limit(1).count() == 0
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str | None = None) -> DataFrame:
     """UTF-8 if all of it is, else CP1251; NaN and infinities become NULL.
 
-    Spark reads CP1251 only with spark.sql.legacy.javaCharsets on, which this sets for such files.
+    Spark reads CP1251 only with spark.sql.legacy.javaCharsets on.  It is set for such files and stays set,
+    as their plans are read later than this returns.
     """
     if encoding is None:
         encoding = "UTF-8" if is_utf8(spark, path) else "windows-1251"
@@ -43,6 +53,41 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return nan_to_null((reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path))
 
 
+def load(spark: SparkSession, predictions: str | None = None, env: Mapping[str, str] = os.environ) -> dict[str, DataFrame]:
+    """S3: the train and private tables that the environment names and, if given, the predictions, one a key; each cached, so that a session reads its file once.
+
+    private has y filled from the predictions where it is a gap without a value (primary_ndvi_pred and ndvi_filled).  release() frees them.
+    """
+    folder = env[FOLDER].rstrip("/")
+    tables = {name: read_csv(spark, f"{folder}/{env.get(variable, usual)}") for name, (variable, usual) in FILES.items()}
+    if predictions:
+        pred = read_csv(spark, predictions)
+        keys = ["anon_polygon_id", "date"]
+        one = pred.groupBy(*keys).agg(F.min("primary_ndvi_pred").alias("primary_ndvi_pred"))
+        gap = F.col("primary_ndvi").isNull() & to_bool(F.col("is_synthetic_gap"))
+        tables |= {"predictions": pred, "private": tables["private"].join(one, keys, "left").withColumn("ndvi_filled", F.when(gap, F.col("primary_ndvi_pred")).otherwise(F.col("primary_ndvi")))}
+    return {name: df.persist() for name, df in tables.items()}
+
+
+def release(tables: dict[str, DataFrame]) -> None:
+    """S3: free what load() cached."""
+    for df in tables.values():
+        df.unpersist()
+
+
+def save_model(model, path: str) -> None:
+    """A fitted PipelineModel; refuses a target that exists."""
+    refuse_existing(SparkSession.getActiveSession(), path)
+    model.write().save(path)
+
+
+def load_model(path: str):
+    """What save_model() wrote."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def ensure_columns(df: DataFrame, schema: T.StructType = PANEL) -> DataFrame:
     """All columns of a schema, absent ones NULL, others kept behind them."""
     have = set(df.columns)
@@ -65,6 +110,38 @@ def write_csv(df: DataFrame, path: str, digits: int = 8, single: bool = False) -
     (fixed.coalesce(1) if single else fixed).write.option("header", True).csv(path)
 
 
+def download(df: DataFrame, path: str, aoi: str | None = None, start: str | None = None, end: str | None = None, by: str = "aoi", at: str = "date") -> None:
+    """The rows of one AOI and span of dates (all that are not named), in order, as one CSV file; a slice for a person, so one task."""
+    slim = df.where(F.col(by) == aoi) if aoi is not None else df
+    slim = slim.where(F.col(at) >= start) if start is not None else slim
+    slim = slim.where(F.col(at) <= end) if end is not None else slim
+    write_csv(slim.orderBy(by, at), path, single=True)
+
+
+def feature_collection(df: DataFrame, geometry: str, properties: list[str]) -> str:
+    """GeoJSON of a table of regions, with a column of geometry texts (Feature or geometry); rows whose geometry fails its checks are left out.
+
+    For the few regions of one download; write_features() is for tables.
+    """
+    rows = _features(df, geometry, properties).collect()
+    return '{"type":"FeatureCollection","features":[' + ",".join(r["value"] for r in rows) + "]}"
+
+
+def write_features(df: DataFrame, geometry: str, properties: list[str], path: str) -> None:
+    """GeoJSON, one Feature a line, written by all tasks."""
+    refuse_existing(df.sparkSession, path)
+    _features(df, geometry, properties).write.text(path)
+
+
+def _features(df: DataFrame, geometry: str, properties: list[str]) -> DataFrame:
+    from ..functions.geo import checked
+
+    rows = checked(df.select(*properties, F.col(geometry).alias("_g")), "_g", "_c").where("_c.ok")
+    body = F.coalesce(F.get_json_object("_g", "$.geometry"), F.col("_g"))
+    facts = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"}) if properties else F.lit("{}")
+    return rows.select(F.concat(F.lit('{"type":"Feature","properties":'), facts, F.lit(',"geometry":'), body, F.lit("}")).alias("value"))
+
+
 def sha256_of(spark: SparkSession, path: str) -> DataFrame:
     """Path and SHA-256 of each file, hashed where it is read."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
@@ -122,15 +199,25 @@ def farmland_around(lat: float, lon: float, url: str, radius_m: int = 5000, limi
     return [{"osm_id": e["id"], "lat": e["center"]["lat"], "lon": e["center"]["lon"], "crop": e.get("tags", {}).get("crop")} for e in found if "center" in e]
 
 
-def region_context(spark: SparkSession, places: list[dict], start: str, end: str, out: str, transport: Transport = http_json) -> dict:
-    """Weather of some places as one table, and its manifest; refuses targets that exist."""
-    refuse_existing(spark, out)
+def region_context(spark: SparkSession, places: list[dict], start: str, end: str, out: str, transport: Transport = http_json, scenes_url: str | None = None, farmland_url: str | None = None) -> dict:
+    """Weather of some places as one table and, where an address is given, their satellite scenes and farmland, each as a folder of its own; a manifest beside them.
+
+    Places are dicts of id, lat and lon, and of a GeoJSON geometry for the scenes.  Refuses targets that exist before any request.
+    """
+    names = ["weather", *(n for n, url in (("scenes", scenes_url), ("farmland", farmland_url)) if url)]
+    refuse_existing(spark, *(f"{out}/{n}" for n in names))
     parts = [daily_weather(spark, p["lat"], p["lon"], start, end, transport).withColumn("place", F.lit(p["id"])) for p in places]
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.unionByName(p)
-    table.write.parquet(out)
-    return manifest(spark.read.parquet(out), ["place", "date"], "temp_c", places=len(places))
+    reduce(lambda a, b: a.unionByName(b), parts).write.parquet(f"{out}/weather")
+    found = {}
+    if scenes_url:
+        rows = [(p["id"], json.dumps(s)) for p in places if "geometry" in p for s in search_scenes(p["geometry"], start, end, scenes_url, transport)]
+        spark.createDataFrame(rows, "place string, item string").write.parquet(f"{out}/scenes")
+        found["scenes"] = len(rows)
+    if farmland_url:
+        rows = [(p["id"], *(f[c] for c in ("osm_id", "lat", "lon", "crop"))) for p in places for f in farmland_around(p["lat"], p["lon"], farmland_url, transport=transport)]
+        spark.createDataFrame(rows, "place string, osm_id long, lat double, lon double, crop string").write.parquet(f"{out}/farmland")
+        found["farmland"] = len(rows)
+    return manifest(spark.read.parquet(f"{out}/weather"), ["place", "date"], "temp_c", places=len(places), start=start, end=end, **found)
 
 
 def sparkline(values: list[float | None], width: int = 240, height: int = 40) -> str:

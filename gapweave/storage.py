@@ -6,24 +6,27 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own() -> str:
+    made = tempfile.mkdtemp(prefix="shared-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return f"file://{made}"
+
+
 def base(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where driver and executors are one process."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where driver and executors are one process, as in tests."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
+    if named := sc.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
     if not sc.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-    sc.getConf()
-    sc._conf.set("spark.checkpoint.dir", made)
-    atexit.register(shutil.rmtree, urlparse(made).path, ignore_errors=True)
-    return made
+    return _own()
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:

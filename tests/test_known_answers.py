@@ -1,7 +1,9 @@
 """Small cases with known answers."""
 
 import datetime as dt
+import http.server
 import json
+import threading
 
 import numpy as np
 import pytest
@@ -98,6 +100,116 @@ def test_adapters_with_a_mock(spark, tmp_path):
     assert io.search_scenes({"type": "FeatureCollection", "features": [{"geometry": {"type": "Point"}}]}, "a", "b", "u", lambda u, p, f: {"features": [p["intersects"]]}) == [{"type": "Point"}]
 
 
+def test_downloads(spark, tmp_path):
+    df = spark.createDataFrame([("A", "2024-01-02", 0.5), ("A", "2024-01-01", None), ("B", "2024-01-01", 0.1)], "aoi string, date string, v double")
+    io.download(df, str(tmp_path / "d"), aoi="A", start="2024-01-01")
+    assert next((tmp_path / "d").glob("*.csv")).read_text().split() == ["aoi,date,v", "A,2024-01-01,null", "A,2024-01-02,0.50000000"]
+    ring = "[[[37,55],[38,55],[38,56],[37,55]]]"
+    regions = spark.createDataFrame([("r1", '{"type":"Polygon","coordinates":%s}' % ring), ("r2", '{"type":"Feature","geometry":{"type":"Polygon","coordinates":%s}}' % ring), ("bad", "{}"), (None, None)], "name string, g string")
+    whole = json.loads(io.feature_collection(regions, "g", ["name"]))
+    assert [f["properties"]["name"] for f in whole["features"]] == ["r1", "r2"] and {f["geometry"]["type"] for f in whole["features"]} == {"Polygon"}
+    io.write_features(regions, "g", [], str(tmp_path / "f"))
+    assert sum(len(p.read_text().splitlines()) for p in (tmp_path / "f").glob("part*")) == 2
+
+
+def test_load_by_environment(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("anon_polygon_id,date,primary_ndvi,is_synthetic_gap\na,2024-01-01,0.4,False\n")
+    (tmp_path / "private_features.csv").write_text("anon_polygon_id,date,primary_ndvi,is_synthetic_gap\na,2024-01-01,0.4,False\na,2024-01-02,,True\na,2024-01-03,,False\n")
+    (tmp_path / "p.csv").write_text("anon_polygon_id,date,primary_ndvi_pred\na,2024-01-01,0.9\na,2024-01-02,0.6\na,2024-01-02,0.7\na,2024-01-03,0.8\n")
+    tables = io.load(spark, str(tmp_path / "p.csv"), {io.FOLDER: str(tmp_path), "GAPWEAVE_TRAIN_FILENAME": "t.csv"})
+    assert [r["ndvi_filled"] for r in tables["private"].orderBy("date").collect()] == [0.4, 0.6, None] and tables["train"].count() == 1
+    assert all(t.is_cached for t in tables.values())
+    io.release(tables)
+    assert not any(t.is_cached for t in tables.values())
+
+
+def test_http_retries(monkeypatch):
+    seen, waits = [], []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.headers["Content-Type"], self.rfile.read(int(self.headers["Content-Length"]))))
+            self.answer()
+
+        def do_GET(self):
+            seen.append(("get", b""))
+            self.answer()
+
+        def answer(self):
+            self.send_response(500 if len(seen) < 3 else 200)
+            self.end_headers()
+            self.wfile.write(b'{"a": 1}')
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    monkeypatch.setattr(io.time, "sleep", waits.append)
+    assert io.http_json(url, {"q": "x y"}, form=True) == {"a": 1} and waits == [0.5, 1.0]
+    assert seen[-1] == ("application/x-www-form-urlencoded", b"q=x+y") and len(seen) == 3
+    assert io.http_json(url, {"q": 1}) == {"a": 1} and seen[-1] == ("application/json", b'{"q": 1}')
+    assert io.http_json(url) == {"a": 1} and seen[-1][0] == "get"
+    seen.clear()
+    with pytest.raises(OSError):
+        io.http_json(url, attempts=2)
+    server.shutdown()
+
+
+def test_model_artefacts(spark, tmp_path):
+    df = spark.createDataFrame([(float(k), float(2 * k)) for k in range(20)], "x double, y double")
+    model = estimators.trees(df, ["x"], "y", "ols")
+    io.save_model(model, str(tmp_path / "m"))
+    with pytest.raises(FileExistsError):
+        io.save_model(model, str(tmp_path / "m"))
+    again = io.load_model(str(tmp_path / "m"))
+    assert [r["prediction"] for r in again.transform(df).collect()] == pytest.approx([2.0 * k for k in range(20)])
+
+
+def test_group_without_spread_has_no_correlation(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 2.0), ("b", 2.0, 4.0), ("b", 3.0, None)], "k string, x double, y double")
+    got = {r["k"]: r["r"] for r in df.groupBy("k").agg(expr.correlation(F.col("x"), F.col("y")).alias("r")).collect()}
+    assert got["a"] is None and got["b"] == pytest.approx(1)
+
+
+def test_peers_are_ranked_by_cross_validated_error(spark):
+    rng = np.random.default_rng(3)
+    y = rng.random((40, 3))
+    y[:, 1] = 0.2 + 0.5 * y[:, 0] + rng.normal(size=40) * 0.01
+    rows = [(f"A{k}", dt.date(2024, 3, 1) + dt.timedelta(int(d)), float(y[d, k]), False, "w") for d in range(40) for k in range(3)]
+    p = small(spark, [(a, str(d), v, g, c) for a, d, v, g, c in rows]).withColumn("num", F.substring("aoi", 2, 1).cast("long"))
+    got = {(r["aoi"], r["peer"]): r for r in joins.pair_fits(p).collect()}
+    fold = np.arange(40) % 5
+    for a, b in ((0, 1), (1, 0), (2, 0)):
+        e = []
+        for f in range(5):
+            s, i = np.polyfit(y[fold != f, b], y[fold != f, a], 1)
+            e += (y[fold == f, a] - i - s * y[fold == f, b]).tolist()
+        mine = got[f"A{a}", f"A{b}"]
+        assert mine["cv_rmse"] == pytest.approx(np.sqrt(np.mean(np.square(e)))) and (mine["b"], mine["a"]) == pytest.approx(tuple(np.polyfit(y[:, b], y[:, a], 1)))
+
+
+def test_same_trajectory_against_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    paths = {k: {(d, int(v)) for d, v in zip(range(50), rng.integers(0, 3, 50))} for k in range(4)}
+    paths |= {10 + k: set(paths[k % 4]) for k in range(8)}
+    paths[30] = {x for x in paths[0] if x[0] < 40}
+    paths[31] = {x for x in paths[1] if x[0] >= 15} | {(60 + d, 1) for d in range(5)}
+    rows = [(k, d, v) for k, own in paths.items() for d, v in own]
+    want = {}
+    for a, x in paths.items():
+        found = []
+        for b, y in paths.items():
+            common = {d for d, _ in x} & {d for d, _ in y}
+            if a != b and len(common) >= 30 and len(x & y) == len(common):
+                found.append((-len(common), b))
+        if found:
+            want[a] = (min(found)[1], -min(found)[0])
+    got = joins.same_trajectory(spark.createDataFrame(rows, "num long, day long, v long"), "num", "day", ["v"]).collect()
+    assert {r["a"]: (r["peer"], r["n"]) for r in got} == want
+
+
 def test_joins_check_their_keys(spark):
     a = spark.createDataFrame([(1, 2), (1, 3)], "k int, v int")
     with pytest.raises(ValueError):
@@ -117,6 +229,46 @@ def test_estimators_against_numpy():
     assert estimators.low_rank(hole, 1, 200)[2, 3] == pytest.approx(m[2, 3], abs=0.05)
 
 
+def test_estimators_by_value():
+    """Each estimator against a formula of its own, on points that its bounds leave alone."""
+    rng = np.random.default_rng(2)
+    x = np.sort(rng.choice(200, 30, replace=False)).astype(float)
+    y, q = 0.5 + 0.2 * np.sin(x / 40), 101.0
+    u = np.abs(x - q)
+    near = np.argsort(u, kind="stable")
+    w = 1 / (1 + 2 * (u / u[near[:16]].max()))[near[:16]]
+    assert estimators.local_polynomial(x, y, q) == pytest.approx(np.polyval(np.polyfit((x - q)[near[:16]], y[near[:16]], 3, w=w), 0))
+    t = np.clip(1 - (u / 14) ** 3, 0, None) ** 3
+    assert estimators.kernel_mean(x, y, q) == pytest.approx(np.average(y, weights=t))
+    g = np.exp(-0.5 * (u / 14) ** 2)
+    order = np.argsort(y)
+    assert estimators.weighted_median(x, y, q) == y[order][np.flatnonzero(np.cumsum(g[order]) >= g.sum() / 2)[0]]
+    for kind, k in (("rbf", lambda d: np.exp(-d * d / 2)), ("matern52", lambda d: (1 + np.sqrt(5) * d + 5 / 3 * d * d) * np.exp(-np.sqrt(5) * d))):
+        s, mid = max(y.var(), 1e-4), np.median(y)
+        gram = s * k(np.abs(np.subtract.outer(x, x)) / 25) + 0.05**2 * np.eye(30)
+        assert estimators.gaussian_process(x, y, q, kind=kind) == pytest.approx(mid + s * k(u / 25) @ np.linalg.inv(gram) @ (y - mid))
+    # A random walk is a Gaussian process with covariance drift * min(day), from a wide start.
+    days = x - x[0] + 1
+    cov = 1e-3 * np.minimum.outer(days, days) + 1e4
+    to = 1e-3 * np.minimum(days, q - x[0] + 1) + 1e4
+    assert estimators.kalman(x, y, q) == pytest.approx(to @ np.linalg.solve(cov + 2.5e-3 * np.eye(30), y), abs=1e-4)
+    assert estimators.nearest_value(np.array([1.0, 3.0, 3.0]), np.array([5.0, 7.0, 9.0]), 2.0) == 5.0 and estimators.nearest_value(np.array([1.0, 3.0, 3.0]), np.array([5.0, 7.0, 9.0]), 2.5) == 8.0
+    pick = near[:12]
+    d, v, gw = (x - q)[pick], y[pick], np.exp(-0.5 * (u[pick] / 30) ** 2)
+    b = np.vander(d, 3, increasing=True)
+    assert estimators.local_quadratic(x, y, q) == pytest.approx(np.linalg.solve(b.T @ (b * gw[:, None]) + np.diag([1e-8, 1e-4, 1e-4]), b.T @ (gw * v))[0])
+    # No bend costs nothing: a line is kept, whatever the slack; without slack the values are.
+    assert estimators.smoothing_spline(x, 0.1 + 0.002 * x, q) == pytest.approx(0.1 + 0.002 * q)
+    assert estimators.smoothing_spline(x, y, float(x[7]), slack=1e-12) == pytest.approx(y[7], abs=1e-5)
+    rough = y + rng.normal(size=30) * 0.05
+    fitted = np.array([estimators.smoothing_spline(x, rough, float(a), slack=0.001) for a in x])
+    assert np.mean((fitted - rough) ** 2) == pytest.approx(0.001, rel=0.25)
+    for f in (estimators.fourier_ridge, estimators.bump_ridge, estimators.loess):
+        off = y.copy()
+        off[3] += 5
+        assert abs(f(x, off, q) - f(x, y, q)) < 0.03
+
+
 def test_driver_solves(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 2))
