@@ -74,24 +74,27 @@ def _order(folder: str, to: str) -> None:
 
 
 class _Sets:
-    """Sorted sets of hashes in the files that tasks wrote, by node: the file's number and the place in it."""
+    """Sorted sets of hashes in the files that tasks wrote, by node: the file's number and the place in it.  Sets are read one at a time, so what a task has visited does not stay in memory."""
 
     def __init__(self, folder: str):
         self.folder, self.files = folder, {}
 
-    def _at(self, node: int) -> tuple[np.ndarray, int]:
+    def _read(self, node: int, skip: int, n: int) -> np.ndarray:
         number = node >> _PLACE
         if number not in self.files:
-            self.files[number] = np.asarray(np.memmap(f"{self.folder}/{number}", np.uint64, "r"))
-        return self.files[number], node & ((1 << _PLACE) - 1)
+            self.files[number] = os.open(f"{self.folder}/{number}", os.O_RDONLY)
+        return np.frombuffer(os.pread(self.files[number], 8 * n, 8 * ((node & ((1 << _PLACE) - 1)) + skip)), np.uint64)
+
+    def close(self) -> None:
+        for f in self.files.values():
+            os.close(f)
+        self.files.clear()
 
     def ident(self, node: int) -> int:
-        f, at = self._at(node)
-        return int(f[at : at + 1].view(np.int64)[0])
+        return int(self._read(node, 0, 1).view(np.int64)[0])
 
     def of(self, node: int) -> np.ndarray:
-        f, at = self._at(node)
-        return f[at + 2 : at + 2 + int(f[at + 1])]
+        return self._read(node, 2, int(self._read(node, 1, 1)[0]))
 
 
 def _similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -165,6 +168,7 @@ def _alike_pairs(nodes: DataFrame, home: str, similarity: float) -> DataFrame:
         for batch in batches:
             ok = [_similarity(store.of(x), store.of(y)) >= similarity for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns], ["a", "b"])
+        store.close()
 
     return pairs.mapInArrow(verify, "a long, b long")
 
@@ -255,11 +259,13 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     pairs += _links(nodes.tolist(), store, similarity, root, bits)
             ends = [pa.array([store.ident(p[k]) for p in pairs], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+        store.close()
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _Sets(f"{path}/sets")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([store.ident(x) for x in c.to_pylist()], pa.int64()) for c in batch.columns], ["a", "b"])
+        store.close()
 
     # Equal lists, as near copies share many, meet in one partition and are looked at once.
     linked = posted.mapInArrow(lists, "nodes binary").repartition(n, "nodes").mapInArrow(verify, "a long, b long")

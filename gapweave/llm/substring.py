@@ -25,6 +25,8 @@ from . import packed, textops
 from .shared import buckets, integer_id, local_path, prepare, scratch
 
 WIDTH = 50
+#: Text bytes that are hashed at a time.
+CHUNK = 4 << 20
 #: A perfect difference set: every residue modulo 31 is a difference of two of these.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 _INF = np.iinfo(np.int64).max
@@ -162,7 +164,7 @@ def search(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     copies_dir = f"{folder}/copies"
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.chunks(batches, "_text"):
+        for batch in textops.chunks(batches, "_text", CHUNK):
             a, b, ids = _text_keys(batch)
             order = np.argsort(a, kind="stable")
             yield packed.blobs(a[order], [b[order], ids[order]], bits)
@@ -192,7 +194,7 @@ def search(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Without whole copies, whose windows an earlier document holds too."""
-        for batch in textops.chunks(batches, "_text"):
+        for batch in textops.chunks(batches, "_text", CHUNK):
             yield batch.filter(pa.array(~_is_copy(batch, copies)))
 
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +233,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     found = search(docs, id_col, text_col, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.chunks(batches, "_text"):
+        for batch in textops.chunks(batches, "_text", CHUNK):
             counts, removed, texts = found.removed(batch)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), texts], ["_id", "n_words", "n_removed", "kept_text"])
 
@@ -250,7 +252,7 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     at, ident = docs.columns.index(text_col), docs.columns.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.chunks(batches, text_col):
+        for batch in textops.chunks(batches, text_col, CHUNK):
             _, removed, texts = found.removed(pa.RecordBatch.from_arrays([batch.column(ident), batch.column(at)], ["_id", "_text"]))
             own = pc.if_else(pa.array(removed > 0), texts, batch.column(at))
             yield batch.set_column(at, batch.schema.field(at), own)
