@@ -290,8 +290,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The ids that go are memory-mapped, so texts are not shuffled.
     """
     spark = prepare(docs.sparkSession)
-    gone = duplicates(docs, id_col, text_col, similarity, width).select(id_col)
-    store = packed.id_store(gone, local_path(scratch(spark, "later")), buckets(spark))
+    home = scratch(spark, "later")
+    # Written, as a second Python step in one task would take workers of its own.
+    gone = written(duplicates(docs, id_col, text_col, similarity, width).select(id_col), f"{home}/ids")
+    store = packed.id_store(gone, local_path(f"{home}/store"), buckets(spark))
     at = docs.columns.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
