@@ -1,7 +1,8 @@
 """Estimators per AOI and year that built-in functions can't express (M3-M5, M8, M10, M11, M14-M16) and learned ones.
 
-Each grouped map sees one AOI's year, at most 366 days a sensor, so groups are bounded by
-the calendar and tasks by AQE's partition sizes.
+Each grouped map sees one AOI's year, at most 366 days a sensor (cross_year: one AOI's years, pair_models:
+one pair's dates, completed: 64 AOIs' year), so groups are bounded by the calendar and tasks
+by AQE's partition sizes.
 """
 
 from __future__ import annotations
@@ -243,12 +244,17 @@ def estimate(panel: DataFrame, name: str, **options) -> DataFrame:
     return panel.select("aoi", "yr", "ord", "y", "gap").groupBy("aoi", "yr").applyInPandas(run, OUT)
 
 
-def lagged_cubic(panel: DataFrame, maps: DataFrame, target: str = "s2") -> DataFrame:
-    """A local cubic over all sensors' values, mapped into the target's domain and shifted by LAGS."""
+def lagged_long(panel: DataFrame, maps: DataFrame, target: str = "s2") -> DataFrame:
+    """All sensors' known values in long form (aoi, yr, ord, source, y), mapped into the target's domain over all bins and shifted by LAGS."""
     long = panel.where("NOT gap").select("aoi", "yr", "ord", F.explode(F.array(*(F.struct(F.lit(s).alias("source"), F.col(s).alias("v")) for s in expr.SENSORS))).alias("p")).select("aoi", "yr", "ord", "p.*").where("v IS NOT NULL")
     own = maps.where((F.col("target") == target) & F.col("bin").isNull()).select("source", "a", "b")
-    lag = F.coalesce(*(F.when(F.col("source") == s, d) for (t, s), d in LAGS.items() if t == target), F.lit(0)) if any(t == target for t, _ in LAGS) else F.lit(0)
-    known = long.join(F.broadcast(own), "source", "left").select("aoi", "yr", (F.col("ord") + lag).cast("long").alias("ord"), F.coalesce(F.col("a") + F.col("b") * F.col("v"), F.col("v")).alias("y"), F.lit(False).alias("gap"))
+    lag = F.coalesce(*(F.when(F.col("source") == s, d) for (t, s), d in LAGS.items() if t == target), F.lit(0))
+    return long.join(F.broadcast(own), "source", "left").select("aoi", "yr", (F.col("ord") + lag).cast("long").alias("ord"), "source", F.coalesce(F.col("a") + F.col("b") * F.col("v"), F.col("v")).alias("y"))
+
+
+def lagged_cubic(panel: DataFrame, maps: DataFrame, target: str = "s2") -> DataFrame:
+    """M3: a local cubic over all sensors' values in the target's domain (see lagged_long())."""
+    known = lagged_long(panel, maps, target).select("aoi", "yr", "ord", "y", F.lit(False).alias("gap"))
     asked = panel.where("gap").select("aoi", "yr", "ord", F.lit(None).cast("double").alias("y"), F.lit(True).alias("gap"))
     return estimate(known.unionByName(asked), "cubic")
 
@@ -521,16 +527,23 @@ def blend(weights: dict[str, float], lo: float = -0.2, hi: float = 1.1) -> Colum
     return expr.clip(sum(rest, first), lo, hi)
 
 
+def _present(train: DataFrame, features: list[str]) -> list[str]:
+    """The features that have a value in some row; medians of the others can't be taken."""
+    counts = train.agg(*(F.count(f).alias(f) for f in features)).first()
+    return [f for f in features if counts[f]]
+
+
 def trees(train: DataFrame, features: list[str], target: str, kind: str = "gbt", seed: int = 7, weight: str | None = None, rounds: int = 40):
     """Medians for missing values, then boosted trees (squared or absolute loss), a forest, a linear model on scaled features (ridge, plain or Huber) or a forest classifier; a fitted PipelineModel.
 
-    ``weight`` names a column of row weights.
+    ``weight`` names a column of row weights.  Features without a value in any row are left out.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
+    features = _present(train, features)
     stages = [Imputer(strategy="median", inputCols=features, outputCols=[f"{f}_i" for f in features]), VectorAssembler(inputCols=[f"{f}_i" for f in features], outputCol="features")]
     if kind in ("ridge", "ols", "huber"):
         stages[-1].setOutputCol("raw")
@@ -579,6 +592,7 @@ def boosted_quantile(train: DataFrame, asked: DataFrame, features: list[str], ta
     from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
 
+    features = _present(train, features)
     imputed = [f"{f}_i" for f in features]
     prepare = Imputer(strategy="median", inputCols=features, outputCols=imputed).fit(train)
     assemble = VectorAssembler(inputCols=imputed, outputCol="_x")

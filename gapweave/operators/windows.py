@@ -54,7 +54,7 @@ def cumulative(df: DataFrame) -> DataFrame:
     return df.withColumns({"gdd": F.sum(F.greatest(F.col("temp_c") - 5, F.lit(0.0))).over(frame), "rain": F.sum("precip_mm").over(frame)})
 
 
-def within_days(df: DataFrame, days: tuple[int, ...] = (7, 14, 30), y: str = "y") -> DataFrame:
+def within_days(df: DataFrame, days: tuple[int, ...] = (7, 14, 30, 60, 120), y: str = "y") -> DataFrame:
     """Number and sum of other known values within so many days."""
     made = {}
     for d in days:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import expr, geo
 from ..operators import aggregates as agg
-from ..operators import estimators
+from ..operators import estimators, gapfill, joins
 from ..operators import windows as win
-from .core_queries import grid, gridded, query
+from ..sources import io
+from ..storage import base
+from .core_queries import _MAPS, grid, gridded, query
 from .panel import panel, tables
 from .stat_queries import _NB, _SHOCK, _residuals
-from .transfer_queries import _g
+from .transfer_queries import _STACKED, _g, _stacked
 
 
 @query(""",
@@ -134,3 +138,45 @@ vt AS (SELECT aoi, date, sum(exp(-far / 0.3) * h) / sum(exp(-far / 0.3)) AS a, c
 SELECT v.aoi, v.date, """ + _g("CASE WHEN c IS NOT NULL THEN 0.75 * a + 0.25 * c ELSE a END", "pred") + ", n_years FROM vt v LEFT JOIN (SELECT aoi, date, CASE WHEN NOT edge THEN lerp END AS c FROM nb) n ON n.aoi = v.aoi AND n.date = v.date")
 def m10_year_analogues(spark, sf):
     return gridded(estimators.year_analogues(panel(spark, sf)))
+
+
+@query("SELECT aoi, date, crop_type, gap, round(y, 8) AS y FROM panel")
+def s1_s2_s8_csv_round_trip(spark, sf):
+    """The panel as CSV, written by all tasks and read back with its encoding found."""
+    uri = f"{base(spark)}/csv-{uuid.uuid4().hex}"
+    p = panel(spark, sf).select("aoi", "date", "crop_type", "gap", "y")
+    io.write_csv(p, uri)
+    return io.read_csv(spark, uri, p.schema)
+
+
+@query("""SELECT count(*) AS n_rows, count(DISTINCT (aoi, date)) AS n_keys, bool_and(y_true IS NOT NULL AND isfinite(y_true)) AS finite, """ + ", ".join(_g(f"{f}(y_true)", n) for n, f in (("min", "min"), ("max", "max"), ("mean", "avg"), ("std", "stddev_samp"))) + " FROM panel")
+def s9_v8_manifest(spark, sf):
+    m = io.manifest(panel(spark, sf), ["aoi", "date"], "y_true")
+    return gridded(spark.createDataFrame([(m["rows"], m["keys"], m["finite"], m["min"], m["max"], m["mean"], m["std"])], "n_rows long, n_keys long, finite boolean, min double, max double, mean double, std double"))
+
+
+@query(""",
+l1 AS (SELECT aoi, doy, avg(y) AS v FROM panel WHERE yr < 1998 GROUP BY ALL), l2 AS (SELECT crop_type, doy, avg(y) AS v FROM panel WHERE yr < 1997 GROUP BY ALL), l3 AS (SELECT avg(y) AS v FROM panel WHERE yr < 1996)
+SELECT aoi, date, """ + _g("coalesce(l1.v, l2.v, l3.v, 0.3)", "v") + " FROM panel LEFT JOIN l1 USING (aoi, doy) LEFT JOIN l2 USING (crop_type, doy) CROSS JOIN l3")
+def j12_cascade(spark, sf):
+    p = panel(spark, sf)
+    levels = [(by, p.where(F.col("yr") < last).groupBy(*by).agg(F.avg("y").alias("v"))) for by, last in ((["aoi", "doy"], 1998), (["crop_type", "doy"], 1997), ([], 1996))]
+    return gridded(joins.cascade(p, levels, "v", 0.3).select("aoi", "date", "v"))
+
+
+@query(_MAPS + """,
+ll AS (SELECT aoi, yr, ord, unnest([{'source': 's2', 'v': s2}, {'source': 'landsat', 'v': landsat}, {'source': 'modis', 'v': modis}], recursive := true) FROM panel WHERE NOT gap)
+SELECT aoi, yr, ord - CASE source WHEN 'modis' THEN -8 ELSE 0 END AS ord, source, """ + _g("coalesce(a + b * v, v)", "y") + " FROM ll LEFT JOIN maps ON target = 's2' AND source_ = source AND g IS NULL WHERE v IS NOT NULL")
+def m14_lagged_long(spark, sf):
+    p = panel(spark, sf)
+    return gridded(estimators.lagged_long(p, gapfill.sensor_maps(p)))
+
+
+@query(_STACKED + """,
+sw AS (SELECT greatest(0, least(1, sum((lerp - truth) * (lerp - pred)) / sum(pow(pred - lerp, 2)))) AS w FROM zz0 WHERE pred IS NOT NULL AND lerp IS NOT NULL)
+SELECT 'lerp' AS candidate, round(1 - w, 5) + 0.0 AS weight FROM sw UNION ALL SELECT 'pred', round(w, 5) + 0.0 FROM sw""")
+def a18_simplex_weights(spark, sf):
+    """Weights of two blends; for two the best share has a closed form, which is the twin."""
+    z = _stacked(spark, sf).where("truth IS NOT NULL AND pred IS NOT NULL AND lerp IS NOT NULL")
+    w = agg.simplex_weights(z, ["lerp", "pred"], "truth")
+    return spark.createDataFrame([(n, round(float(x), 5) + 0.0) for n, x in zip(("lerp", "pred"), w)], "candidate string, weight double")

@@ -45,10 +45,10 @@ def w4_cumulative(spark, sf):
 
 
 @query("""SELECT aoi, date, """ + ", ".join(
-    f"count(y) OVER w{d} - CASE WHEN y IS NULL THEN 0 ELSE 1 END AS n_{d}, round(coalesce(sum(y) OVER w{d}, 0) - coalesce(y, 0), 8) + 0.0 AS sum_{d}" for d in (7, 14, 30)) + " FROM panel WINDOW " + ", ".join(f"w{d} AS (PARTITION BY aoi, yr ORDER BY ord RANGE BETWEEN {d} PRECEDING AND {d} FOLLOWING)" for d in (7, 14, 30)))
+    f"count(y) OVER w{d} - CASE WHEN y IS NULL THEN 0 ELSE 1 END AS n_{d}, round(coalesce(sum(y) OVER w{d}, 0) - coalesce(y, 0), 8) + 0.0 AS sum_{d}" for d in (7, 14, 30, 60, 120)) + " FROM panel WINDOW " + ", ".join(f"w{d} AS (PARTITION BY aoi, yr ORDER BY ord RANGE BETWEEN {d} PRECEDING AND {d} FOLLOWING)" for d in (7, 14, 30, 60, 120)))
 def w5_within_days(spark, sf):
     r = win.within_days(panel(spark, sf))
-    return r.select("aoi", "date", *(c for d in (7, 14, 30) for c in (f"n_{d}", (F.round(f"sum_{d}", 8) + 0.0).alias(f"sum_{d}"))))
+    return r.select("aoi", "date", *(c for d in (7, 14, 30, 60, 120) for c in (f"n_{d}", (F.round(f"sum_{d}", 8) + 0.0).alias(f"sum_{d}"))))
 
 
 @query("""SELECT aoi, date, lag(y) OVER w AS lag_y, round((y - lag(y) OVER w) * 1048573) / 1048573 AS diff, round(((y - lag(y) OVER w) / (ord - lag(ord) OVER w)) * 1048573) / 1048573 AS per_day FROM panel WHERE y IS NOT NULL WINDOW w AS (PARTITION BY aoi, yr ORDER BY ord)""")

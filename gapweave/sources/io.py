@@ -104,9 +104,9 @@ def refuse_existing(spark: SparkSession, *paths: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, digits: int = 8, single: bool = False) -> None:
-    """Doubles with fixed digits; one file only where asked for, as that is one task."""
+    """Doubles with fixed digits, NULL as an empty field; one file only where asked for, as that is one task."""
     refuse_existing(df.sparkSession, path)
-    fixed = df.select([F.format_string(f"%.{digits}f", c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    fixed = df.select([F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
     (fixed.coalesce(1) if single else fixed).write.option("header", True).csv(path)
 
 

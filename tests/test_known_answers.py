@@ -103,7 +103,7 @@ def test_adapters_with_a_mock(spark, tmp_path):
 def test_downloads(spark, tmp_path):
     df = spark.createDataFrame([("A", "2024-01-02", 0.5), ("A", "2024-01-01", None), ("B", "2024-01-01", 0.1)], "aoi string, date string, v double")
     io.download(df, str(tmp_path / "d"), aoi="A", start="2024-01-01")
-    assert next((tmp_path / "d").glob("*.csv")).read_text().split() == ["aoi,date,v", "A,2024-01-01,null", "A,2024-01-02,0.50000000"]
+    assert next((tmp_path / "d").glob("*.csv")).read_text().split() == ["aoi,date,v", "A,2024-01-01,", "A,2024-01-02,0.50000000"]
     ring = "[[[37,55],[38,55],[38,56],[37,55]]]"
     regions = spark.createDataFrame([("r1", '{"type":"Polygon","coordinates":%s}' % ring), ("r2", '{"type":"Feature","geometry":{"type":"Polygon","coordinates":%s}}' % ring), ("bad", "{}"), (None, None)], "name string, g string")
     whole = json.loads(io.feature_collection(regions, "g", ["name"]))
