@@ -224,8 +224,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The ids that go are memory-mapped, so texts are not shuffled.  Rows with a null id stay.
     """
     spark = prepare(docs.sparkSession)
-    gone = classes(docs, id_col, text_col, width, max_bits).where(F.col("component_id") < F.col(id_col)).select(id_col)
-    store = packed.id_store(gone, local_path(scratch(spark, "later")), buckets(spark))
+    home = scratch(spark, "later")
+    gone = written(classes(docs, id_col, text_col, width, max_bits).where(F.col("component_id") < F.col(id_col)).select(id_col), f"{home}/ids")
+    store = packed.id_store(gone, local_path(f"{home}/store"), buckets(spark))
     at = docs.columns.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
