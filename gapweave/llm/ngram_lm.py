@@ -31,8 +31,8 @@ from .shared import local_path, prepare, scratch, shard_bits
 #: Hash of the end of a text, which is scored as a word; number of its start, and of a word that the model does not know.
 _END, _START, _UNKNOWN = np.uint64(2), 0, np.uint64((1 << 32) - 1)
 _LOW, _KEY = np.uint64((1 << 32) - 1), np.uint64((1 << 40) - 1)
-#: Text bytes of a chunk; pairs that make up this share of a chunk are counted as frequent ones.
-CHUNK, SHARE = 16 << 20, 1 / 4096
+#: Text bytes that are counted and scored at a time; pairs that make up this share of a chunk are counted as frequent ones.
+CHUNK, SCORED, SHARE = 8 << 20, 4 << 20, 1 / 4096
 _ROWS = "kind int, bucket int, blob binary, sums array<long>"
 #: Kinds of rows between the passes: triples by how their context is spread, sums of frequent contexts, pairs of frequent words, sums of words, figures for the driver.
 _PLAIN, _BY_CONTEXT, _BY_TRIPLE, _CONTEXTS, _PAIRS, _WORDS, _FIGURES = range(7)
@@ -501,7 +501,7 @@ def score(docs: DataFrame, model: Model, id_col: str, text_col: str = "text") ->
     base_all = np.log10(m.tokens + 0.1 * (m.distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textops.chunks(batches, "_text", CHUNK):
+        for batch in textops.chunks(batches, "_text", SCORED):
             t = _Tokens(batch.column("_text"), m)
             starts = t.begin[:-1]
             sums = [np.add.reduceat(x, starts) for x in (t.known.astype(np.int64), np.log10(t.seen + 0.1) - base_all, _log10(t, m))]
