@@ -15,13 +15,13 @@ from gapweave.llm import decontam, near, packing, quality, shared, substring
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go.  It learns from every label that the table has."""
+    """Documents that the classifier rejects go; null texts count as empty, rows without a doc_id are judged like any.  It learns from the labels that the table has, within fit()'s bound."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     return quality.keep_good(docs, quality.fit(docs, labels, F.lit(True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (Jaccard similarity of five-word shingles from 0.8, an exact join) the row with the smallest doc_id stays; rows without a doc_id stay."""
+    """SimHash near-dedup at a similarity: of each class of near duplicates (Jaccard similarity of five-word shingles from 0.8, complete) the row with the smallest doc_id stays; rows without a doc_id stay."""
     return near.keep_first(docs)
 
 
@@ -31,12 +31,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the rest in windows of 4096, one row a piece."""
+    """Token ids of the rest in windows of 4096, one row a piece; a null or empty text is its end id alone, repeated rows are packed each for itself."""
     return packing.pack(docs)
 
 
