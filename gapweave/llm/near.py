@@ -42,7 +42,7 @@ _SLOT, _PLACE = np.uint64(SLOTS - 1), 40
 def _shingles(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the width-word shingles of all texts in a row (shorter texts: of all their words), and where each text's start."""
     flat, starts = textops.split(batch.column("_text"), lower=True)
-    code, distinct = textops.coded(flat)
+    code, distinct = textops.encoded(flat)
     h = textops.hashed(distinct)[code]
     n = np.diff(starts)
     counts = np.where(n >= width, n - width + 1, (n > 0).astype(np.int64))

@@ -145,7 +145,7 @@ def _discount(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 def _chunk(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts in a row, an end after each: the distinct tokens' hashes, ascending, each token's place among them, and where texts start."""
     flat, starts = textops.split(texts, lower=True)
-    codes, distinct = textops.coded(flat)
+    codes, distinct = textops.encoded(flat)
     keys, place = np.unique(np.append(np.maximum(textops.hashed(distinct), np.uint64(3)), _END), return_inverse=True)
     begin = starts + np.arange(len(starts))
     token = np.full(int(begin[-1]), place[-1])

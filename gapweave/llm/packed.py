@@ -72,15 +72,6 @@ def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list
         yield now, got
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[list[np.ndarray]]]:
-    """The decoded blobs of a partition by shard."""
-    got: dict[int, list[list[np.ndarray]]] = {}
-    for batch in batches:
-        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            got.setdefault(bucket, []).append(decode(blob.as_buffer().to_pybytes()))
-    return got
-
-
 def runs(keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys starts."""
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)

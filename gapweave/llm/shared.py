@@ -71,15 +71,16 @@ def integer_id(df, id_col: str) -> None:
 
 
 def buckets(spark: SparkSession) -> int:
-    """Bits of a hash that choose its shard: twice as many shards as shuffle partitions, 64 to 16,384."""
+    """Bits of a hash that choose its shard: twice as many shards as shuffle partitions, 64 to 65,536."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(14, max(6, (2 * n - 1).bit_length()))
+    return min(16, max(6, (2 * n - 1).bit_length()))
 
 
 def shard_bits(docs) -> int:
-    """Bits of a hash that choose a shard: as buckets() has it, and more where the input is larger than 16 MB for each of those, up to 65,536 shards.
+    """Bits of a hash that choose a shard, where shards send to shards: one for each 16 MB of the input, 64 to 65,536.
 
-    The size is the optimizer's; where it knows none (rows that the driver made), buckets() stands.
+    By the input's size and not by the number of tasks, as what all shards send to all is the
+    square of their number.  The size is the optimizer's; where it knows none (rows that the driver made), 64 stand.
     """
-    size, least = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), buckets(docs.sparkSession)
-    return least if size >= 1 << 60 else max(least, min(16, (size // (16 << 20)).bit_length()))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 6 if size >= 1 << 60 else min(16, max(6, (size // (16 << 20)).bit_length()))

@@ -40,7 +40,7 @@ def _cover(period: int, width: int) -> tuple[int, tuple[int, ...]]:
 def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, Callable[[], np.ndarray]]:
     """Word hashes, where texts start, the words, and a second family of hashes, made where it is asked for."""
     flat, starts = textops.split(texts)
-    codes, distinct = textops.coded(flat)
+    codes, distinct = textops.encoded(flat)
     return textops.hashed(distinct)[codes], starts, flat, lambda: textops.hashed(distinct, 1)[codes]
 
 

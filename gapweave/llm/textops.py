@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+#: Bytes of a word up to which its hash is a sum over its bytes.
+LONG = 64
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -48,14 +51,44 @@ def split(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(keep), before[ends]
 
 
-def coded(words: pa.Array) -> tuple[np.ndarray, list[str]]:
+def encoded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """A code for each word and the distinct words in order of code."""
     d = words.dictionary_encode()
-    return d.indices.to_numpy().astype(np.int64), d.dictionary.to_pylist()
+    return d.indices.to_numpy().astype(np.int64), d.dictionary
+
+
+def coded(words: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """encoded() with the distinct words as a list."""
+    codes, distinct = encoded(words)
+    return codes, distinct.to_pylist()
 
 
-def hashed(distinct: list[str], seed: int = 0) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))
+@cache
+def _table(seed: int) -> np.ndarray:
+    """A random 64-bit value for each place in a word and byte there."""
+    at = np.arange(LONG * 256, dtype=np.uint64) + np.uint64(seed * LONG * 256)
+    return mix(mix(at + np.uint64(0x9E3779B97F4A7C15)) ^ _C2).reshape(LONG, 256)
+
+
+def hashed(distinct: pa.Array, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words: the sum of a random value for each byte by its place (tabulation), mixed with the length; words over ``LONG`` bytes by XXH64."""
+    n = len(distinct)
+    if not n:
+        return np.zeros(0, np.uint64)
+    _, offsets, data = distinct.buffers()
+    start = np.frombuffer(offsets, np.int32)[distinct.offset : distinct.offset + n + 1].astype(np.int64)
+    raw, size = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), np.diff(start)
+    order = np.argsort(-size, kind="stable")
+    at, length, table = start[:-1][order], size[order], _table(seed)
+    total = np.zeros(n, np.uint64)
+    for j in range(min(int(length[0]), LONG)):
+        k = int(np.searchsorted(-length, -j))
+        total[:k] += table[j][raw[at[:k] + j]]
+    out = np.empty(n, np.uint64)
+    out[order] = mix(total ^ (length.astype(np.uint64) << np.uint64(32)))
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(distinct[k].as_py(), seed)
+    return out
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:

@@ -164,6 +164,16 @@ def test_urls_ties_go_to_the_first_rule_by_text(spark):
     assert urlfilter.judge(pages, rules).first()["rule"] == urlfilter.judge(pages, rules[::-1]).first()["rule"] == "a.b.com/"
 
 
+def test_word_hashes():
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choices("abñ漢", k=rng.randrange(1, 9))) for _ in range(20_000)} | {"x" * n for n in range(1, 200)} | {"", "ab", "ba"})
+    for seed in (0, 1):
+        h = textops.hashed(pa.array(words), seed)
+        assert len(set(h.tolist())) == len(words) and (np.bincount((h >> np.uint64(60)).astype(int), minlength=16) > len(words) / 20).all()
+        assert (textops.hashed(pa.array(["?", *words]).slice(1), seed) == h).all() and (textops.hashed(pa.array(words[::-1]), seed)[::-1] == h).all()
+    assert not len(np.intersect1d(textops.hashed(pa.array(words[1:]), 0), textops.hashed(pa.array(words[1:]), 1))) and len(textops.hashed(pa.array([], pa.string()))) == 0
+
+
 # 4
 def test_language_model(spark, odd, empty):
     model = ngram_lm.train(odd)
