@@ -242,7 +242,6 @@ def write_tokens(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: st
     """
     integer_id(docs, id_col)
     spark = prepare(docs.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     path, folder = vocabulary or wordbpe.vocabulary_path(), local_path(uri)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +272,16 @@ def write_tokens(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "_id", "_hash").sortWithinPartitions("_id", "_hash").select("_id", "_text")
-    return written(ordered.mapInArrow(run, _FILES), f"{uri}/list")
+    # Larger batches for this job alone.
+    wide = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20)}
+    before = {k: spark.conf.get(k) for k in wide}
+    for k, v in wide.items():
+        spark.conf.set(k, v)
+    try:
+        return written(ordered.mapInArrow(run, _FILES), f"{uri}/list")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def read_tokens(files: DataFrame, id_type: str = "long") -> DataFrame:
